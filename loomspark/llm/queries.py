@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm import language_id, quality
+from loomspark.llm.media import store_media
+from loomspark.llm.mixing import mix_sources
+from loomspark.llm.packing import pack_documents
+from loomspark.llm.secrets import scan_secrets
 from loomspark.llm.substring_dedup import substring_dedup
 from loomspark.llm.suffix_dedup import suffix_dedup
 
@@ -15,6 +20,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = language_id.predict(docs, language_id.learn(docs))
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir)).drop("found")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.quality_rules(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir), texts=False).drop("copies")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), ids=False).drop("ids")
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_media(documents(spark, sf_dir), media=False).drop("media")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(documents(spark, sf_dir), texts=False)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -25,7 +57,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_suffix_dedup, op9_substring_dedup)}
+    found = (op1_language_id, op2_secret_scan, op3_quality_rules, op4_source_mix, op5_packing, op6_media_columns, op7_suffix_dedup, op9_substring_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
