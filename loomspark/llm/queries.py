@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import language_id, quality
 from loomspark.llm.media import store_media
+from loomspark.llm.minhash_dedup import near_duplicates
 from loomspark.llm.mixing import mix_sources
 from loomspark.llm.packing import pack_documents
 from loomspark.llm.secrets import scan_secrets
@@ -52,12 +53,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_secret_scan, op3_quality_rules, op4_source_mix, op5_packing, op6_media_columns, op7_suffix_dedup, op9_substring_dedup)
+    found = (op1_language_id, op2_secret_scan, op3_quality_rules, op4_source_mix, op5_packing, op6_media_columns, op7_suffix_dedup, op8_minhash_dedup, op9_substring_dedup)
     return {f.__name__: f for f in found}
 
 
