@@ -32,7 +32,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 LENGTH = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -12,6 +12,7 @@ from loomspark.llm.media import store_media
 from loomspark.llm.minhash_dedup import near_duplicates
 from loomspark.llm.mixing import mix_sources
 from loomspark.llm.packing import pack_documents
+from loomspark.llm.pii import find_pii
 from loomspark.llm.secrets import scan_secrets
 from loomspark.llm.substring_dedup import substring_dedup
 from loomspark.llm.suffix_dedup import suffix_dedup
@@ -61,8 +62,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir)).drop("found")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_secret_scan, op3_quality_rules, op4_source_mix, op5_packing, op6_media_columns, op7_suffix_dedup, op8_minhash_dedup, op9_substring_dedup)
+    found = (op1_language_id, op2_secret_scan, op3_quality_rules, op4_source_mix, op5_packing, op6_media_columns, op7_suffix_dedup, op8_minhash_dedup, op9_substring_dedup, op10_pii)
     return {f.__name__: f for f in found}
 
 
