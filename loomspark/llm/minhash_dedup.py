@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         each = lambda x, width: [x[i * width : (i + 1) * width] for i in range(len(sizes))]
         yield pa.record_batch([pa.array(each(row["nodes"], 16), pa.binary()), pa.array(sizes), pa.array(s), pa.array(each(row["sig"], 4 * COORDS), pa.binary()), pa.array(cut(row["shingles"], 8), pa.binary()), pa.array(row["posts"], pa.list_(pa.int64()))], names=["node", "n", "s", "sig", "shingles", "posts"])
 
-    nodes = kept(each_block(packed.join(met, "block", "left"), unpack_nodes, NODES), "nodes")
+    nodes = bucketed(each_block(packed.join(met, "block", "left"), unpack_nodes, NODES).repartition("node"), "nodes", "node", int(spark.conf.get("spark.sql.shuffle.partitions")))
     share = percent / 100
     # What a partner may have at most; a little more than the exact bound, for rounding.
     most = F.floor(F.col("s") * (1 + 1 / share) - F.col("n") + 1e-6)
@@ -195,24 +195,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for n, m, sa, sb, xa, xb in zip(*(batch.column(c) for c in ("n_u", "n_v", "sig_u", "sig_v", "set_u", "set_v")), strict=True):
                 n, m = n.as_py(), m.as_py()
                 x, y = np.frombuffer(xa.as_buffer(), np.uint64), np.frombuffer(xb.as_buffer(), np.uint64)
-                if (np.frombuffer(sa.as_buffer(), np.uint32) == np.frombuffer(sb.as_buffer(), np.uint32)).sum() < need:
-                    linked.append(False)
-                    shared.append(None)
-                    rest.append(None)
-                    continue
                 inside = np.zeros(n, bool)
                 at = np.searchsorted(y, x)
                 inside[at < m] = y[at[at < m]] == x[at < m]
                 both = int(inside.sum())
-                linked.append(100 * both >= percent * (n + m - both))
+                agree = (np.frombuffer(sa.as_buffer(), np.uint32) == np.frombuffer(sb.as_buffer(), np.uint32)).sum() >= need
+                linked.append(bool(agree) and 100 * both >= percent * (n + m - both))
                 shared.append(both)
                 rest.append(x[~inside].view(np.int64))
             yield pa.record_batch([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(shared, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["u", "v", "linked", "shared", "rest"])
 
     def compare(pairs: DataFrame) -> DataFrame:
-        """linked, shared shingles and u's others; the last two are null where the signatures already say no."""
+        """linked, shared shingles and u's others for pairs (u, v).
+
+        The nodes are bucketed, so only pairs move: first the v that are needed are looked up and joined (a hub's many
+        pairs can be split there), then the pairs with v's set go to u.
+        """
         side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("shingles").alias(f"set_{s}"))
-        return kept(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(confirm, "u binary, v binary, linked boolean, shared long, rest array<long>"), "links")
+        needed = side("v").join(pairs.select("v").distinct(), "v", "left_semi")
+        return kept(pairs.join(needed.repartition("v"), "v").join(side("u"), "u").mapInArrow(confirm, "u binary, v binary, linked boolean, shared long, rest array<long>"), "links")
 
     possible = (F.col("n") <= F.col("hub_most")) & (F.col("hub_n") <= F.col("most"))
     best = F.max_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most")), F.struct("part", "node")).alias("h")
@@ -222,9 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = kept(tried.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
     results = compare(pairs)
     links = results.where("linked").select("u", "v")
-    # Of several hubs the one that is most shared itself, so that a group of copies agrees on it.
     part_of = nodes.select(F.col("node").alias("v"), (F.col("s") / F.col("n")).alias("part"))
-    hub_of = results.where("shared is not null").join(part_of, "v").groupBy("u").agg(F.max_by(F.struct("v", "shared", "rest"), F.struct("part", "v")).alias("h")).select(F.col("u").alias("node"), F.col("h.v").alias("via"), F.col("h.shared").alias("o"), F.col("h.rest").alias("rest"))
 
     def regroup() -> DataFrame:
         """The postings of lists that still have nodes of more than one component."""
@@ -233,12 +232,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return kept(here.join(mixed, "token"), "mixed")
 
     def settle(found: DataFrame) -> None:
-        nonlocal links, pairs
-        new = found.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-        done = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        new = kept(new.join(done, ["u", "v"], "left_anti"), "pairs")
+        nonlocal links, pairs, results
+        low, high = F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")
+        new = found.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct().select("u", "v", low, high)
+        new = kept(new.join(pairs.select(low, high).distinct(), ["low", "high"], "left_anti").select("u", "v"), "pairs")
         pairs = pairs.unionByName(new)
-        links = links.unionByName(compare(new).where("linked").select("u", "v"))
+        got = compare(new)
+        results = results.unionByName(got)
+        links = links.unionByName(got.where("linked").select("u", "v"))
 
     # Its nodes with the best node of every other component that has several there.
     here = regroup()
@@ -246,6 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     settle(here.join(hubs, "token").where((F.col("label") != F.col("other")) & possible))
 
     # All pairs left.  The larger set looks for smaller ones in the few size classes that its bound leaves.
+    # Of several hubs the one that is most shared itself, so that a group of copies agrees on it.
+    hub_of = kept(results.join(part_of, "v").groupBy("u").agg(F.max_by(F.struct("v", "shared", "rest"), F.struct("part", "v")).alias("h")).select(F.col("u").alias("node"), F.col("h.v").alias("via"), F.col("h.shared").alias("o"), F.col("h.rest").alias("rest")), "hubs")
     here = regroup().join(hub_of.select("node", "via", "o"), "node", "left")
     size = lambda x: F.floor(F.log(x.cast("double")) / np.log(1.02)).cast("int")
     by_hub = F.floor(F.col("o") * (1 + 1 / share) - F.col("n") + 1e-6)
