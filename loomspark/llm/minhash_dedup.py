@@ -108,7 +108,7 @@ def tokens(sig: np.ndarray) -> np.ndarray:
 
 
 PACKED = "block long, nodes binary, sizes binary, sig binary, shingles binary, posts array<array<long>>"
-NODES = "node binary, n long, s long, sig binary, shingles binary, posts array<long>"
+NODES = "node binary, n long, s long, sig binary, shingles binary, shared binary, posts array<long>"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         s = np.add.reduceat(shared.astype(np.int64), ends - sizes)
         cut = lambda x, width: [x[a * width : e * width] for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
         each = lambda x, width: [x[i * width : (i + 1) * width] for i in range(len(sizes))]
-        yield pa.record_batch([pa.array(each(row["nodes"], 16), pa.binary()), pa.array(sizes), pa.array(s), pa.array(each(row["sig"], 4 * COORDS), pa.binary()), pa.array(cut(row["shingles"], 8), pa.binary()), pa.array(row["posts"], pa.list_(pa.int64()))], names=["node", "n", "s", "sig", "shingles", "posts"])
+        yield pa.record_batch([pa.array(each(row["nodes"], 16), pa.binary()), pa.array(sizes), pa.array(s), pa.array(each(row["sig"], 4 * COORDS), pa.binary()), pa.array(cut(row["shingles"], 8), pa.binary()), pa.array([np.packbits(shared[a:e]).tobytes() for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], pa.binary()), pa.array(row["posts"], pa.list_(pa.int64()))], names=["node", "n", "s", "sig", "shingles", "shared", "posts"])
 
     nodes = bucketed(each_block(packed.join(met, "block", "left"), unpack_nodes, NODES).repartition("node"), "nodes", "node", int(spark.conf.get("spark.sql.shuffle.partitions")))
     share = percent / 100
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked, shared, rest = [], [], []
-            for n, m, sa, sb, xa, xb in zip(*(batch.column(c) for c in ("n_u", "n_v", "sig_u", "sig_v", "set_u", "set_v")), strict=True):
+            for n, m, sa, sb, xa, xb, met_a in zip(*(batch.column(c) for c in ("n_u", "n_v", "sig_u", "sig_v", "set_u", "set_v", "shared_u")), strict=True):
                 n, m = n.as_py(), m.as_py()
                 x, y = np.frombuffer(xa.as_buffer(), np.uint64), np.frombuffer(xb.as_buffer(), np.uint64)
                 inside = np.zeros(n, bool)
@@ -202,18 +202,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 agree = (np.frombuffer(sa.as_buffer(), np.uint32) == np.frombuffer(sb.as_buffer(), np.uint32)).sum() >= need
                 linked.append(bool(agree) and 100 * both >= percent * (n + m - both))
                 shared.append(both)
-                rest.append(x[~inside].view(np.int64))
-            yield pa.record_batch([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(shared, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["u", "v", "linked", "shared", "rest"])
+                met = np.unpackbits(np.frombuffer(met_a.as_buffer(), np.uint8), count=n).astype(bool)
+                rest.append(x[~inside & met].view(np.int64))
+            yield pa.record_batch([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(shared, pa.int64()), batch.column("part_v"), pa.array(rest, pa.list_(pa.int64()))], names=["u", "v", "linked", "shared", "part", "rest"])
 
     def compare(pairs: DataFrame) -> DataFrame:
-        """linked, shared shingles and u's others for pairs (u, v).
+        """linked, shared shingles, v's shared part, and u's shingles that v lacks but some other node has, for pairs (u, v).
 
         The nodes are bucketed, so only pairs move: first the v that are needed are looked up and joined (a hub's many
         pairs can be split there), then the pairs with v's set go to u.
         """
-        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("shingles").alias(f"set_{s}"))
+        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("shingles").alias(f"set_{s}"), *((F.col("shared").alias("shared_u"),) if s == "u" else ((F.col("s") / F.col("n")).alias("part_v"),)))
         needed = side("v").join(pairs.select("v").distinct(), "v", "left_semi")
-        return kept(pairs.join(needed.repartition("v"), "v").join(side("u"), "u").mapInArrow(confirm, "u binary, v binary, linked boolean, shared long, rest array<long>"), "links")
+        return kept(pairs.join(needed.repartition("v"), "v").join(side("u"), "u").mapInArrow(confirm, "u binary, v binary, linked boolean, shared long, part double, rest array<long>"), "links")
 
     possible = (F.col("n") <= F.col("hub_most")) & (F.col("hub_n") <= F.col("most"))
     best = F.max_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most")), F.struct("part", "node")).alias("h")
@@ -223,11 +224,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = kept(tried.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
     results = compare(pairs)
     links = results.where("linked").select("u", "v")
-    part_of = nodes.select(F.col("node").alias("v"), (F.col("s") / F.col("n")).alias("part"))
-
-    def regroup() -> DataFrame:
-        """The postings of lists that still have nodes of more than one component."""
-        here = posted.join(kept(components(links), "labels"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def regroup(lists: DataFrame) -> DataFrame:
+        """Of these postings, the lists that still have nodes of more than one component."""
+        here = lists.drop("label").join(kept(components(links), "labels"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
         return kept(here.join(mixed, "token"), "mixed")
 
@@ -242,14 +241,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(got.where("linked").select("u", "v"))
 
     # Its nodes with the best node of every other component that has several there.
-    here = regroup()
+    here = regroup(posted)
     hubs = here.groupBy("token", F.col("label").alias("other")).agg(best, F.count(F.lit(1)).alias("members")).where("members > 1").select("token", "other", "h.*")
     settle(here.join(hubs, "token").where((F.col("label") != F.col("other")) & possible))
 
     # All pairs left.  The larger set looks for smaller ones in the few size classes that its bound leaves.
     # Of several hubs the one that is most shared itself, so that a group of copies agrees on it.
-    hub_of = kept(results.join(part_of, "v").groupBy("u").agg(F.max_by(F.struct("v", "shared", "rest"), F.struct("part", "v")).alias("h")).select(F.col("u").alias("node"), F.col("h.v").alias("via"), F.col("h.shared").alias("o"), F.col("h.rest").alias("rest")), "hubs")
-    here = regroup().join(hub_of.select("node", "via", "o"), "node", "left")
+    hub_of = kept(results.groupBy("u").agg(F.max_by(F.struct("v", "shared", "rest"), F.struct("part", "v")).alias("h")).select(F.col("u").alias("node"), F.col("h.v").alias("via"), F.col("h.shared").alias("o"), F.col("h.rest").alias("rest")), "hubs")
+    here = regroup(here).join(hub_of.select("node", "via", "o"), "node", "left")
     size = lambda x: F.floor(F.log(x.cast("double")) / np.log(1.02)).cast("int")
     by_hub = F.floor(F.col("o") * (1 + 1 / share) - F.col("n") + 1e-6)
     here = kept(here.withColumn("via_most", F.coalesce(by_hub, F.lit(-1))), "mixed")

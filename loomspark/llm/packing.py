@@ -19,12 +19,14 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from loomspark.llm.text import Words, slices, text_bytes
 
@@ -33,6 +35,7 @@ END_ID = 2
 LENGTH = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 CACHE_WORDS = 1_500_000
+ENCODE_AT_ONCE = 20_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -52,31 +55,41 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.size = np.zeros(1 << 12, np.int64)
-        self.at = np.zeros(1 << 12, np.int64)
-        self.ids = np.zeros(1 << 14, np.uint32)
+        self.hash = np.zeros(0, np.uint64)  # of the known words, ascending
+        self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, flat = [], []
+        for i in range(0, len(words), ENCODE_AT_ONCE):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[i : i + ENCODE_AT_ONCE]], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flat.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(flat)
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """The cache's number of each word; new words are encoded."""
-        if len(self.number) > CACHE_WORDS:
+        """The cache's number of each distinct word; new words are encoded.  Words are known by 64-bit hashes, some 40 bytes each in all."""
+        if len(self.hash) > CACHE_WORDS:
             self.clear()
-        known = self.number
-        new = [w for w in words if w not in known]
-        if new:
-            first = len(known)
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            known.update(zip(new, range(first, first + len(new)), strict=True))
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
-            self.size, self.at = (_room(a, first, len(new)) for a in (self.size, self.at))
-            self.ids = _room(self.ids, self.used, len(flat))
-            self.size[first : first + len(new)] = size
-            self.at[first : first + len(new)] = self.used + np.cumsum(size) - size
+        h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+        spot = np.searchsorted(self.hash, h)
+        known = np.zeros(len(h), bool)
+        inside = spot < len(self.hash)
+        known[inside] = self.hash[spot[inside]] == h[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            new = new[np.argsort(h[new])]
+            size, flat = self._encoded([words[i] for i in new])
+            if self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), len(self.ids) // 2), np.uint32)])
             self.ids[self.used : self.used + len(flat)] = flat
+            into = spot[new]
+            self.hash, self.size, self.at = np.insert(self.hash, into, h[new]), np.insert(self.size, into, size), np.insert(self.at, into, self.used + np.cumsum(size) - size)
             self.used += len(flat)
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+            spot = np.searchsorted(self.hash, h)
+        return spot
 
     def encode(self, words: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of documents, each closed by end_id, and every document's count."""
@@ -89,10 +102,6 @@ class Encoder:
         return np.insert(flat, ends[1:], end_id), np.diff(ends) + 1
 
 
-def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:
-    return a if used + more <= len(a) else np.concatenate([a[:used], np.zeros(max(more, len(a)), a.dtype)])
-
-
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
