@@ -31,7 +31,7 @@ def speaker_hint(text: Column, pack: Pack) -> Column:
     """The last name that a speech pattern gives, by tiers; cleaned; null if none."""
     tiers = [F.try_element_at(F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.lit(-1)) for p in pack.hint_patterns]
     name = cleaned_hint(F.coalesce(*tiers, F.lit("")), pack)
-    return F.when(name != "", name)
+    return F.when((F.length(name) >= 2) & ~name.isin(*pack.speech_verbs, *pack.pronouns), name)
 
 
 def proximity_bonus(distance: Column) -> Column:
@@ -47,7 +47,7 @@ def context_candidates(quotes: DataFrame, characters: DataFrame, pack: Pack, id_
     q = quotes.withColumn("_tail", F.substring("prefix", -window, window))
     one = lambda name, source, rank, sure: q.select(*keys, name.alias("name"), F.lit(sure).alias("confidence"), F.lit(source).alias("source"), F.lit(rank).alias("source_rank"))
     hint = one(speaker_hint(F.col("prefix"), pack), "hint", 1, CONFIDENCE["hint"])
-    post = one(speaker_hint(F.substring("suffix", 1, 50), pack), "after", 2, CONFIDENCE["after"])
+    post = one(speaker_hint(F.substring(F.regexp_extract("suffix", r"^[^\n]*", 0), 1, 50), pack), "after", 2, CONFIDENCE["after"])
     role = one(F.try_element_at(F.regexp_extract_all("_tail", F.lit(quote_pattern(pack.role_words)), F.lit(0)), F.lit(-1)), "title", 3, CONFIDENCE["title"])
     chars = q.select(*keys, *([project] if project in q.columns and project not in keys else []), "_tail", F.explode(F.array_distinct(F.filter(F.split("_tail", ""), lambda c: c != ""))).alias("_c"))
     names = lookup_names(characters).withColumn("_c", F.substring("key", 1, 1))

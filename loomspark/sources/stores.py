@@ -21,7 +21,7 @@ def read_answer_key(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_table_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of pipe tables in a text file, without rules and header."""
-    cells = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), lambda c: F.trim(c))
     rows = spark.read.text(path).where(F.col("value").rlike(r"^\s*\|") & ~F.col("value").rlike(r"^\s*\|[\s:|-]+$")).select(cells.alias("c")).where(F.size("c") == len(columns))
     return rows.select(*(F.col("c")[i].alias(n) for i, n in enumerate(columns))).where(F.col(columns[0]) != columns[0])
 
