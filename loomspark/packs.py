@@ -200,9 +200,9 @@ _EMOTION_LATIN = EmotionRules(
         Term("fear", 0.2, flags=("short", "questions>=1")),
         Term("sadness", 0.4, "(?i)ou th|leaeed"),
         Term("sadness", 0.2, flags=("ellipses>=1",)),
-        Term("surprise", 0.4, "(?i)stion|heit"),
+        Term("surprise", 0.4, "(?iu)stion|heit"),
         Term("surprise", 0.2, flags=("exclaims>=2", "!dirty")),
-        Term("joy", 0.3, "(?i)ble|ción"),
+        Term("joy", 0.3, "(?iu)ble|ción"),
         Term("joy", 0.2, flags=("dense", "!dirty")),
     ),
     denials=(("joy", "(?i)not .*ble"), ("anger", "(?i)no erra")),

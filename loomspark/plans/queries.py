@@ -66,13 +66,13 @@ placed AS (SELECT doc_id, line, n, (sum(length(line) + 1) OVER (PARTITION BY doc
 heads AS (SELECT doc_id, line AS title, start FROM placed WHERE regexp_matches(line, '^[A-Z][a-z]+\.$'))"""
 
 
-@query(f"WITH {_HEADINGS}, near AS (SELECT a.*, EXISTS (SELECT 1 FROM heads b WHERE b.doc_id = a.doc_id AND b.title = a.title AND b.start < a.start AND a.start - b.start < 100) AS dup FROM heads a) SELECT doc_id, title, start FROM near WHERE NOT dup")
+@query(f"WITH RECURSIVE {_HEADINGS}, near AS (SELECT doc_id, title, min(start) AS start, false AS dup FROM heads GROUP BY doc_id, title UNION ALL SELECT k.doc_id, k.title, (SELECT min(h.start) FROM heads h WHERE h.doc_id = k.doc_id AND h.title = k.title AND h.start >= k.start + 100), false FROM near k WHERE EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = k.doc_id AND h.title = k.title AND h.start >= k.start + 100)) SELECT doc_id, title, start FROM near WHERE NOT dup")
 def line_headings(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.explode(segment.headings(F.col("text"), LATIN.chapter_patterns, LATIN.volume_patterns)).alias("h"))
     return rows.select("doc_id", F.col("h.text").alias("title"), F.col("h.start").cast("long").alias("start"))
 
 
-@query(f"""WITH {_HEADINGS}, near AS (SELECT a.*, EXISTS (SELECT 1 FROM heads b WHERE b.doc_id = a.doc_id AND b.title = a.title AND b.start < a.start AND a.start - b.start < 100) AS dup FROM heads a),
+@query(f"""WITH RECURSIVE {_HEADINGS}, near AS (SELECT doc_id, title, min(start) AS start, false AS dup FROM heads GROUP BY doc_id, title UNION ALL SELECT k.doc_id, k.title, (SELECT min(h.start) FROM heads h WHERE h.doc_id = k.doc_id AND h.title = k.title AND h.start >= k.start + 100), false FROM near k WHERE EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = k.doc_id AND h.title = k.title AND h.start >= k.start + 100)),
 h AS (SELECT doc_id, title, start, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS next FROM near WHERE NOT dup),
 c AS (SELECT h.doc_id, title, start, coalesce(next, length(text)) AS stop, regexp_replace(substr(text, start + length(title) + 2, coalesce(next, length(text)) - start - length(title) - 1), '^\\s+|\\s+$', '', 'g') AS content FROM h JOIN documents d ON h.doc_id = d.doc_id)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chapter_index, title, start, stop::BIGINT AS stop, length(content) AS n_chars FROM c WHERE length(content) >= 10""")
