@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.text import BLOCK_BYTES, slices, text_bytes
+from loomspark.llm.text import BLOCK_BYTES, slices, text_bytes, tidy
 
 #: Key bytes that one bucket holds about.
 BUCKET_BYTES = 8 << 20
@@ -83,7 +83,7 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
             yield flush()
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    packed = plain.mapInArrow(pack, "block long, size long, ids array<long>, lens binary, data binary")
+    packed = plain.mapInArrow(tidy(pack), "block long, size long, ids array<long>, lens binary, data binary")
     blocks = bucketed(packed, "blocks", "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
     return blocks, blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
@@ -188,7 +188,7 @@ def answer(blobs: DataFrame, narrow: set[int], bits: int) -> DataFrame:
         while groups:
             yield from solve(groups.popitem()[1])
 
-    out = blobs.repartition(max(1 << bits, 2), "bucket").mapInArrow(solve_part, REPLY)
+    out = blobs.repartition(max(1 << bits, 2), "bucket").mapInArrow(tidy(solve_part), REPLY)
     return out.groupBy("block").agg(F.collect_list(F.struct("bucket", "kind", "bits", "later")).alias("replies"))
 
 
@@ -200,4 +200,4 @@ def each_block(blocks: DataFrame, work: Callable[[dict], Iterator[pa.RecordBatch
             for i in range(batch.num_rows):
                 yield from work(batch.slice(i, 1).to_pylist()[0])
 
-    return blocks.mapInArrow(go, schema)
+    return blocks.mapInArrow(tidy(go), schema)

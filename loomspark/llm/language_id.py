@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.text import Words, mix, slices, text_bytes
+from loomspark.llm.text import Words, mix, slices, text_bytes, tidy
 
 FEATURE_BITS = 15
 PER_LANGUAGE = 1500
@@ -181,7 +181,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             at = np.flatnonzero(into)
             yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(into[at])], names=["lang", "feature", "n"])
 
-    counted = chosen.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(count, "lang string, feature int, n double")
+    counted = chosen.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(tidy(count), "lang string, feature int, n double")
     got = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted({x for x in got.column("lang").to_pylist()})
     table = np.zeros(((1 << FEATURE_BITS) + N_SCRIPTS, len(langs)))
@@ -224,4 +224,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
     extra = "".join(f", _{c} {plain.schema[f'_{c}'].dataType.simpleString()}" for c in carry)
-    return plain.mapInArrow(work, OUT + extra)
+    return plain.mapInArrow(tidy(work), OUT + extra)

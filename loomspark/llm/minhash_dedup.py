@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.components import components
 from loomspark.llm.exchange import BLOB, Keys, answer, bits_for, blob_batch, bucketed, each_block, kept, text_blocks
-from loomspark.llm.text import Words, mix, span_hashes
+from loomspark.llm.text import Words, mix, span_hashes, tidy
 
 COORDS = 128
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.record_batch([pa.array(r["ids"], pa.int64()), pa.array(np.frombuffer(r["owners"], np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "node"])
 
     info = blobs.where(F.col("kind") == _INFO).select("block", "keys", "owners").join(blocks.select("block", "ids"), "block")
-    rows = kept(info.select("ids", "keys", "owners").mapInArrow(unpack, "doc_id long, n_shingles long, node binary"), "rows")
+    rows = kept(info.select("ids", "keys", "owners").mapInArrow(tidy(unpack), "doc_id long, n_shingles long, node binary"), "rows")
 
     def survive(row: dict) -> Iterator[pa.RecordBatch]:
         b = _Block(row, shingle)
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """
         side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("shingles").alias(f"set_{s}"), *((F.col("shared").alias("shared_u"),) if s == "u" else ((F.col("s") / F.col("n")).alias("part_v"),)))
         needed = side("v").join(pairs.select("v").distinct(), "v", "left_semi")
-        return kept(pairs.join(needed.repartition("v"), "v").join(side("u"), "u").mapInArrow(confirm, "u binary, v binary, linked boolean, shared long, part double, rest array<long>"), "links")
+        return kept(pairs.join(needed.repartition("v"), "v").join(side("u"), "u").mapInArrow(tidy(confirm), "u binary, v binary, linked boolean, shared long, part double, rest array<long>"), "links")
 
     possible = (F.col("n") <= F.col("hub_most")) & (F.col("hub_n") <= F.col("most"))
     best = F.max_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most")), F.struct("part", "node")).alias("h")
@@ -224,39 +224,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = kept(tried.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
     results = compare(pairs)
     links = results.where("linked").select("u", "v")
-    def regroup(lists: DataFrame) -> DataFrame:
-        """Of these postings, the lists that still have nodes of more than one component."""
-        here = lists.drop("label").join(kept(components(links), "labels"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def regroup(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of these postings, the lists that still have nodes of more than one component; and every node's hub.
+
+        Of several hubs a node keeps the one that is most shared itself, so that a group of copies agrees on it.
+        """
+        hub_of = results.groupBy("u").agg(F.max_by(F.struct("v", "shared", "rest"), F.struct("part", "v")).alias("h"))
+        hub_of = kept(hub_of.select(F.col("u").alias("node"), F.col("h.v").alias("via"), F.col("h.shared").alias("o"), F.col("h.rest").alias("rest")), "hubs")
+        about = kept(components(links), "labels").join(hub_of.select("node", "via", "o"), "node", "full_outer")
+        here = lists.drop("label", "via", "via_most", "o").join(about, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        here = here.withColumn("via_most", F.coalesce(F.floor(F.col("o") * (1 + 1 / share) - F.col("n") + 1e-6), F.lit(-1)))
         mixed = here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-        return kept(here.join(mixed, "token"), "mixed")
+        return kept(here.join(mixed, "token"), "mixed"), hub_of
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDS) for c in ("sig_u", "sig_v"))
+            keep = batch.filter(pa.array((a == b).sum(1) >= need))
+            yield pa.record_batch([keep.column("u"), keep.column("v")], names=["u", "v"])
 
     def settle(found: DataFrame) -> None:
+        """Compares what hasn't been; only pairs whose signatures agree have their sets looked up."""
         nonlocal links, pairs, results
         low, high = F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")
         new = found.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct().select("u", "v", low, high)
         new = kept(new.join(pairs.select(low, high).distinct(), ["low", "high"], "left_anti").select("u", "v"), "pairs")
         pairs = pairs.unionByName(new)
-        got = compare(new)
+        sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
+        near = new.join(sig("v").join(new.select("v").distinct(), "v", "left_semi").repartition("v"), "v").join(sig("u"), "u").mapInArrow(tidy(agree), "u binary, v binary")
+        got = compare(kept(near, "near"))
         results = results.unionByName(got)
         links = links.unionByName(got.where("linked").select("u", "v"))
 
+    # Two nodes of one hub are left to the shingles they share beyond it, unless their sizes allow more.
+    apart = F.coalesce(F.col("via") != F.col("hub_via"), F.lit(True)) | ((F.col("hub_n") <= F.col("via_most")) & (F.col("n") <= F.col("hub_via_most")))
+    told = [F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most"), F.col("via").alias("hub_via"), F.col("via_most").alias("hub_via_most")]
+
     # Its nodes with the best node of every other component that has several there.
-    here = regroup(posted)
-    hubs = here.groupBy("token", F.col("label").alias("other")).agg(best, F.count(F.lit(1)).alias("members")).where("members > 1").select("token", "other", "h.*")
-    settle(here.join(hubs, "token").where((F.col("label") != F.col("other")) & possible))
+    here, _ = regroup(posted)
+    hubs = here.groupBy("token", F.col("label").alias("other")).agg(F.max_by(F.struct(*told), F.struct("part", "node")).alias("h"), F.count(F.lit(1)).alias("members")).where("members > 1").select("token", "other", "h.*")
+    settle(here.join(hubs, "token").where((F.col("label") != F.col("other")) & possible & apart))
 
     # All pairs left.  The larger set looks for smaller ones in the few size classes that its bound leaves.
-    # Of several hubs the one that is most shared itself, so that a group of copies agrees on it.
-    hub_of = kept(results.groupBy("u").agg(F.max_by(F.struct("v", "shared", "rest"), F.struct("part", "v")).alias("h")).select(F.col("u").alias("node"), F.col("h.v").alias("via"), F.col("h.shared").alias("o"), F.col("h.rest").alias("rest")), "hubs")
-    here = regroup(here).join(hub_of.select("node", "via", "o"), "node", "left")
+    here, hub_of = regroup(here)
     size = lambda x: F.floor(F.log(x.cast("double")) / np.log(1.02)).cast("int")
-    by_hub = F.floor(F.col("o") * (1 + 1 / share) - F.col("n") + 1e-6)
-    here = kept(here.withColumn("via_most", F.coalesce(by_hub, F.lit(-1))), "mixed")
     low, high = size(F.ceil(F.col("n") * share - 1e-6)), size(F.least("n", "most"))
     asks = here.where(high >= low).withColumn("class", F.explode(F.sequence(low, high)))
-    told = here.select("token", F.col("label").alias("other"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most"), F.col("via").alias("hub_via"), F.col("via_most").alias("hub_via_most"), size(F.col("n")).alias("class"))
-    apart = F.coalesce(F.col("via") != F.col("hub_via"), F.lit(True)) | ((F.col("hub_n") <= F.col("via_most")) & (F.col("n") <= F.col("hub_via_most")))
-    by_size = asks.join(told, ["token", "class"]).where((F.col("label") != F.col("other")) & possible & (F.col("hub_n") <= F.col("n")) & apart)
+    others = here.select("token", F.col("label").alias("other"), *told, size(F.col("n")).alias("class"))
+    by_size = asks.join(others, ["token", "class"]).where((F.col("label") != F.col("other")) & possible & (F.col("hub_n") <= F.col("n")) & apart)
     once = here.select("node", "label", "n", "most").distinct()
     beyond = once.join(hub_of.select("node", "via", F.explode("rest").alias("shingle")), "node")
     meet = beyond.groupBy("via", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("via", "shingle")

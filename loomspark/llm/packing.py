@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from loomspark.llm.text import Words, slices, text_bytes
+from loomspark.llm.text import Words, slices, text_bytes, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -160,4 +160,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.record_batch([key, pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(crc, pa.int64()), pa.array(counts[rows[:, 0]]), pa.array(part + first + rows[:, 3]), pa.array(rows[:, 4]), lists], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
                 first += int(rows[:, 3].max(initial=-1)) + 1
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, OUT)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(work), OUT)

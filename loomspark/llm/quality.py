@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.text import Words, covered, mix, slices, span_hashes, text_bytes
+from loomspark.llm.text import Words, covered, mix, slices, span_hashes, text_bytes, tidy
 
 BITS = 12  # per family: words, word pairs, 3-grams, 4-grams
 FAMILIES = 4
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 place, value, cut = np.concatenate(places)[order], np.concatenate(values)[order], np.searchsorted(d[order], np.arange(n + 1))
                 yield pa.record_batch([piece.column("id").cast(pa.int64()), piece.column("y").cast(pa.int32()), pa.array([place[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["id", "y", "places", "shares"])
 
-    got = rows.mapInArrow(shares, "id long, y int, places binary, shares binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).slice(0, 2 * sample)
+    got = rows.mapInArrow(tidy(shares), "id long, y int, places binary, shares binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).slice(0, 2 * sample)
     y = got.column("y").to_numpy().astype(np.float32)
     if not 0 < (y > 0).sum() < len(y):
         return Model(np.zeros((FAMILIES, 1 << BITS)), 0.0, 1.0, 10.0)
@@ -213,4 +213,4 @@ def quality_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 p = shared.value.probability(words)
                 yield pa.record_batch([piece.column("id"), *(pa.array(v.astype(np.int64)) for v in c.values()), pa.array(failed), pa.array(~failed & (p >= keep_at)), pa.array(p)], names=["doc_id", *c, "base_failed", "kept", "quality_probability"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, OUT)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(work), OUT)
