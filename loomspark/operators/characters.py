@@ -43,9 +43,16 @@ def delete_rows(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def next_ids(df: DataFrame, new: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """New rows with ids that follow the table's largest."""
+    """New rows with ids that follow the table's largest, in order, without gaps.
+
+    Rows are numbered within the first order column (a project); only its counts go through a single task.
+    """
     top = df.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    return new.withColumn(id_col, F.row_number().over(Window.orderBy(*order)).cast("long")).join(F.broadcast(top)).withColumn(id_col, F.col(id_col) + F.col("_top")).drop("_top")
+    head = order[0]
+    before = F.coalesce(F.sum("_k").over(Window.orderBy(head).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = new.groupBy(head).agg(F.count(F.lit(1)).alias("_k")).withColumn("_before", before).drop("_k")
+    rows = new.withColumn("_n", F.row_number().over(Window.partitionBy(head).orderBy(*order))).join(offsets, new[head].eqNullSafe(offsets[head])).drop(offsets[head])
+    return rows.join(F.broadcast(top)).withColumn(id_col, (F.col("_top") + F.col("_before") + F.col("_n")).cast("long")).drop("_top", "_before", "_n")
 
 
 def with_alias(df: DataFrame, character_id: int, alias: str) -> DataFrame:
