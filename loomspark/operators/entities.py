@@ -60,11 +60,11 @@ def right_neighbours(docs: DataFrame, names: DataFrame, id_cols: list[str], text
 def cooccurrence(pairs: DataFrame, group: list[str], name: str = "name") -> DataFrame:
     """Unordered pairs of names in the same group (a paragraph), counted both ways: (name, other, n).
 
-    Groups are paragraphs, so the self-join's rows are bounded by the square of the names in one.
+    A group's distinct names are gathered once and paired in place, so the texts are read once; a paragraph bounds them.
     """
-    each = pairs.select(*group, F.col(name).alias("name")).distinct()
-    other = each.select(*group, F.col("name").alias("other"))
-    return each.join(other, group).where("name <> other").groupBy("name", "other").agg(F.count(F.lit(1)).alias("n"))
+    names = pairs.groupBy(*group).agg(F.collect_set(F.col(name)).alias("_names")).where(F.size("_names") > 1)
+    both = F.flatten(F.transform("_names", lambda a: F.transform(F.filter("_names", lambda b: b != a), lambda b: F.struct(a.alias("name"), b.alias("other")))))
+    return names.select(F.explode(both).alias("p")).groupBy("p.name", "p.other").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cooccurrence_stats(pairs: DataFrame, counts: DataFrame, high: int = HIGH_OCCURRENCES) -> DataFrame:
