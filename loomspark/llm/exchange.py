@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.text import BLOCK_BYTES, slices, text_bytes, tidy
+from loomspark.llm.text import BLOCK_BYTES, bounded, slices, text_bytes, tidy
 
 #: Key bytes that one bucket holds about.
 BUCKET_BYTES = 8 << 20
@@ -82,7 +82,7 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         if waiting:
             yield flush()
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     packed = plain.mapInArrow(tidy(pack), "block long, size long, ids array<long>, lens binary, data binary")
     blocks = bucketed(packed, "blocks", "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
     return blocks, blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.text import Words, mix, slices, text_bytes, tidy
+from loomspark.llm.text import Words, bounded, mix, slices, text_bytes, tidy
 
 FEATURE_BITS = 15
 PER_LANGUAGE = 1500
@@ -222,6 +222,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base), pa.array(names[label[starts]], pa.string())], names=["start", "end", "lang"]))
                 yield pa.record_batch([piece.column("id"), pa.array(names[pick], pa.string()), pa.array(score), spans, *(piece.column(f"_{c}") for c in carry)], names=["doc_id", "lang_pred", "score", "spans", *(f"_{c}" for c in carry)])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
+    plain = bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in carry)))
     extra = "".join(f", _{c} {plain.schema[f'_{c}'].dataType.simpleString()}" for c in carry)
     return plain.mapInArrow(tidy(work), OUT + extra)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.text import bounded
+
 FRAME = 64
 RATE = 25
 CHUNK_FRAMES = 256
@@ -203,7 +205,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if rows:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, OUT)
+    return bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(work, OUT)
 
 
 INFO = "media_codec string, media_seconds double, media_frames long, media_key_ranges array<struct<start:long,end:long>>"

@@ -28,14 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from loomspark.llm.text import Words, slices, text_bytes, tidy
+from loomspark.llm.text import Words, bounded, slices, text_bytes, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 LENGTH = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 ENCODE_AT_ONCE = 20_000
+SLICE_BYTES = 2 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -52,6 +53,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {c.encode(): ids[0] for c in ".,;:!?" if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1 and ids[0] > 0}
         self.clear()
 
     def clear(self) -> None:
@@ -62,12 +67,42 @@ class Encoder:
         self.used = 0
 
     def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        sizes, flat = [], []
-        for i in range(0, len(words), ENCODE_AT_ONCE):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[i : i + ENCODE_AT_ONCE]], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
-            flat.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
-        return np.concatenate(sizes), np.concatenate(flat)
+        """Counts and ids of the words.
+
+        A run of ASCII letters is one unit of the tokenizer in lower case, and a mark after it another, so such words
+        are encoded as one text of distinct runs, whose units end where a token ends a word.  Other words go one by one.
+        """
+        runs: dict[bytes, int] = {}
+        run, mark, odd = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64), []
+        for i, w in enumerate(words):
+            if w.isalpha():
+                run[i] = runs.setdefault(w.lower(), len(runs))
+            elif w[:-1].isalpha() and w[-1:] in self.marks:
+                run[i] = runs.setdefault(w[:-1].lower(), len(runs))
+                mark[i] = self.marks[w[-1:]]
+            else:
+                odd.append(w)
+        names = [r.decode() for r in runs]
+        parts = [np.array(self.tokenizer.encode_batch_fast([" ".join(names[i : i + ENCODE_AT_ONCE])], add_special_tokens=False)[0].ids, np.uint32) for i in range(0, len(names), ENCODE_AT_ONCE)]
+        flat = np.concatenate([*parts, np.zeros(0, np.uint32)])
+        ends = np.flatnonzero(self.closes[flat]) + 1
+        if len(ends) != len(names):
+            raise ValueError("this tokenizer doesn't encode runs of letters one by one")
+        size_of = np.diff(ends, prepend=0)
+        got = [e.ids for i in range(0, len(odd), ENCODE_AT_ONCE) for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd[i : i + ENCODE_AT_ONCE]], add_special_tokens=False)]
+        odd_size = np.fromiter(map(len, got), np.int64, len(got))
+        source = np.concatenate([flat, np.fromiter(chain.from_iterable(got), np.uint32, int(odd_size.sum()))])
+        plain = run >= 0
+        size, start = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        size[plain], start[plain] = size_of[run[plain]], (ends - size_of)[run[plain]]
+        size[~plain], start[~plain] = odd_size, len(flat) + np.cumsum(odd_size) - odd_size
+        full = size + (mark > 0)
+        out = np.empty(int(full.sum()), np.uint32)
+        at = np.cumsum(full) - full
+        spread = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(at, size) + spread] = source[np.repeat(start, size) + spread]
+        out[(at + size)[mark > 0]] = mark[mark > 0]
+        return full, out
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The cache's number of each distinct word; new words are encoded.  Words are known by 64-bit hashes, some 40 bytes each in all."""
@@ -145,7 +180,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         part, first = TaskContext.get().partitionId() << 33, 0
         enc = encoder(path)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE_BYTES):
                 flat, counts = enc.encode(Words(*text_bytes(piece.column("text"))), end_id)
                 rows = pack(counts, length)
                 begin = (np.cumsum(counts) - counts)[rows[:, 0]] + rows[:, 1]
@@ -160,4 +195,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.record_batch([key, pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(crc, pa.int64()), pa.array(counts[rows[:, 0]]), pa.array(part + first + rows[:, 3]), pa.array(rows[:, 4]), lists], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
                 first += int(rows[:, 3].max(initial=-1)) + 1
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(work), OUT)
+    return bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(tidy(work), OUT)

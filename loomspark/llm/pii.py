@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.text import tidy
+from loomspark.llm.text import bounded, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 HIDDEN = 16
@@ -363,7 +363,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 found = pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans] for _, spans in got], struct)
                 yield pa.record_batch([piece.column("id"), *counts, sha, pa.array([join_spans(x) for _, x in got], pa.string()), found], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "found"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(work), OUT)
+    return bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(tidy(work), OUT)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -381,4 +381,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 clean = [None if t is None else mask(t, spans) for t, (_, spans) in zip(texts, got, strict=True)]
                 yield pa.record_batch([pa.array(clean, c.type) if j == at else c for j, c in enumerate(piece.columns)], schema=piece.schema)
 
-    return docs.mapInArrow(tidy(work), schema)
+    return bounded(docs).mapInArrow(tidy(work), schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.text import Words, covered, mix, slices, span_hashes, text_bytes, tidy
+from loomspark.llm.text import Words, bounded, covered, mix, slices, span_hashes, text_bytes, tidy
 
 BITS = 12  # per family: words, word pairs, 3-grams, 4-grams
 FAMILIES = 4
@@ -213,4 +213,4 @@ def quality_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 p = shared.value.probability(words)
                 yield pa.record_batch([piece.column("id"), *(pa.array(v.astype(np.int64)) for v in c.values()), pa.array(failed), pa.array(~failed & (p >= keep_at)), pa.array(p)], names=["doc_id", *c, "base_failed", "kept", "quality_probability"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(work), OUT)
+    return bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(tidy(work), OUT)

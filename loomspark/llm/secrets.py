@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.text import bounded
+
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "key")
 BASE = 3
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -133,4 +135,4 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             counts = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(BASE)]
             yield pa.record_batch([batch.column("id"), *counts, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], struct)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, OUT)
+    return bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(work, OUT)

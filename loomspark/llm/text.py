@@ -14,8 +14,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 4 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -34,6 +36,14 @@ def mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return x
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows, sent to Python in batches whose bytes are bounded too: ten thousand long texts would be a batch of gigabytes."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) or 10_000, BATCH_ROWS)))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's function that hands its freed memory back when it ends; Python workers idle between tasks and would keep it."""
 
