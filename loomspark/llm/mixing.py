@@ -8,7 +8,8 @@ target; of the rest, blocks are taken in a hashed order up to the target.  These
 A splitting tree deals them to the output shards: at each node a random half of the node's block draws goes left,
 so that the halves' source counts follow the multivariate hypergeometric distribution, down to the shards, whose
 draws are disjoint.  The block in which a source reaches its target is split again by the same hash, and the
-last part document by document: in hashed order, each that still fits.  Inside a shard rows get a hashed order.
+last part document by document: each that still fits, in the order of TRIES that leaves
+least over.  Inside a shard rows get a hashed order.
 
 Everything beyond the documents themselves is bounded: blocks by BLOCKS plus one for each source, the last part
 by about 2 * LAST documents of each source.  No source is gathered in one task.
@@ -28,6 +29,7 @@ from loomspark.llm.exchange import kept
 BLOCKS = 1 << 17
 BLOCK_ROWS = 256
 LAST = 512
+TRIES = 24
 FEW_SOURCES = 50_000
 ADDED = ("size", "source_size", "target", "taken", "copies")
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -108,12 +110,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before, reached = _reached(F.col("part"), "words", "left", ["source"])
     by_part = by_part.withColumn("before", before).withColumn("last", reached)
     empty = F.array().cast("array<bigint>")
-    fits = F.aggregate(
-        "items",
-        F.struct((F.col("left") - F.col("before")).alias("room"), empty.alias("hashes")),
-        lambda acc, x: F.when((x["words"] > 0) & (x["words"] <= acc["room"]), F.struct((acc["room"] - x["words"]).alias("room"), F.array_append(acc["hashes"], x["hash"]).alias("hashes"))).otherwise(acc),
-        lambda acc: acc["hashes"],
-    )
+
+    def fill(n: Column) -> Column:
+        """What fits in the n-th order: the largest first, then hashed orders."""
+        ordered = F.sort_array(F.transform("items", lambda x: F.struct(F.when(n == 0, -x["words"]).otherwise(F.xxhash64(x["hash"], n)).alias("key"), x["hash"].alias("hash"), x["words"].alias("words"))))
+        start = F.struct((F.col("left") - F.col("before")).alias("room"), empty.alias("hashes"))
+        return F.aggregate(ordered, start, lambda acc, x: F.when((x["words"] > 0) & (x["words"] <= acc["room"]), F.struct((acc["room"] - x["words"]).alias("room"), F.array_append(acc["hashes"], x["hash"]).alias("hashes"))).otherwise(acc))
+
+    fits = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), fill))["hashes"]
     taken_part = ~F.col("last") & (F.col("before") + F.col("words") <= F.col("left"))
     ends = by_part.groupBy("source", "block", "parts").agg(F.collect_list(F.when(taken_part, F.col("part"))).alias("taken_parts"), F.flatten(F.collect_list(F.when(F.col("last"), fits))).alias("taken_hashes"))
     keys = lambda x, t: x["source"].eqNullSafe(t["source"]) & (x["block"] == t["block"])
