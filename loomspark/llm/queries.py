@@ -71,5 +71,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_WORDS = r"w AS (SELECT doc_id, regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents), p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w)"
+
+OP9_SQL = f"""WITH {_WORDS.format(text='text')},
+h AS (SELECT doc_id, i, word, count(*) OVER f AS c, string_agg(word, ' ') OVER f AS k FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+m AS (SELECT k, min(doc_id) AS least FROM h WHERE c = 50 GROUP BY k),
+t AS (SELECT h.doc_id, i, word, coalesce(c = 50 AND h.doc_id > least, false) AS hit FROM h LEFT JOIN m ON h.k = m.k),
+g AS (SELECT doc_id, i, word, max(hit::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM t),
+d AS (SELECT doc_id, count(*) AS n_words, count_if(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN d ON w.doc_id = d.doc_id"""
+
+OP8_SQL = f"""WITH RECURSIVE {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+h AS (SELECT doc_id, i, count(*) OVER f AS c, string_agg(word, ' ') OVER f AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+s AS (SELECT DISTINCT doc_id, k FROM h WHERE c = 3 OR (i = 1 AND n < 3)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM x JOIN z za ON za.doc_id = a JOIN z zb ON zb.doc_id = b WHERE 100 * m >= 85 * (za.n + zb.n - m)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d LEFT JOIN z ON d.doc_id = z.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON d.doc_id = c.a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_minhash_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL}
