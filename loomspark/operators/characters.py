@@ -187,3 +187,16 @@ def promotions(mentions: DataFrame, keys: list[str], order: list[str], at: int =
     """The mention with which a temporary character becomes permanent."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return mentions.withColumn("n_mentions", n).where(F.col("n_mentions") == at)
+
+
+def with_narrator(characters: DataFrame, name: str = "narrator") -> DataFrame:
+    """The characters of every project with a narrator, whose id is -1."""
+    narrator = characters.select("project").distinct().select(*(F.lit(-1).cast("long").alias(c) if c == "id" else F.lit(name).alias(c) if c == "name" else F.col(c) if c == "project" else F.lit(None).cast(characters.schema[c].dataType).alias(c) for c in characters.columns))
+    return narrator.unionByName(characters)
+
+
+def same_count(before: DataFrame, after: DataFrame) -> None:
+    """Migration guard: raises if rows were lost or added."""
+    a, b = before.count(), after.count()
+    if a != b:
+        raise ValueError(f"{a} rows became {b}")

@@ -213,3 +213,12 @@ def speaker_roles(names: DataFrame, speakers: DataFrame, keys: list[str]) -> Dat
     keep = (F.col("type") != "PER") | (F.round("confidence", 10) == 0.65) | (F.col("n") >= 3) | F.coalesce("_speaks", F.lit(False))
     raised = F.when(F.col("scenes") >= 3, F.greatest("confidence", F.least(F.col("confidence") * 1.5, F.lit(0.8)))).when(F.col("scenes") >= 2, F.greatest("confidence", F.least(F.col("confidence") * 1.5, F.lit(0.65)))).otherwise(F.col("confidence"))
     return rows.where(keep).withColumn("confidence", raised).drop("_speaks")
+
+
+def chapter_spread(positions_: DataFrame, chapters: DataFrame, id_cols: list[str], bucket: int = 5000) -> DataFrame:
+    """Distinct chapters in which each name occurs: positions meet chapter spans by stretches of the text."""
+    p = positions_.withColumn("_b", F.floor(F.col("start") / bucket))
+    c = chapters.select(*id_cols, F.col("chapter_index"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    c = c.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / bucket), F.floor((F.col("_e") - 1) / bucket))))
+    inside = (F.col("start") >= F.col("_s")) & (F.col("start") < F.col("_e"))
+    return p.join(c, [*id_cols, "_b"]).where(inside).groupBy(*id_cols, "name").agg(F.count_distinct("_s").alias("n_chapters"))

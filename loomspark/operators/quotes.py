@@ -116,3 +116,19 @@ def group_speaker(context: Column, pack: Pack) -> Column:
     """GROUP:n for 2 to 10 people named by number, GROUP:CROWD for crowd words, else null."""
     n = F.try_to_number(F.nullif(F.regexp_extract(context, r"(\d+)人", 1), F.lit("")), F.lit("999999")).cast("int")
     return F.when(n.between(2, 10), F.concat(F.lit("GROUP:"), n.cast("string"))).when(context.rlike(quote_pattern(pack.crowd_words)), F.lit("GROUP:CROWD"))
+
+
+def is_dialogue(texts: DataFrame, pack: Pack, text_col: str, quote_col: str) -> DataFrame:
+    """Adds is_dialogue for one given quote of each text; True where the text doesn't have it in any quote marks."""
+    rows = texts.withColumn("_row", F.monotonically_increasing_id())
+    found = boundary_verdict(extract_all_quotes(rows.select("_row", text_col, quote_col), ["_row"], text_col).join(rows.select("_row", F.col(quote_col).alias("_wanted")), "_row").where(F.col("quote") == F.col("_wanted")), pack)
+    first = found.groupBy("_row").agg(F.min_by("is_dialogue", "start").alias("is_dialogue"))
+    return rows.join(first, "_row", "left").withColumn("is_dialogue", F.coalesce("is_dialogue", F.lit(True))).drop("_row")
+
+
+def speech_contexts(docs: DataFrame, pack: Pack, id_cols: list[str], text_col: str = "text", around: int = 15) -> DataFrame:
+    """Short texts that may name a speaker: the characters before each quote, and those after it up to a speech verb."""
+    quotes_ = extract_all_quotes(docs, id_cols, text_col, around=around)
+    tail = F.regexp_extract("after", f"^([^，。！？,.!?]{{0,6}}(?:{quote_pattern(pack.speech_verbs)}))", 1)
+    each = F.array(F.struct(F.lit("before").alias("kind"), F.col("before").alias("context")), F.struct(F.lit("after").alias("kind"), tail.alias("context")))
+    return quotes_.select(*id_cols, "quote_index", F.explode(each).alias("c")).select(*id_cols, "quote_index", "c.*").where(F.col("context") != "")

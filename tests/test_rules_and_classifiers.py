@@ -51,3 +51,22 @@ def test_speaker_formulas(spark):
     assert value(speakers.self_introduction(F.lit("我叫林雪，你呢"))) == "林雪"
     assert round(value(speakers.action_boost(F.lit(0.9), F.lit("林雪"), F.lit("林雪缓缓转身"), ("转身",))), 2) == 0.95
     assert round(value(speakers.semantic_confidence(F.lit(0.9))), 2) == 0.7
+
+
+def test_spread_contexts_and_guards(spark):
+    import pytest
+
+    from loomspark.operators import characters as lib
+    from loomspark.operators import entities, quotes
+
+    p = spark.createDataFrame([(1, "林雪", 10), (1, "林雪", 7000), (1, "萧炎", 10)], "d int, name string, start int")
+    c = spark.createDataFrame([(1, 0, 0, 6000), (1, 1, 6000, 9000)], "d int, chapter_index int, start int, end int")
+    assert {r.name: r.n_chapters for r in entities.chapter_spread(p, c, ["d"]).collect()} == {"林雪": 2, "萧炎": 1}
+    t = spark.createDataFrame([("匾上「天剑阁」三字", "天剑阁"), ("他道：「好。」", "好。"), ("无", "好")], "t string, q string")
+    assert {r.q: r.is_dialogue for r in quotes.is_dialogue(t, ZH, "t", "q").collect()} == {"天剑阁": False, "好。": True, "好": True}
+    d = spark.createDataFrame([(1, "「好。」林雪说道")], "d int, text string")
+    assert [(r.kind, r.context) for r in quotes.speech_contexts(d, ZH, ["d"]).collect()] == [("after", "林雪说道")]
+    lib_ = spark.createDataFrame([(1, "p", "林雪")], "id long, project string, name string")
+    assert sorted(r.id for r in lib.with_narrator(lib_).collect()) == [-1, 1]
+    with pytest.raises(ValueError):
+        lib.same_count(lib_, lib_.limit(0))
