@@ -30,6 +30,7 @@ BLOCKS = 1 << 17
 BLOCK_ROWS = 256
 LAST = 512
 TRIES = 24
+SHARD_WORDS = 8_000_000
 FEW_SOURCES = 50_000
 ADDED = ("size", "source_size", "target", "taken", "copies")
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -71,10 +72,11 @@ def _reached(order: Column, words: str, rest: str, keys: list[str]) -> tuple[Col
     return before, (before < F.col(rest)) & (before + F.col(words) > F.col(rest))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), factor: float = 1.5, cap: float = 2.0, depth: int = 4, seed: int = 17, texts: bool = True) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), factor: float = 1.5, cap: float = 2.0, depth: int | None = None, seed: int = 17, texts: bool = True) -> DataFrame:
     """Adds size, source_size, target, taken and copies (shard and order of each draw) to every document.
 
     texts: keep all columns; otherwise only the id and what is added, and the texts are read once.
+    depth: of the splitting tree; by default such that a shard has about SHARD_WORDS words.
     """
     clean = docs.drop(*(c for c in ADDED if c in docs.columns and c not in (id_col, text_col, source_col)))
     full = clean.withColumn("_size", word_count(text_col)).withColumn("_source", F.col(source_col)).withColumn("_hash", F.xxhash64(F.col(id_col), F.col(source_col), F.xxhash64(text_col), F.lit(seed)))
@@ -90,6 +92,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = plan.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     small = F.broadcast if few else (lambda x: x)  # rows are bounded by FEW_SOURCES and BLOCKS only then
 
+    if depth is None:
+        wanted = plan.agg(F.sum("target")).first()[0] or 0
+        depth = min(16, max(4, int(wanted / SHARD_WORDS).bit_length()))
+
     block = F.pmod(F.col("hash"), F.col("blocks"))
     dealt = d.join(small(plan.select("source", "blocks", "whole", "rest").withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("block", block)
     by_block = dealt.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
@@ -138,7 +144,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*first, *(F.col(f"_{c}").alias(c) for c in ADDED if c not in first))
 
 
-def mixed_rows(mixed: DataFrame, columns: list[str], depth: int = 4) -> DataFrame:
+def mixed_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: one row for each draw, dealt by shard and in the shard's own order."""
     rows = mixed.select(*columns, F.explode("copies").alias("_at"))
-    return rows.repartition(1 << depth, "_at.shard").sortWithinPartitions("_at.shard", "_at.order").select(*columns)
+    return rows.repartition("_at.shard").sortWithinPartitions("_at.shard", "_at.order").select(*columns)
