@@ -34,9 +34,9 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 LENGTH = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 ENCODE_AT_ONCE = 20_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
