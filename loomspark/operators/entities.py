@@ -50,11 +50,17 @@ def occurrence_counts(docs: DataFrame, names: DataFrame, id_cols: list[str], tex
 
 
 def right_neighbours(docs: DataFrame, names: DataFrame, id_cols: list[str], text_col: str = "text", width: int = 2) -> DataFrame:
-    """Distinct non-punctuation characters among the `width` after every occurrence of a name."""
-    rows = docs.select(*id_cols, F.col(text_col).alias("_t")).join(names.select(*id_cols, "name").distinct(), id_cols)
-    hits = rows.select(*id_cols, "name", "_t", F.explode(positions(F.col("_t"), F.col("name"))).alias("at"))
-    chars = F.filter(F.split(after(F.col("_t"), F.col("at") + F.length("name"), width), ""), lambda c: (c != "") & ~c.rlike(r"[\p{P}\s]"))
-    return hits.select(*id_cols, "name", F.explode_outer(chars).alias("char")).groupBy(*id_cols, "name").agg(F.count_distinct("char").alias("diversity"), F.sort_array(F.collect_set("char")).alias("neighbours"))
+    """Distinct non-punctuation characters among the `width` after every occurrence of a name.
+
+    A text meets all of its names in one row and each name takes one pass, so texts of any length are read whole.
+    """
+    per_text = names.where(F.length("name") > 0).groupBy(*id_cols).agg(F.collect_set("name").alias("_names"))
+    rows = docs.select(*id_cols, F.col(text_col).alias("_t")).join(per_text, id_cols)
+    found = lambda n: F.regexp_extract_all(F.col("_t"), F.concat(F.lit("(?s)\\Q"), n, F.lit(f"\\E(?=(.{{0,{width}}}))")), F.lit(1))
+    hits = rows.select(*id_cols, F.explode(F.transform("_names", lambda n: F.struct(n.alias("name"), F.array_distinct(found(n)).alias("next")))).alias("h"))
+    chars = F.filter(F.split(F.array_join("h.next", ""), ""), lambda c: (c != "") & ~c.rlike(r"[\p{P}\s]"))
+    every = hits.where(F.size("h.next") > 0).select(*id_cols, "h.name", chars.alias("_chars")).groupBy(*id_cols, "name").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_chars")))).alias("neighbours"))
+    return every.select(*id_cols, "name", F.size("neighbours").cast("long").alias("diversity"), "neighbours")
 
 
 def cooccurrence(pairs: DataFrame, group: list[str], name: str = "name") -> DataFrame:

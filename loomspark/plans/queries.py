@@ -291,8 +291,8 @@ ch AS (SELECT doc_id, name, unnest(string_split(substr(text, a + length(name) +
 SELECT s.doc_id, s.name, count(DISTINCT CASE WHEN c <> '' AND NOT regexp_matches(c, '[\p{P}\s]') THEN c END) AS diversity FROM short s LEFT JOIN ch ON s.doc_id = ch.doc_id AND s.name = ch.name GROUP BY s.doc_id, s.name""")
 def right_neighbors(spark, d):
     docs = table(spark, d, "documents")
-    short = _mentions(spark, d).where(F.length("name") <= 3).distinct().join(docs.where(F.length("text") < 3000).select("doc_id"), "doc_id", "left_semi")
-    return entities.right_neighbours(docs.where(F.length("text") < 3000), short, ["doc_id"]).select("doc_id", "name", "diversity")
+    short = _mentions(spark, d).where(F.length("name") <= 3).distinct()
+    return entities.right_neighbours(docs, short, ["doc_id"]).select("doc_id", "name", "diversity")
 
 
 @query(f"WITH {_NAMES} SELECT upper(name[1:1]) AS head, name, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY upper(name[1:1])), 6)::DOUBLE AS tightness FROM names WHERE length(name) <= 4 GROUP BY upper(name[1:1]), name")
