@@ -44,9 +44,11 @@ def descriptive_roles(text: Column, pack: Pack) -> Column:
 
 
 def occurrence_counts(docs: DataFrame, names: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """Non-overlapping occurrences of each of a text's distinct names."""
-    rows = docs.select(*id_cols, F.col(text_col).alias("_t")).join(names.select(*id_cols, "name").distinct(), id_cols)
-    return rows.select(*id_cols, "name", occurrences(F.col("_t"), F.col("name")).alias("n"))
+    """Non-overlapping occurrences of each of a text's distinct names; a text meets all of its names in one row."""
+    per_text = names.groupBy(*id_cols).agg(F.collect_set("name").alias("_names"))
+    rows = docs.select(*id_cols, F.col(text_col).alias("_t")).join(per_text, id_cols)
+    counted = rows.select(*id_cols, F.explode(F.transform("_names", lambda n: F.struct(n.alias("name"), occurrences(F.col("_t"), n).alias("n")))).alias("c"))
+    return counted.select(*id_cols, "c.name", "c.n")
 
 
 def right_neighbours(docs: DataFrame, names: DataFrame, id_cols: list[str], text_col: str = "text", width: int = 2) -> DataFrame:
@@ -67,10 +69,13 @@ def cooccurrence(pairs: DataFrame, group: list[str], name: str = "name") -> Data
     """Unordered pairs of names in the same group (a paragraph), counted both ways: (name, other, n).
 
     A group's distinct names are gathered once and paired in place, so the texts are read once; a paragraph bounds them.
+    Each pair is made and counted in one direction, then given in both.
     """
     names = pairs.groupBy(*group).agg(F.collect_set(F.col(name)).alias("_names")).where(F.size("_names") > 1)
-    both = F.flatten(F.transform("_names", lambda a: F.transform(F.filter("_names", lambda b: b != a), lambda b: F.struct(a.alias("name"), b.alias("other")))))
-    return names.select(F.explode(both).alias("p")).groupBy("p.name", "p.other").agg(F.count(F.lit(1)).alias("n"))
+    firsts = names.select(F.explode("_names").alias("_a"), "_names")
+    counted = firsts.select("_a", F.explode(F.filter("_names", lambda b: b > F.col("_a"))).alias("_b")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n"))
+    both = F.array(F.struct(F.col("_a").alias("name"), F.col("_b").alias("other")), F.struct(F.col("_b").alias("name"), F.col("_a").alias("other")))
+    return counted.select(F.explode(both).alias("p"), "n").select("p.name", "p.other", "n")
 
 
 def cooccurrence_stats(pairs: DataFrame, counts: DataFrame, high: int = HIGH_OCCURRENCES) -> DataFrame:

@@ -259,7 +259,7 @@ _LINES = r"pars AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '[A-Z][a-z
 
 def _line_names(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return lines.select("doc_id", "n", F.explode(F.regexp_extract_all("line", F.lit(LATIN.name_pattern), F.lit(0))).alias("name")).where(F.length("name") <= 3)
+    return lines.select("doc_id", "n", F.explode(F.regexp_extract_all("line", F.lit(LATIN.name_pattern), F.lit(0))).alias("name"))
 
 
 @query(f"WITH {_LINES} SELECT a.name, b.name AS other, count(*) AS n FROM few a JOIN few b ON a.doc_id = b.doc_id AND a.n = b.n AND a.name <> b.name GROUP BY a.name, b.name")
@@ -281,8 +281,7 @@ _SHORT = "short AS (SELECT DISTINCT doc_id, name FROM names WHERE length(name) <
 @query(f"""WITH {_NAMES}, {_SHORT}, occ AS (SELECT s.doc_id, s.name, ((length(text) - length(replace(text, s.name, ''))) / length(s.name))::BIGINT AS n FROM short s JOIN documents d ON s.doc_id = d.doc_id)
 SELECT o.doc_id, o.name, o.n FROM occ o""")
 def name_occurrences(spark, d):
-    short = _mentions(spark, d).where(F.length("name") <= 3).distinct()
-    return entities.occurrence_counts(table(spark, d, "documents"), short, ["doc_id"])
+    return entities.occurrence_counts(table(spark, d, "documents"), _mentions(spark, d), ["doc_id"])
 
 
 @query(r"""WITH RECURSIVE names AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-zà-ÿ]+')) AS name FROM documents), short AS (SELECT n.doc_id, name, text FROM names n JOIN documents d ON n.doc_id = d.doc_id WHERE length(name) <= 3 AND length(text) < 3000),
@@ -290,16 +289,14 @@ pos AS (SELECT doc_id, name, text, instr(text, name) - 1 AS a FROM short UNION A
 ch AS (SELECT doc_id, name, unnest(string_split(substr(text, a + length(name) + 1, 2), '')) AS c FROM pos)
 SELECT s.doc_id, s.name, count(DISTINCT CASE WHEN c <> '' AND NOT regexp_matches(c, '[\p{P}\s]') THEN c END) AS diversity FROM short s LEFT JOIN ch ON s.doc_id = ch.doc_id AND s.name = ch.name GROUP BY s.doc_id, s.name""")
 def right_neighbors(spark, d):
-    docs = table(spark, d, "documents")
-    short = _mentions(spark, d).where(F.length("name") <= 3).distinct()
-    return entities.right_neighbours(docs, short, ["doc_id"]).select("doc_id", "name", "diversity")
+    return entities.right_neighbours(table(spark, d, "documents"), _mentions(spark, d), ["doc_id"]).select("doc_id", "name", "diversity")
 
 
 @query(f"WITH {_NAMES} SELECT upper(name[1:1]) AS head, name, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY upper(name[1:1])), 6)::DOUBLE AS tightness FROM names WHERE length(name) <= 4 GROUP BY upper(name[1:1]), name")
 def tightness(spark, d):
     from pyspark.sql import Window
 
-    counted = _mentions(spark, d).where(F.length("name") <= 4).groupBy(F.upper(F.substring("name", 1, 1)).alias("head"), "name").agg(F.count(F.lit(1)).alias("n"))
+    counted = _mentions(spark, d).groupBy(F.upper(F.substring("name", 1, 1)).alias("head"), "name").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("tightness", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("head")), 6))
 
 
