@@ -126,8 +126,8 @@ def core_name(name: Column, kin: str = "(?:先生|小姐|姑娘|公子|师兄|
 def link_entities(entities: DataFrame, characters: DataFrame, kin: str | None = None, keep_at: float = 0.5) -> DataFrame:
     """Links (project, text, type, confidence) to the library.
 
-    Exact name or alias at 1.0; else the core name inside a library name or as its suffix, at 0.6 or more; else the entity
-    stays unlinked if its confidence reaches keep_at.  Single-character persons drop out, other types pass.
+    Exact name or alias at 1.0; else the core name as a name or alias, inside a library name or as its suffix, at 0.6 or
+    more; else the entity stays unlinked if its confidence reaches keep_at.  Single-character persons drop out, other types pass.
     Core names meet library names by their first character, so the contains test runs on few pairs.
     """
     rows = entities.withColumn("_row", F.monotonically_increasing_id())
@@ -139,7 +139,8 @@ def link_entities(entities: DataFrame, characters: DataFrame, kin: str | None =
     rest = rows.where(person & F.col("b").isNull()).select("_row", "project", core.alias("core")).where(F.length("core") >= 2).withColumn("c", F.substring("core", 1, 1))
     library = characters.select("project", "id", "name", F.explode(F.array_distinct(F.split("name", ""))).alias("c"))
     inside = rest.join(library, ["project", "c"]).where(F.contains("name", "core") | F.endswith(F.col("core"), F.col("name"))).groupBy("_row").agg(F.min(F.struct("id", "name")).alias("n"))
-    rows = rows.join(inside, "_row", "left")
+    same = rest.withColumnRenamed("core", "key").join(exact, ["project", "key"]).select("_row", F.struct("b.id", "b.name").alias("same"))
+    rows = rows.join(inside, "_row", "left").join(same, "_row", "left").withColumn("n", F.coalesce("same", "n"))
     linked = person & (F.col("b").isNotNull() | F.col("n").isNotNull())
     confidence = F.when(person & F.col("b").isNotNull(), 1.0).when(person & F.col("n").isNotNull(), F.greatest("confidence", F.lit(0.6))).otherwise(F.col("confidence"))
     out = rows.where(~person | linked | (F.col("confidence") >= keep_at))

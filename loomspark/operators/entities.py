@@ -65,23 +65,23 @@ def right_neighbours(docs: DataFrame, names: DataFrame, id_cols: list[str], text
     return every.select(*id_cols, "name", F.size("neighbours").cast("long").alias("diversity"), "neighbours")
 
 
-def cooccurrence(pairs: DataFrame, group: list[str], name: str = "name") -> DataFrame:
-    """Unordered pairs of names in the same group (a paragraph), counted both ways: (name, other, n).
+def cooccurrence(pairs: DataFrame, group: list[str], name: str = "name", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Unordered pairs of names in the same group (a paragraph), counted both ways for each of the keys: (*keys, name, other, n).
 
     A group's distinct names are gathered once and paired in place, so the texts are read once; a paragraph bounds them.
     Each pair is made and counted in one direction, then given in both.
     """
     names = pairs.groupBy(*group).agg(F.collect_set(F.col(name)).alias("_names")).where(F.size("_names") > 1)
-    firsts = names.select(F.explode("_names").alias("_a"), "_names")
-    counted = firsts.select("_a", F.explode(F.filter("_names", lambda b: b > F.col("_a"))).alias("_b")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n"))
+    firsts = names.select(*keys, F.explode("_names").alias("_a"), "_names")
+    counted = firsts.select(*keys, "_a", F.explode(F.filter("_names", lambda b: b > F.col("_a"))).alias("_b")).groupBy(*keys, "_a", "_b").agg(F.count(F.lit(1)).alias("n"))
     both = F.array(F.struct(F.col("_a").alias("name"), F.col("_b").alias("other")), F.struct(F.col("_b").alias("name"), F.col("_a").alias("other")))
-    return counted.select(F.explode(both).alias("p"), "n").select("p.name", "p.other", "n")
+    return counted.select(*keys, F.explode(both).alias("p"), "n").select(*keys, "p.name", "p.other", "n")
 
 
-def cooccurrence_stats(pairs: DataFrame, counts: DataFrame, high: int = HIGH_OCCURRENCES) -> DataFrame:
+def cooccurrence_stats(pairs: DataFrame, counts: DataFrame, high: int = HIGH_OCCURRENCES, keys: tuple[str, ...] = ()) -> DataFrame:
     """Partners of each name, and how often it occurs with frequent ones."""
-    with_occ = pairs.join(counts.select(F.col("name").alias("other"), F.col("n").alias("other_n")), "other", "left")
-    return with_occ.groupBy("name").agg(F.count_distinct("other").alias("co_diversity"), F.coalesce(F.sum(F.when(F.col("other_n") >= high, F.col("n"))), F.lit(0)).alias("high_conf_co"))
+    with_occ = pairs.join(counts.select(*keys, F.col("name").alias("other"), F.col("n").alias("other_n")), [*keys, "other"], "left")
+    return with_occ.groupBy(*keys, "name").agg(F.count_distinct("other").alias("co_diversity"), F.coalesce(F.sum(F.when(F.col("other_n") >= high, F.col("n"))), F.lit(0)).alias("high_conf_co"))
 
 
 def boundary_hits(docs: DataFrame, names: DataFrame, pack: Pack, id_cols: list[str], text_col: str = "text", around: int = 50) -> DataFrame:
@@ -133,8 +133,11 @@ def validate(docs: DataFrame, names: DataFrame, pack: Pack, id_cols: list[str],
     stats = stats.withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
     merged = prefix_merges(stats, pack, id_cols).select(*keys).distinct().withColumn("merged", F.lit(True))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    rows = base.join(stats, keys).join(merged, keys, "left")
-    fresh = rescored(F.col("confidence"), F.col("n"), zero("diversity"), F.lit(0), F.lit(0), zero("templates"), zero("hits"))
+    lines = docs.select(*id_cols, F.posexplode(F.split(text_col, "\n")).alias("_line", "_p")).join(base.groupBy(*id_cols).agg(F.collect_set("name").alias("_names")), id_cols)
+    seen = lines.select(*id_cols, "_line", F.explode(F.filter("_names", lambda n: F.contains(F.col("_p"), n))).alias("name"))
+    partners = cooccurrence_stats(cooccurrence(seen, [*id_cols, "_line"], keys=tuple(id_cols)), stats.select(*keys, "n"), keys=tuple(id_cols))
+    rows = base.join(stats, keys).join(merged, keys, "left").join(partners, keys, "left")
+    fresh = rescored(F.col("confidence"), F.col("n"), zero("diversity"), zero("co_diversity"), zero("high_conf_co"), zero("templates"), zero("hits"))
     return rows.withColumn("new_confidence", F.when(F.coalesce("merged", F.lit(False)), 0.1).otherwise(fresh)).drop("merged")
 
 

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from loomspark.operators import characters, entities
+from loomspark.packs import ZH
 from loomspark.plans.queries import QUERIES
 
 
@@ -14,3 +16,18 @@ def test_sounds_beyond_100000_characters(spark, tmp_path):
             n[word] += 1
             total[word] += s
     assert {(r.word, r.n, r.sum_start) for r in QUERIES["sfx_longest_match"](spark, str(tmp_path)).collect()} == {(w, n[w], total[w]) for w in n}
+
+
+def test_core_name_that_is_an_alias(spark):
+    library = spark.createDataFrame([(1, "p", "林雪", ["小白"])], "id long, project string, name string, aliases array<string>")
+    found = spark.createDataFrame([("p", "小白姑娘", "PER", 0.3)], "project string, text string, type string, confidence double")
+    assert [(r.standard_name, r.confidence, r.is_linked) for r in characters.link_entities(found, library).collect()] == [("林雪", 0.6, True)]
+
+
+def test_validation_counts_partners(spark):
+    text = "\n".join(["甲一，乙二乙二，丙三丙三，丁四。"] * 3)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    names = spark.createDataFrame([(1, n, 0.4) for n in ("甲一", "乙二", "丙三", "丁四")], "doc_id long, name string, confidence double")
+    got = {r.name: r for r in entities.validate(docs, names, ZH, ["doc_id"]).collect()}
+    assert (got["甲一"].co_diversity, got["甲一"].high_conf_co) == (3, 6)
+    assert got["甲一"].new_confidence == 0.5
