@@ -17,33 +17,53 @@ BLOCK = 2048
 def rank_by_similarity(queries: DataFrame, items: DataFrame, id_col: str, vector_col: str, top: int | None = None, threshold: float = 0.7, most_queries: int = 10_000) -> DataFrame:
     """(query_id, id, similarity, rank) of the items with at least the threshold (and the top of them) for each query.
 
-    The queries are a stated, bounded set: their number is checked and the set goes to every block of items, whose
-    similarities are one matrix product in an Arrow batch.  Only hits are shuffled.
+    Up to `most_queries` queries go to every block of items, whose similarities are one matrix product in an Arrow batch.
+    More are dealt into blocks, as are the items, and each block of the one meets each of the other by equal numbers.
+    Only hits are ranked.
     """
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("v")).limit(most_queries + 1).collect()
-    if len(q) > most_queries:
-        raise ValueError(f"more than {most_queries} queries; call in parts")
-    ids = np.array([r.query_id for r in q])
-    mat = np.array([r.v for r in q], np.float64).reshape(len(q), -1)
-    mat /= np.maximum(np.sqrt((mat * mat).sum(1, keepdims=True)), 1e-300)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.array([np.zeros(mat.shape[1]) if v is None else np.asarray(v, np.float64) for v in pdf.v])
-            size = np.sqrt((x * x).sum(1, keepdims=True))
-            for s in range(0, len(ids), BLOCK):
-                sim = np.where(size > 0, x / np.where(size > 0, size, 1), 0) @ mat[s : s + BLOCK].T
-                i, j = np.nonzero(sim >= threshold)
-                if top is not None and len(i):  # a block's own best are enough
-                    order = np.lexsort((pdf.id.to_numpy()[i], -sim[i, j], j))
-                    i, j = i[order], j[order]
-                    nth = np.arange(len(j)) - np.searchsorted(j, j)
-                    i, j = i[nth < top + 1], j[nth < top + 1]
-                yield pd.DataFrame({"query_id": ids[s + j], "id": pdf.id.to_numpy()[i], "similarity": sim[i, j]})
-
-    hits = items.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(score, "query_id long, id long, similarity double").where("query_id <> id")
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("v"))
+    x = items.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    few = q.limit(most_queries + 1).collect()
+    schema = "query_id long, id long, similarity double"
+
+    def unit(vectors: list) -> np.ndarray:
+        mat = np.array(vectors, np.float64).reshape(len(vectors), -1)
+        return mat / np.maximum(np.sqrt((mat * mat).sum(1, keepdims=True)), 1e-300)
+
+    def hits_of(ids: np.ndarray, mat: np.ndarray, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(pdf) or not len(ids):
+            return
+        x = np.array([np.zeros(mat.shape[1]) if v is None else np.asarray(v, np.float64) for v in pdf.v])
+        size = np.sqrt((x * x).sum(1, keepdims=True))
+        for s in range(0, len(ids), BLOCK):
+            sim = np.where(size > 0, x / np.where(size > 0, size, 1), 0) @ mat[s : s + BLOCK].T
+            i, j = np.nonzero(sim >= threshold)
+            if top is not None and len(i):  # a block's own best are enough
+                order = np.lexsort((pdf.id.to_numpy()[i], -sim[i, j], j))
+                i, j = i[order], j[order]
+                nth = np.arange(len(j)) - np.searchsorted(j, j)
+                i, j = i[nth < top + 1], j[nth < top + 1]
+            yield pd.DataFrame({"query_id": ids[s + j], "id": pdf.id.to_numpy()[i], "similarity": sim[i, j]})
+
+    if len(few) <= most_queries:
+        ids, mat = np.array([r.query_id for r in few]), unit([r.v for r in few])
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield from hits_of(ids, mat, pdf)
+
+        hits = x.mapInPandas(score, schema)
+    else:
+
+        def meet(some: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+            none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+            return pd.concat([none, *(hits_of(some.query_id.to_numpy(), unit(some.v.tolist()), pdf) if len(some) else ())])
+
+        n_q, n_x = (max(1, -(-df.count() // BLOCK)) for df in (q, x))
+        dealt = lambda df, c, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(c), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>")))
+        q_blocks, x_blocks = dealt(q, "query_id", "_q", n_q, "_x", n_x), dealt(x, "id", "_x", n_x, "_q", n_q)
+        hits = q_blocks.groupBy("_q", "_x").cogroup(x_blocks.groupBy("_q", "_x")).applyInPandas(meet, schema)
+    hits = hits.where("query_id <> id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 6)), "id"))
     out = hits.withColumn("rank", rank)
     return out if top is None else out.where(F.col("rank") <= top)

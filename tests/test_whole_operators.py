@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from loomspark.operators import characters, entities
+import numpy as np
+
+from loomspark.operators import characters, entities, similarity
 from loomspark.packs import ZH
 from loomspark.plans.queries import QUERIES
 
@@ -18,6 +20,14 @@ def test_sounds_beyond_100000_characters(spark, tmp_path):
     assert {(r.word, r.n, r.sum_start) for r in QUERIES["sfx_longest_match"](spark, str(tmp_path)).collect()} == {(w, n[w], total[w]) for w in n}
 
 
+def test_more_queries_than_one_block(spark):
+    vectors = np.random.default_rng(5).normal(size=(60, 8)).tolist()
+    items = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>")
+    show = lambda most, **k: {(r.query_id, r.id, round(r.similarity, 6)) for r in similarity.rank_by_similarity(items.where("id % 2 = 0"), items, "id", "v", most_queries=most, **k).collect()}
+    for k in ({"top": 5, "threshold": -1.0}, {"threshold": 0.3}):
+        assert show(7, **k) == show(100, **k)
+
+
 def test_core_name_that_is_an_alias(spark):
     library = spark.createDataFrame([(1, "p", "林雪", ["小白"])], "id long, project string, name string, aliases array<string>")
     found = spark.createDataFrame([("p", "小白姑娘", "PER", 0.3)], "project string, text string, type string, confidence double")
