@@ -280,8 +280,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_shingle = beyond.join(other, ["via", "shingle"]).where((F.col("label") < F.col("other")) & possible)
     settle(by_size.select("node", "hub").unionByName(by_shingle.select("node", "hub")))
 
-    labels = kept(components(links), "labels")
     known = rows.where("doc_id is not null and node is not null")
+    several = known.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("high")).where("v <> high").select("doc_id", "v")
+    of_id = known.join(several, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v")
+    labels = kept(components(links.unionByName(of_id)), "labels")
     # Ids, not rows, are linked: an id's texts belong together.
     least = known.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     top = least.groupBy("label").agg(F.min("least").alias("component"))
