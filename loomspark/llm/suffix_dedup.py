@@ -4,11 +4,14 @@ Two suffixes share a prefix of `length` bytes iff they agree at some cover sampl
 difference cover D modulo v, any two positions i and j have an offset d < v at which both i+d and j+d are
 sample positions, and a sample string of length-v+1 bytes from there still lies inside both prefixes.
 
-1. Sample ranks: the strings at the cover positions are exchanged and each gets its class: alone in the
+1. Samples: fingerprints of the strings at the cover positions are exchanged and each is found alone in the
    corpus, or repeated.  This is 1/11 of all positions at v = 133.
-2. Suffix buckets: a suffix can only repeat if one of the samples in its first v places is in a repeated class; those
-   suffixes alone are dealt into buckets by their key, and each bucket is sorted by itself.  Ties as long as
-   `length` (equal keys) are the repeated ones.  Neither step holds more than a block or a bucket.
+2. Windows: a suffix can only repeat if one of the samples in its first v places is repeated; of those suffixes
+   alone, a hash of the first `length` bytes is dealt into buckets, and equal hashes are the repeated ones.
+   Neither step holds more than a block or a bucket.
+
+No suffix is sorted and no tie is resolved through sample ranks: the samples only choose which windows are hashed.
+Only equality of `length`-byte prefixes is asked for, which the hash answers without an order.
 
 Whole texts that occur more than once are settled by one key each in step 1: all of their bytes go, and only
 the first copy's suffixes are dealt, so thousands of copies cost what one does.
