@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import clamp, ngrams, strip
+from loomspark.functions.text import clamp, let, ngrams, scan, strip
 from loomspark.packs import EmotionRules, Pack, Term
 
 #: Ties go to the first.
@@ -75,42 +75,49 @@ def guide_phrase(text: Column, rules: EmotionRules) -> Column:
     return F.when(at > 0, F.coalesce(F.try_element_at(F.regexp_extract_all(lead, F.lit(rules.guide), F.lit(0)), F.lit(-1)), F.lit(""))).otherwise("")
 
 
-def emotion_scores(text: Column, rules: EmotionRules) -> Column:
-    """A struct of the six scores before carry-over.
+def with_scores(df: DataFrame, text: Column, rules: EmotionRules) -> DataFrame:
+    """Adds `_t` (the text, never null) and the six scores before carry-over as `_s_joy` and so on.
 
-    Order: terms, halving by negation, denials, late terms, neutral, guide phrase.
+    Order: terms, halving by negation, denials, late terms, neutral, guide phrase.  Features are columns of their own first, so that
+    each expression runs once for a sentence however many scores use it.
     """
-    f = _flags(features(text, rules), text)
-    halved = F.when(text.rlike(rules.negation), 0.5).otherwise(1.0)
-    guide = guide_phrase(text, rules)
-    hinted = F.coalesce(*(F.when(guide.rlike(p), F.struct(F.lit(e).alias("e"), F.lit(w).alias("w"))) for p, e, w in rules.guide_terms))
+    t = F.col("_t")
+    rows = df.withColumn("_t", F.coalesce(text, F.lit("")))
+    f = _flags(features(t, rules), t)
+    rows = rows.withColumns({f"_f_{k}": v for k, v in f.items()} | {"_halved": F.when(t.rlike(rules.negation), 0.5).otherwise(1.0), "_guide": guide_phrase(t, rules)})
+    f = {k: F.col(f"_f_{k}") for k in f}
+    hint = F.coalesce(*(F.when(F.col("_guide").rlike(p), i) for i, (p, _, _) in enumerate(rules.guide_terms)), F.lit(-1))
+    rows = rows.withColumn("_hint", F.when(F.col("_guide") == "", -1).otherwise(hint))
     scores = {}
     for e in ORDER[:-1]:
-        s = _sum(rules.terms, e, f, text) * halved
+        s = _sum(rules.terms, e, f, t) * F.col("_halved")
         for target, pattern in rules.denials:
             if target == e:
-                s = s * F.when(text.rlike(pattern), 0.3).otherwise(1.0)
-        scores[e] = s + _sum(rules.late, e, f, text)
-    calm = F.when(text.endswith(rules.full_stop) & (f["exclaims"] == 0) & (f["questions"] == 0), 0.2).otherwise(0.0)
+                s = s * F.when(t.rlike(pattern), 0.3).otherwise(1.0)
+        scores[e] = s + _sum(rules.late, e, f, t)
+    calm = F.when(t.endswith(rules.full_stop) & (f["exclaims"] == 0) & (f["questions"] == 0), 0.2).otherwise(0.0)
     calm = calm + F.when(~(f["dirty"] | f["verb"] | f["adverb"] | f["exclamatory"] | f["rhetorical"] | f["imperative"]), 0.2).otherwise(0.0)
     scores["neutral"] = F.least(calm, F.lit(LOW))
-    return F.struct(*((scores[e] + F.when((guide != "") & (hinted["e"] == e), hinted["w"]).otherwise(0.0)).alias(e) for e in ORDER))
-
-
-def decide(scores: Column, text: Column, rules: EmotionRules, hint: Column | None = None, hint_confidence: Column | None = None) -> Column:
-    """(label, score): carry-over, clipping, the best of the six, fear before anger where the text says so, unknown."""
-    s = {e: scores[e] for e in ORDER}
-    if hint is not None:
-        low = F.greatest(*s.values()) <= LOW
-        s = {e: v + F.when(low & (hint == e) & (hint_confidence >= HINT_AT), HINT).otherwise(0.0) if e in CARRIED else v for e, v in s.items()}
-    s = {e: F.round(F.least(v, F.lit(1.0)), 10) for e, v in s.items()}
-    best = F.greatest(*s.values())
-    label = F.coalesce(*(F.when(v == best, F.lit(e)) for e, v in s.items()))
-    flee = (label == "anger") & (best >= 0.4) & text.rlike(rules.fear_signals) & (s["fear"] > 0.1)
-    score = F.when(flee, F.greatest(best * 0.8, s["fear"])).otherwise(best)
-    label = F.when(flee, F.lit("fear")).otherwise(label)
-    unknown = (score <= UNKNOWN_AT) & (F.length(text) >= UNKNOWN_LENGTH) & (label != "neutral")
-    return F.struct(F.when(F.length(text) == 0, F.lit("neutral")).when(unknown, F.lit("unknown")).otherwise(label).alias("label"), F.when((F.length(text) == 0) | unknown, 0.3).otherwise(score).alias("score"))
+    told = {e: [(i, w) for i, (_, emotion, w) in enumerate(rules.guide_terms) if emotion == e] for e in ORDER}
+    for e, terms in told.items():
+        for i, w in terms:
+            scores[e] = scores[e] + F.when(F.col("_hint") == i, w).otherwise(0.0)
+    return rows.withColumns({f"_s_{e}": scores[e] for e in ORDER}).drop("_halved", "_guide", "_hint", *(f"_f_{k}" for k in f))
+
+
+def decide(rows: DataFrame, rules: EmotionRules) -> DataFrame:
+    """Adds `_label` and `_score`: clipping, the best of the six, fear before anger where the text says so, unknown."""
+    rows = rows.withColumns({f"_r_{e}": F.round(F.least(F.col(f"_s_{e}"), F.lit(1.0)), 10) for e in ORDER})
+    r = {e: F.col(f"_r_{e}") for e in ORDER}
+    rows = rows.withColumn("_best", F.greatest(*r.values()))
+    rows = rows.withColumn("_first", F.coalesce(*(F.when(v == F.col("_best"), F.lit(e)) for e, v in r.items())))
+    rows = rows.withColumn("_flee", (F.col("_first") == "anger") & (F.col("_best") >= 0.4) & (r["fear"] > 0.1) & F.col("_t").rlike(rules.fear_signals))
+    label = F.when(F.col("_flee"), F.lit("fear")).otherwise(F.col("_first"))
+    score = F.when(F.col("_flee"), F.greatest(F.col("_best") * 0.8, r["fear"])).otherwise(F.col("_best"))
+    empty = F.length("_t") == 0
+    unknown = (score <= UNKNOWN_AT) & (F.length("_t") >= UNKNOWN_LENGTH) & (label != "neutral")
+    told = {"_label": F.when(empty, F.lit("neutral")).when(unknown, F.lit("unknown")).otherwise(label), "_score": F.when(empty | unknown, 0.3).otherwise(score)}
+    return rows.withColumns(told).drop("_best", "_first", "_flee", *(f"_{k}_{e}" for e in ORDER for k in "sr"))
 
 
 def emotion_class(label: Column, intensity: Column) -> Column:
@@ -135,15 +142,13 @@ def emotion_text(label: Column, intensity: Column) -> Column:
 
 def classify(df: DataFrame, pack: Pack, text_col: str = "sentence") -> DataFrame:
     """Adds emotion_label, confidence, intensity, emotion_class, emotion_vector and emotion_text, each sentence by itself."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.withColumn("_s", emotion_scores(t, pack.emotions)).withColumn("_d", decide(F.col("_s"), t, pack.emotions))
-    return _finish(rows)
+    return _finish(decide(with_scores(df, F.col(text_col), pack.emotions), pack.emotions))
 
 
 def _finish(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("emotion_label", F.col("_d.label")).withColumn("confidence", F.least("_d.score", F.lit(0.95))).withColumn("intensity", F.least(F.col("_d.score") / 0.8, F.lit(1.0)))
-    rows = rows.withColumn("emotion_class", emotion_class(F.col("emotion_label"), F.col("intensity"))).withColumn("emotion_vector", emotion_vector(F.col("emotion_label"), F.col("confidence"), F.col("intensity")))
-    return rows.withColumn("emotion_text", emotion_text(F.col("emotion_label"), F.col("intensity"))).drop("_s", "_d")
+    rows = rows.withColumns({"emotion_label": F.col("_label"), "confidence": F.least("_score", F.lit(0.95)), "intensity": F.least(F.col("_score") / 0.8, F.lit(1.0))})
+    label, intensity = F.col("emotion_label"), F.col("intensity")
+    return rows.withColumns({"emotion_class": emotion_class(label, intensity), "emotion_vector": emotion_vector(label, F.col("confidence"), intensity), "emotion_text": emotion_text(label, intensity)}).drop("_t", "_label", "_score")
 
 
 def classify_in_order(df: DataFrame, pack: Pack, by: list[str], order: str, text_col: str = "sentence") -> DataFrame:
@@ -151,30 +156,35 @@ def classify_in_order(df: DataFrame, pack: Pack, by: list[str], order: str, text
 
     Scores don't depend on the past, so only they are folded: one array per group (a chapter), in a single pass.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.withColumn("_s", emotion_scores(t, pack.emotions)).withColumn("_len", F.length(t)).withColumn("_flee", t.rlike(pack.emotions.fear_signals))
-    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_s").alias("s"), F.col("_len").alias("n"), F.col("_flee").alias("flee"), F.struct(*df.columns).alias("row")))).alias("_rows"))
-    folded = packed.select(F.explode(F.expr(_FOLD)).alias("x")).select("x.row.*", F.struct(F.col("x.label").alias("label"), F.col("x.score").alias("score")).alias("_d"))
-    return _finish(folded.withColumn("_s", F.lit(None)))
+    rows = with_scores(df, F.col(text_col), pack.emotions)
+    scores = F.struct(*(F.col(f"_s_{e}").alias(e) for e in ORDER))
+    each = F.struct(F.col(order).alias("o"), scores.alias("s"), F.length("_t").alias("n"), F.col("_t").rlike(pack.emotions.fear_signals).alias("flee"), F.struct(*df.columns).alias("row"))
+    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(each)).alias("_rows"))
+    first = F.struct(F.lit("").alias("label"), F.lit(0.0).alias("score"))
+    told = F.zip_with("_rows", scan(F.col("_rows"), first, _carried, "struct<label:string,score:double>"), lambda r, d: F.struct(r["row"].alias("row"), d.alias("d")))
+    folded = packed.select(F.explode(told).alias("x")).select("x.row.*", F.lit("").alias("_t"), F.col("x.d.label").alias("_label"), F.col("x.d.score").alias("_score"))
+    return _finish(folded)
+
+
+def _carried(past: Column, x: Column) -> Column:
+    """One sentence's label and score after those of the sentence before; the same decision as decide()."""
+    low = F.greatest(*(x["s"][e] for e in ORDER)) <= LOW
+    hinted = lambda e: F.when(low & (past["label"] == e) & (F.least(past["score"], F.lit(0.95)) >= HINT_AT), HINT).otherwise(0.0) if e in CARRIED else F.lit(0.0)
+    values = F.array(*(F.round(F.least(x["s"][e] + hinted(e), F.lit(1.0)), 10) for e in ORDER))
+    fear = ORDER.index("fear")
 
+    def chosen(v: Column) -> Column:
+        best = F.array_max(v)
+        label = F.coalesce(*(F.when(v[i] == best, F.lit(e)) for i, e in enumerate(ORDER)))
+        flee = (label == "anger") & (best >= 0.4) & x["flee"] & (v[fear] > 0.1)
+        return F.struct(F.when(flee, F.lit("fear")).otherwise(label).alias("label"), F.when(flee, F.greatest(best * 0.8, v[fear])).otherwise(best).alias("score"))
 
-def _fold_sql() -> str:
-    hinted = ", ".join(f"if(m.low and acc.label = '{e}' and least(acc.score, 0.95D) >= {HINT_AT}D, x.s.{e} + {HINT}D, x.s.{e})" if e in CARRIED else f"x.s.{e}" for e in ORDER)
-    top = "greatest(" + ", ".join(f"x.s.{e}" for e in ORDER) + ")"
-    pick = "case " + " ".join(f"when v[{i}] = array_max(v) then '{e}'" for i, e in enumerate(ORDER)) + " end"
-    fear = ORDER.index("fear")
-    one = f"""transform(array(named_struct('low', {top} <= {LOW}D)), m -> transform(array(transform(array({hinted}), q -> round(least(q, 1D), 10))), v ->
-      transform(array(named_struct('label', {pick}, 'best', array_max(v), 'fear', v[{fear}])), r ->
-        transform(array(if(r.label = 'anger' and r.best >= 0.4D and x.flee and r.fear > 0.1D, named_struct('label', 'fear', 'score', greatest(r.best * 0.8D, r.fear)), named_struct('label', r.label, 'score', r.best))), d ->
-          case when x.n = 0 then named_struct('label', 'neutral', 'score', 0.3D)
-               when d.score <= {UNKNOWN_AT}D and x.n >= {UNKNOWN_LENGTH} and d.label <> 'neutral' then named_struct('label', 'unknown', 'score', 0.3D)
-               else d end)[0])[0])[0])[0]"""
-    return f"""aggregate(_rows, named_struct('label', '', 'score', 0D, 'out', filter(transform(_rows, r -> named_struct('row', r.row, 'label', '', 'score', 0D)), r -> false)),
-      (acc, x) -> transform(array({one}), d -> named_struct('label', d.label, 'score', d.score, 'out', array_append(acc.out, named_struct('row', x.row, 'label', d.label, 'score', d.score))))[0],
-      acc -> acc.out)"""
-
-
-_FOLD = _fold_sql()
+    def told(d: Column) -> Column:
+        pair = lambda label, score: F.struct(F.lit(label).alias("label"), F.lit(score).alias("score"))
+        unknown = (d["score"] <= UNKNOWN_AT) & (x["n"] >= UNKNOWN_LENGTH) & (d["label"] != "neutral")
+        return F.when(x["n"] == 0, pair("neutral", 0.3)).when(unknown, pair("unknown", 0.3)).otherwise(d)
+
+    return let(let(values, chosen), told)
 
 
 def context_window(text: Column, start: Column, end: Column, around: int = 20) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import SPAN, after, before, clamp, keep_earliest, last_index, matches, quote_pattern, strip
+from loomspark.functions.text import SPAN, after, apart, before, clamp, keep_earliest, last_index, matches, quote_pattern, strip
 from loomspark.packs import Pack
 
 ANCHOR, NEAR = 50, 10
@@ -15,18 +15,13 @@ def _inner(m: Column) -> Column:
     return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.substring(m["text"], F.lit(2), F.length(m["text"]) - 2).alias("text"))
 
 
-def _apart(new: Column, known: Column) -> Column:
-    """The spans that overlap none of the known ones."""
-    return F.filter(new, lambda x: ~F.exists(known, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"])))
-
-
 def extract_dialogue(docs: DataFrame, pack: Pack, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Quotes of the dialogue pairs: a pair's hits give way to overlapping hits of earlier pairs; sorted by place."""
     spans = F.array().cast(SPAN)
     for o, c in pack.dialogue_quotes:
         new = F.transform(matches(F.col(text_col), f"{o}[^{c}]+?{c}"), _inner)
-        spans = F.concat(spans, _apart(new, spans))
-    rows = docs.select(*id_cols, F.posexplode(F.sort_array(spans)).alias("quote_index", "q"))
+        spans = apart(spans, new)
+    rows = docs.select(*id_cols, F.posexplode(spans).alias("quote_index", "q"))
     return rows.select(*id_cols, "quote_index", F.col("q.start").alias("start"), F.col("q.end").alias("end"), F.col("q.text").alias("quote")).where(F.length(strip(F.col("quote"))) > 0)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import SPAN, matches, ngrams, quote_pattern, strip
+from loomspark.functions.text import BLANKS, SPAN, after, before, let, matches, ngrams, quote_pattern, running, scan, strip
 from loomspark.packs import Pack
 
 CHUNK, OVERLAP, LEAST_CHAPTER = 5000, 200, 10
@@ -16,9 +16,9 @@ CHUNK, OVERLAP, LEAST_CHAPTER = 5000, 200, 10
 
 def line_spans(text: Column) -> Column:
     """Lines with offsets; a line's end excludes its newline."""
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    fold = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("text"))).alias("out"))
-    return F.aggregate(F.split(text, "\n", -1), first, fold, lambda acc: acc["out"])
+    ends = lambda lines: running(F.transform(lines, lambda x: F.length(x) + 1))
+    place = lambda x, e: F.struct((e - 1 - F.length(x)).alias("start"), (e - 1).alias("end"), x.alias("text"))
+    return let(F.split(text, "\n", -1), lambda lines: F.zip_with(lines, ends(lines), place))
 
 
 def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
@@ -31,8 +31,14 @@ def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
 def headings(text: Column, patterns: tuple[str, ...], unless: tuple[str, ...] = ()) -> Column:
     """Lines that match a heading pattern; one with an earlier heading's title within 100 characters is dropped."""
     found = F.filter(line_spans(text), lambda x: any_of(x["text"], patterns) & ~any_of(x["text"], unless))
-    near = lambda acc, x: F.exists(acc, lambda k: (k["text"] == x["text"]) & (x["start"] - k["start"] < 100))
-    return F.aggregate(found, F.array().cast(SPAN), lambda acc, x: F.when(near(acc, x), acc).otherwise(F.array_append(acc, x)))
+    none = F.array().cast(SPAN)
+
+    def step(near: Column, x: Column) -> tuple[Column, Column]:
+        close = F.filter(near, lambda k: x["start"] - k["start"] < 100)
+        again = F.exists(close, lambda k: k["text"] == x["text"])
+        return F.when(again, close).otherwise(F.array_append(close, x)), F.when(again, none).otherwise(F.array(x))
+
+    return scan(found, none, step, SPAN[6:-1])
 
 
 def is_volume_title(c: Column, pack: Pack) -> Column:
@@ -73,8 +79,8 @@ def structure_info(chapters: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return chapters.groupBy(id_col, "volume_index", "volume_title").agg(F.count(F.lit(1)).alias("n_chapters"), F.sum(F.length("content")).alias("n_chars"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chapter_index", "title"))), lambda x: x["title"]), "|").alias("titles"))
 
 
-def smart_sentences(text: Column, pack: Pack) -> Column:
-    """Sentences: lines, cut after terminators that lie in no quoted span; white space stripped, terminators kept.
+def _smart_pieces(text: Column, pack: Pack) -> Column:
+    """What a text is cut into: lines, cut after terminators that lie in no quoted span, and the newlines.
 
     The pattern never backtracks: runs of plain characters, whole quoted spans, or a quote that never closes.
     """
@@ -82,26 +88,44 @@ def smart_sentences(text: Column, pack: Pack) -> Column:
     quoted = "|".join(f"{o}[^{c}]*+{c}" for o, c in pack.quotes)
     body = f"(?:[^{pack.terminators}{opens}]++|{quoted}|[{opens}])"
     pattern = f"{body}*+[{pack.terminators}]|{body}++"
-    lines = F.split(text, "\n")
-    parts = F.flatten(F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(pattern), F.lit(0))))
-    return F.filter(F.transform(parts, strip), lambda s: F.length(s) > 0)
+    return F.flatten(F.transform(F.split(text, "\n"), lambda line: F.array_append(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), F.lit("\n"))))
+
+
+def _plain_pieces(text: Column, pack: Pack) -> Column:
+    return F.split(text, f"(?<=[{pack.terminators}\n])")
+
+
+def _stripped(pieces: Column) -> Column:
+    return F.filter(F.transform(pieces, strip), lambda s: F.length(s) > 0)
+
+
+def smart_sentences(text: Column, pack: Pack) -> Column:
+    """Sentences cut after terminators that lie in no quoted span, and at newlines; white space stripped, terminators kept."""
+    return _stripped(_smart_pieces(text, pack))
 
 
 def plain_sentences(text: Column, pack: Pack) -> Column:
     """Sentences cut after every terminator and newline, quoted or not."""
-    return F.filter(F.transform(F.split(text, f"(?<=[{pack.terminators}\n])"), strip), lambda s: F.length(s) > 0)
+    return _stripped(_plain_pieces(text, pack))
+
+
+def sentence_spans(text: Column, pack: Pack, smart: bool = True) -> Column:
+    """The sentences with offsets: the pieces' lengths add up to the text's, so no sentence is looked for."""
+
+    def place(piece: Column, end: Column) -> Column:
+        sentence = strip(piece)
+        start = end - F.length(F.ltrim(piece, F.lit(BLANKS)))
+        return F.struct(start.alias("start"), (start + F.length(sentence)).alias("end"), sentence.alias("text"))
+
+    pieces = (_smart_pieces if smart else _plain_pieces)(text, pack)
+    placed = let(pieces, lambda p: F.zip_with(p, running(F.transform(p, F.length)), place))
+    return F.filter(placed, lambda x: x["end"] > x["start"])
 
 
 def sentences(docs: DataFrame, pack: Pack, id_cols: list[str], text_col: str = "text", smart: bool = True) -> DataFrame:
-    """One row per sentence with its index and offset (each is looked for from the end of the one before)."""
-    found = (smart_sentences if smart else plain_sentences)(F.col(text_col), pack)
-    base = docs.select(*id_cols, F.col(text_col).alias("_t"), found.alias("_s"))
-    step = """aggregate(_s, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,text:string>>)),
-      (acc, s) -> named_struct(
-        'at', if(locate(s, _t, acc.at + 1) > 0, locate(s, _t, acc.at + 1) - 1 + length(s), acc.at),
-        'out', array_append(acc.out, named_struct('start', if(locate(s, _t, acc.at + 1) > 0, locate(s, _t, acc.at + 1) - 1, acc.at), 'end', if(locate(s, _t, acc.at + 1) > 0, locate(s, _t, acc.at + 1) - 1, acc.at) + length(s), 'text', s))),
-      acc -> acc.out)"""
-    return base.select(*id_cols, F.posexplode(F.expr(step)).alias("sentence_index", "x")).select(*id_cols, "sentence_index", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.text").alias("sentence"))
+    """One row per sentence with its index and offsets."""
+    rows = docs.select(*id_cols, F.posexplode(sentence_spans(F.col(text_col), pack, smart)).alias("sentence_index", "x"))
+    return rows.select(*id_cols, "sentence_index", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.text").alias("sentence"))
 
 
 def paragraphs(docs: DataFrame, id_cols: list[str], text_col: str = "text", least: int = 10) -> DataFrame:
@@ -144,8 +168,6 @@ def dialogue_samples(docs: DataFrame, pack: Pack, id_col: str = "doc_id", text_c
     """Quotes of least to most characters with their surroundings and two simple flags."""
     quoted = "|".join(f"{o}[^{c}]{{{least},{most}}}{c}" for o, c in pack.dialogue_quotes[:3])
     rows = docs.select(id_col, F.col(text_col).alias("_t"), F.explode(matches(F.col(text_col), quoted)).alias("m"))
-    from loomspark.functions.text import after, before
-
     rows = rows.select(id_col, F.col("m.start").alias("start"), F.expr("substring(m.text, 2, length(m.text) - 2)").alias("quote"), before(F.col("_t"), F.col("m.start"), around).alias("before"), after(F.col("_t"), F.col("m.end"), around).alias("after"))
     return rows.withColumn("has_guide_word", F.col("before").rlike(quote_pattern(pack.speech_verbs))).withColumn("is_question", F.col("quote").rlike("[?？]"))
 

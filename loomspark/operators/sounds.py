@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import SPAN, matches, quote_pattern
+from loomspark.functions.text import SPAN, let, matches, quote_pattern, running
 from loomspark.packs import Pack
 
 
@@ -21,10 +21,9 @@ def longest_at_starts(text: Column, words: list[str]) -> Column:
     gaps = F.split(text, f"(?={quote_pattern(words)})", -1)
     # A zero-width split cuts before every start, so the starts are the running lengths of the pieces.
     leading = text.rlike(f"^(?:{quote_pattern(words)})")
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    ends = F.aggregate(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), first, lambda acc, g: F.struct((acc["at"] + F.length(g)).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(g)).alias("out")), lambda acc: acc["out"])
+    ends = let(gaps, lambda g: running(F.transform(F.slice(g, F.lit(1), F.size(g) - 1), F.length)))
     starts = F.when(leading, F.array_distinct(F.concat(F.array(F.lit(0)), ends))).otherwise(ends)
-    spans = F.transform(F.arrays_zip(starts.alias("s"), hits.alias("h")), lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.length(x["h"])).alias("end"), x["h"].alias("text")))
+    spans = F.zip_with(starts, hits, lambda s, h: F.struct(s.alias("start"), (s + F.length(h)).alias("end"), h.alias("text")))
     return F.when(text.isNull() | (F.size(hits) == 0), F.array().cast(SPAN)).otherwise(spans)
 
 

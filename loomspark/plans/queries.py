@@ -18,6 +18,7 @@ from loomspark.operators import characters as lib
 from loomspark.operators import emotion, entities, metrics, quotes, segment, similarity, sounds, speakers, voices
 from loomspark.packs import LATIN
 from loomspark.sources import stores
+from loomspark.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,7 +36,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = read_table(spark, d, name)
+    return spread(rows) if name == "documents" else rows
 
 
 def long(*names: str):
@@ -43,6 +45,11 @@ def long(*names: str):
 
 
 _SENTENCES = r"""list_filter(list_transform(regexp_extract_all(text, '[^.!?;\n]*[.!?;\n]|[^.!?;\n]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) > 0)"""
+_PIECES = r"regexp_extract_all(text, '[^.!?;\n]*[.!?;\n]|[^.!?;\n]+')"
+_OFFSET_SPLIT = rf"""WITH r AS (SELECT doc_id, unnest({_PIECES}) AS piece, unnest(range(len({_PIECES}))) AS i FROM documents),
+a AS (SELECT doc_id, i, piece, regexp_replace(piece, '^\s+', '') AS tail, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM r),
+s AS (SELECT doc_id, i, regexp_replace(tail, '\s+$', '') AS sentence, (stop - length(tail))::BIGINT AS start FROM a)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sentence_index, start, start + length(sentence) AS stop, sentence FROM s WHERE length(sentence) > 0"""
 _SPLIT = f"SELECT doc_id, unnest({_SENTENCES}) AS sentence, unnest(range(len({_SENTENCES}))) AS sentence_index FROM documents"
 
 
@@ -50,9 +57,9 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
     return segment.sentences(table(spark, d, "documents"), LATIN, ["doc_id"], smart=False)
 
 
-@query(_SPLIT)
+@query(_OFFSET_SPLIT)
 def sentence_split(spark, d):
-    return _sentences(spark, d).select("doc_id", *long("sentence_index"), "sentence")
+    return _sentences(spark, d).select("doc_id", *long("sentence_index", "start"), F.col("end").cast("long").alias("stop"), "sentence")
 
 
 @query(f"WITH s AS ({_SPLIT}) SELECT doc_id, count(*) AS n_sentences, sum(length(sentence))::BIGINT AS n_chars, count_if(sentence LIKE '%!')::BIGINT AS n_exclaims FROM s GROUP BY doc_id")
@@ -254,7 +261,7 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
-_LINES = r"pars AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '[A-Z][a-zà-ÿ]+')) AS name FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents)), few AS (SELECT DISTINCT doc_id, n, name FROM pars WHERE length(name) <= 3)"
+_LINES = r"pars AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '[A-Z][a-zà-ÿ]+')) AS name FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents)), few AS (SELECT DISTINCT doc_id, n, name FROM pars)"
 
 
 def _line_names(spark: SparkSession, d: str) -> DataFrame:
@@ -267,7 +274,7 @@ def cooccurrence_pairs(spark, d):
     return entities.cooccurrence(_line_names(spark, d), ["doc_id", "n"])
 
 
-@query(f"""WITH {_LINES}, p AS (SELECT a.name, b.name AS other, count(*) AS n FROM few a JOIN few b ON a.doc_id = b.doc_id AND a.n = b.n AND a.name <> b.name GROUP BY a.name, b.name), c AS (SELECT name, count(*) AS k FROM pars WHERE length(name) <= 3 GROUP BY name)
+@query(f"""WITH {_LINES}, p AS (SELECT a.name, b.name AS other, count(*) AS n FROM few a JOIN few b ON a.doc_id = b.doc_id AND a.n = b.n AND a.name <> b.name GROUP BY a.name, b.name), c AS (SELECT name, count(*) AS k FROM pars GROUP BY name)
 SELECT p.name, count(DISTINCT other) AS co_diversity, coalesce(sum(CASE WHEN c.k >= 50 THEN n END), 0)::BIGINT AS high_conf_co FROM p LEFT JOIN c ON p.other = c.name GROUP BY p.name""")
 def high_conf_cooc(spark, d):
     names = _line_names(spark, d)
@@ -275,24 +282,24 @@ def high_conf_cooc(spark, d):
     return entities.cooccurrence_stats(entities.cooccurrence(names, ["doc_id", "n"]), counts, 50)
 
 
-_SHORT = "short AS (SELECT DISTINCT doc_id, name FROM names WHERE length(name) <= 3)"
+_EACH = "each_name AS (SELECT DISTINCT doc_id, name FROM names)"
 
 
-@query(f"""WITH {_NAMES}, {_SHORT}, occ AS (SELECT s.doc_id, s.name, ((length(text) - length(replace(text, s.name, ''))) / length(s.name))::BIGINT AS n FROM short s JOIN documents d ON s.doc_id = d.doc_id)
+@query(f"""WITH {_NAMES}, {_EACH}, occ AS (SELECT s.doc_id, s.name, ((length(text) - length(replace(text, s.name, ''))) / length(s.name))::BIGINT AS n FROM each_name s JOIN documents d ON s.doc_id = d.doc_id)
 SELECT o.doc_id, o.name, o.n FROM occ o""")
 def name_occurrences(spark, d):
     return entities.occurrence_counts(table(spark, d, "documents"), _mentions(spark, d), ["doc_id"])
 
 
-@query(r"""WITH RECURSIVE names AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-zà-ÿ]+')) AS name FROM documents), short AS (SELECT n.doc_id, name, text FROM names n JOIN documents d ON n.doc_id = d.doc_id WHERE length(name) <= 3 AND length(text) < 3000),
-pos AS (SELECT doc_id, name, text, instr(text, name) - 1 AS a FROM short UNION ALL SELECT doc_id, name, text, a + length(name) + instr(substr(text, a + length(name) + 1), name) - 1 FROM pos WHERE instr(substr(text, a + length(name) + 1), name) > 0),
-ch AS (SELECT doc_id, name, unnest(string_split(substr(text, a + length(name) + 1, 2), '')) AS c FROM pos)
-SELECT s.doc_id, s.name, count(DISTINCT CASE WHEN c <> '' AND NOT regexp_matches(c, '[\p{P}\s]') THEN c END) AS diversity FROM short s LEFT JOIN ch ON s.doc_id = ch.doc_id AND s.name = ch.name GROUP BY s.doc_id, s.name""")
+@query(r"""WITH names AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-zà-ÿ]+')) AS name FROM documents),
+pieces AS (SELECT n.doc_id, name, unnest(string_split(text, name)[2:]) AS piece, unnest(range(2, len(string_split(text, name)) + 1)) = len(string_split(text, name)) AS last FROM names n JOIN documents d ON n.doc_id = d.doc_id),
+ch AS (SELECT doc_id, name, unnest(string_split(CASE WHEN last THEN piece[1:2] ELSE (piece[1:2] || name)[1:2] END, '')) AS c FROM pieces)
+SELECT s.doc_id, s.name, count(DISTINCT CASE WHEN c <> '' AND NOT regexp_matches(c, '[\p{P}\s]') THEN c END) AS diversity FROM names s LEFT JOIN ch ON s.doc_id = ch.doc_id AND s.name = ch.name GROUP BY s.doc_id, s.name""")
 def right_neighbors(spark, d):
     return entities.right_neighbours(table(spark, d, "documents"), _mentions(spark, d), ["doc_id"]).select("doc_id", "name", "diversity")
 
 
-@query(f"WITH {_NAMES} SELECT upper(name[1:1]) AS head, name, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY upper(name[1:1])), 6)::DOUBLE AS tightness FROM names WHERE length(name) <= 4 GROUP BY upper(name[1:1]), name")
+@query(f"WITH {_NAMES} SELECT upper(name[1:1]) AS head, name, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY upper(name[1:1])), 6)::DOUBLE AS tightness FROM names GROUP BY upper(name[1:1]), name")
 def tightness(spark, d):
     from pyspark.sql import Window
 
@@ -458,8 +465,9 @@ def leader_clusters(spark, d):
     return similarity.leader_clusters(e, ["project"])
 
 
-@query(r"""WITH t AS (SELECT doc_id, substr(text, 1, 100000) AS text FROM documents), c AS (SELECT doc_id, text, unnest(range(length(text))) AS s FROM t),
-w AS (SELECT doc_id, s, CASE WHEN substr(text, s + 1, 4) = 'rere' THEN 'rere' WHEN substr(text, s + 1, 3) = 'the' THEN 'the' WHEN substr(text, s + 1, 2) IN ('th', 'sh', 're', 'er') THEN substr(text, s + 1, 2) END AS word FROM c)
+@query(r"""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS s FROM documents WHERE text <> ''),
+q AS (SELECT doc_id, s, c || coalesce(lead(c, 1) OVER o, '') || coalesce(lead(c, 2) OVER o, '') || coalesce(lead(c, 3) OVER o, '') AS t FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+w AS (SELECT doc_id, s, CASE WHEN t = 'rere' THEN 'rere' WHEN t[1:3] = 'the' THEN 'the' WHEN t[1:2] IN ('th', 'sh', 're', 'er') THEN t[1:2] END AS word FROM q)
 SELECT doc_id, word, count(*) AS n, sum(s)::BIGINT AS sum_start FROM w WHERE word IS NOT NULL GROUP BY doc_id, word""")
 def sfx_longest_match(spark, d):
     words = [w for _, ws in LATIN.sounds for w in ws]
