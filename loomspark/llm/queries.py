@@ -16,10 +16,11 @@ from loomspark.llm.pii import find_pii
 from loomspark.llm.secrets import scan_secrets
 from loomspark.llm.substring_dedup import substring_dedup
 from loomspark.llm.suffix_dedup import suffix_dedup
+from loomspark.sources.tables import read_table, spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
