@@ -3,18 +3,25 @@
 The two exact duplicate finders (and the collision counts of the near-duplicate join) ask one
 question again and again: which of my keys occurs elsewhere?  A row for each key would shuffle
 tens of bytes per position of the corpus.  Here each block instead sends one binary value per bucket of
-the key space, the sorted distinct keys that fall there, and gets back one bit per key, in that order.
-So a round costs the bare key bytes plus an eighth of a byte, and JVM rows are counted in blocks x buckets.
+the key space, the distinct keys that fall there, and gets back one bit per key, in that order.
+So a round costs the bare key bytes plus an eighth of a byte.
+
+What grows with the corpus: the number of blocks, and up to MOST_BITS the number of buckets.  Both bounds of a
+blob's size hold it between them: a bucket is only split while a block still sends LEAST_BLOB bytes to each, and blocks
+themselves grow up to BLOCK_GROWTH times with the number of scan tasks, so a block sends at most 2**MOST_BITS blobs and the rows of a
+round grow in proportion to the corpus.  A bucket that is larger than a task should sort at once is sorted
+range by range inside its task.
 
 Blocks are written once to a bucketed table in the shared folder, so that the replies join them without
-shuffling the texts again, and a lost executor only costs a reread.
+shuffling the texts again, and a lost executor only costs a reread.  All blocks of a scan task are one bucket (a
+shard): one file, read by one task, whatever the session's number of shuffle partitions is.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +31,23 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.text import BLOCK_BYTES, bounded, slices, text_bytes, tidy
 
-#: Key bytes that one bucket holds about.
-BUCKET_BYTES = 8 << 20
-BLOB = "bucket int, block long, kind int, n long, keys binary, owners binary"
-REPLY = "block long, bucket int, kind int, bits binary, later binary"
+#: Key bytes that one bucket holds about, and those that a block sends to a bucket at least where there are more than LEAST_BITS.
+BUCKET_BYTES, LEAST_BLOB = 32 << 20, 512
+LEAST_BITS, MOST_BITS = 5, 14
+#: Keys that a task sorts at once.
+SORT_AT_ONCE = 8 << 20
+#: Scan tasks at which blocks begin to grow, and how far.
+GROW_FROM, BLOCK_GROWTH = 512, 8
+MOST_SHARDS = 20_000
+BLOB = "shard long, block long, bucket int, kind int, n long, keys binary, owners binary"
+REPLY = "shard long, block long, bucket int, kind int, bits binary, later binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='loomspark-')}"
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loomspark"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
@@ -47,16 +60,52 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """As kept(), bucketed by a key, so that joins on it don't shuffle this side."""
+    """As kept(), bucketed by a key, so that joins on it don't shuffle this side; forget() takes it out of the catalog."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(buckets, key).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    out.loomspark_table = table
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Takes tables of bucketed() out of the catalog, once nothing reads them any more."""
+    for df in tables:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.loomspark_table}")
+
+
+def shard_labels(spark: SparkSession, buckets: int) -> np.ndarray:
+    """For every bucket of a table a number that is written to it: the least of those that hash there."""
+    tried = spark.range(32 * buckets).select("id", F.pmod(F.hash("id"), F.lit(buckets)).alias("bucket"))
+    found = {r.bucket: r.id for r in tried.groupBy("bucket").agg(F.min("id").alias("id")).collect()}  # a row for each bucket
+    return np.array([found.get(b, b) for b in range(buckets)])
+
 
+@dataclass
+class Blocks:
+    """A bucketed table of (shard, block, size, ids, lens, data) and what is known of it."""
 
-def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Packs documents into blocks (block, ids, lens, data) and returns them with the total of bytes."""
+    table: DataFrame
+    total: int
+    count: int
+    shards: int
+
+    def bits_for(self, key_bytes: float) -> int:
+        """log2 of the number of buckets for so many key bytes in all."""
+        wanted = np.log2(max(1.0, key_bytes / BUCKET_BYTES))
+        sent = np.log2(max(1.0, key_bytes / max(1, self.count) / LEAST_BLOB))
+        return int(np.clip(np.ceil(min(wanted, sent)), LEAST_BITS, MOST_BITS))
+
+
+def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> Blocks:
+    """Packs documents into blocks; a document that is longer than a block is one of its own."""
     spark = docs.sparkSession
+    plain = bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+    tasks = plain.rdd.getNumPartitions()
+    shards = max(1, min(tasks, MOST_SHARDS), int(spark.conf.get("spark.sql.shuffle.partitions")))  # fewer, and a join would shuffle the texts
+    labels = shard_labels(spark, shards)
+    most = BLOCK_BYTES * max(1, min(BLOCK_GROWTH, tasks // GROW_FROM))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -67,61 +116,66 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
             nonlocal seq, size
             data, lens = np.concatenate([w[1] for w in waiting]), np.concatenate([w[2] for w in waiting])
             ids = pa.concat_arrays([w[0] for w in waiting])
-            out = pa.record_batch({"block": pa.array([part << 32 | seq], pa.int64()), "size": pa.array([len(data)], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "lens": pa.array([lens.astype(np.int64).tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
+            out = pa.record_batch({"shard": pa.array([labels[part % shards]], pa.int64()), "block": pa.array([part << 32 | seq], pa.int64()), "size": pa.array([len(data)], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "lens": pa.array([lens.astype(np.int64).tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
             seq, size = seq + 1, 0
             waiting.clear()
             return out
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", most):
                 data, lens = text_bytes(piece.column("text"))
-                if waiting and size + len(data) > BLOCK_BYTES:
+                if waiting and size + len(data) > most:
                     yield flush()
                 waiting.append((piece.column("id"), data, lens))
                 size += len(data)
         if waiting:
             yield flush()
 
-    plain = bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
-    packed = plain.mapInArrow(tidy(pack), "block long, size long, ids array<long>, lens binary, data binary")
-    blocks = bucketed(packed, "blocks", "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return blocks, blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-
-
-def bits_for(total_bytes: float) -> int:
-    """log2 of a number of buckets that keeps each at about BUCKET_BYTES."""
-    return max(2, int(np.ceil(np.log2(max(1.0, total_bytes / BUCKET_BYTES)))))
+    packed = plain.mapInArrow(tidy(pack), "shard long, block long, size long, ids array<long>, lens binary, data binary")
+    table = bucketed(packed, "blocks", "shard", shards)
+    total, count = table.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    return Blocks(table, total, count, shards)
 
 
 class Keys:
     """A block's distinct keys of one kind, in the order in which replies come back.
 
-    `where` (64 bits) picks the bucket; `what` is compared inside it.  A narrow exchange keeps the top 32
+    `where` (64 bits) picks the bucket and the order; `what` is compared inside the bucket.  A narrow exchange keeps the top 32
     bits of `what`, which may take different keys for equal and so suits filters only; a wide one keeps
     all, so that keys are told apart by 64 bits and the bucket's.  owners: with each key, a document id.
     """
 
     def __init__(self, where: np.ndarray, what: np.ndarray, bits: int, narrow: bool, owners: np.ndarray | None = None):
-        bucket = (where >> np.uint64(64 - bits)).astype(np.int64)
         what = (what >> np.uint64(32)).astype(np.uint32) if narrow else what
-        order = np.lexsort((what, bucket) if owners is None else (owners, what, bucket))
-        bucket, what = bucket[order], what[order]
+        order = np.argsort(where) if owners is None else np.lexsort((owners, where))
+        where, what = where[order], what[order]
         new = np.ones(len(order), bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (what[1:] != what[:-1])
+        new[1:] = where[1:] != where[:-1]
+        self.owners = None
         if owners is not None:
             own = owners[order]
             new[1:] |= own[1:] != own[:-1]
             self.owners = own[new]
         self.place = np.empty(len(order), np.int64)  # of each given key among the distinct ones
         self.place[order] = np.cumsum(new) - 1
-        self.bucket, self.what = bucket[new], what[new]
-        self.twice = np.bincount(self.place, minlength=int(new.sum())) > 1
-        self.cuts = np.searchsorted(self.bucket, np.arange((1 << bits) + 1))
-        self.bits = bits
+        self.where, self.what = where[new], what[new]
+        self.twice = np.bincount(self.place, minlength=len(self.what)) > 1
+        self.cuts = np.searchsorted(self.where, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        self.cuts = np.concatenate([[0], self.cuts, [len(self.where)]])
+
+    def blobs(self, shard: int, block: int, kind: int) -> Iterator[pa.RecordBatch]:
+        """One batch of blobs, a row for each bucket that has keys; none without keys."""
+        some = np.flatnonzero(np.diff(self.cuts))
+        if len(some):
+            n = np.diff(self.cuts)[some]
+            ends = np.append(0, self.cuts[some + 1])
+
+            def binary(values: np.ndarray) -> pa.Array:
+                return pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
-    def blobs(self, block: int, kind: int) -> list[tuple]:
-        own = getattr(self, "owners", None)
-        return [(b, block, kind, int(e - s), self.what[s:e].tobytes(), own[s:e].tobytes() if own is not None else None) for b, (s, e) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)) if s < e]
+            same = lambda x, t: pa.array(np.full(len(some), x), t)
+            owners = pa.nulls(len(some), pa.binary()) if self.owners is None else binary(self.owners)
+            yield pa.record_batch([same(shard, pa.int64()), same(block, pa.int64()), pa.array(some, pa.int32()), same(kind, pa.int32()), pa.array(n, pa.int64()), binary(self.what), owners], names=["shard", "block", "bucket", "kind", "n", "keys", "owners"])
 
     def reply(self, replies: list[dict], kind: int, field: str = "bits") -> np.ndarray:
         """The answer for each distinct key; False where none came."""
@@ -133,63 +187,82 @@ class Keys:
         return out
 
 
-def blob_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 6
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "block", "kind", "n", "keys", "owners"])
+def shared_keys(what: np.ndarray, owners: np.ndarray | None, ranges: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of the keys of one bucket, laid end to end in the order of their blocks: which to report, and which aren't their key's first.
+
+    To report are keys that are there twice, or with owners those of which a lower owner has the same.  More than
+    SORT_AT_ONCE keys are sorted in ranges of their top bits, one after the other.
+    """
+    hit, late = np.zeros(len(what), bool), np.zeros(len(what), bool)
+    width = what.dtype.itemsize * 8
+    split = ranges or int(np.ceil(np.log2(max(1.0, len(what) / SORT_AT_ONCE))))
+    top = (what >> what.dtype.type(width - split)).astype(np.int32) if split else None
+    for r in range(1 << split):
+        part = np.flatnonzero(top == r) if split else np.arange(len(what))
+        if not len(part):
+            continue
+        order = part[np.argsort(what[part])]
+        w = what[order]
+        new = np.ones(len(w), bool)
+        new[1:] = w[1:] != w[:-1]
+        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        late[order] = order != np.minimum.reduceat(order, starts)[group]
+        if owners is None:
+            hit[order] = (np.diff(np.append(starts, len(w))) > 1)[group]
+        else:
+            hit[order] = owners[order] > np.minimum.reduceat(owners[order], starts)[group]
+    return hit, late
 
 
 def answer(blobs: DataFrame, narrow: set[int], bits: int) -> DataFrame:
-    """One row per block with the replies to its keys.
+    """One row per shard with the replies to its blocks' keys.
 
     bits: for plain keys, whether the key came from another block too; with owners, whether an owner
     below this one sent the same key.  later: the key came from another block and this is not the first of them.
+    Each task takes its buckets one by one: they come sorted.
     """
 
-    def solve(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        rows.sort(key=lambda r: r["block"])
-        sizes = [r["n"] for r in rows]
-        what = np.concatenate([np.frombuffer(r["keys"], np.uint32 if rows[0]["kind"] in narrow else np.uint64) for r in rows])
-        cuts = np.cumsum([0, *sizes])
-        owned = rows[0]["owners"] is not None
-        if owned:
-            owners = np.concatenate([np.frombuffer(r["owners"], np.int64) for r in rows])
-            order = np.lexsort((owners, what))
-            w, o = what[order], owners[order]
-            new = np.ones(len(w), bool)
-            new[1:] = w[1:] != w[:-1]
-            least = o[np.flatnonzero(new)][np.cumsum(new) - 1]
-            hit, late = o > least, None
-        else:
-            order = np.argsort(what, kind="stable")
-            w = what[order]
-            same = np.zeros(len(w) + 1, bool)
-            same[1:-1] = w[1:] == w[:-1]
-            hit, late = same[:-1] | same[1:], same[:-1]
-        back = np.empty(len(order), bool)
-        back[order] = hit
-        if late is not None and rows[0]["kind"] not in narrow:
-            after = np.empty(len(order), bool)
-            after[order] = late
-        else:
-            after = None
-        cols: list[list] = [[], [], [], [], []]
-        for r, s, e in zip(rows, cuts[:-1], cuts[1:], strict=True):
-            if back[s:e].any():
-                for c, v in zip(cols, (r["block"], r["bucket"], r["kind"], np.packbits(back[s:e]).tobytes(), np.packbits(after[s:e]).tobytes() if after is not None else None), strict=True):
-                    c.append(v)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "bucket", "kind", "bits", "later"])
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        shards, blocks, bucket, kind = [r[0] for r in rows], [r[1] for r in rows], rows[0][2], rows[0][3]
+        what = np.concatenate([np.frombuffer(r[4], np.uint32 if kind in narrow else np.uint64) for r in rows])
+        cuts = np.cumsum([0, *(len(r[4]) // what.itemsize for r in rows)])
+        owners = np.concatenate([np.frombuffer(r[5], np.int64) for r in rows]) if rows[0][5] is not None else None
+        rows.clear()
+        hit, late = shared_keys(what, owners)
+        some = np.add.reduceat(hit, cuts[:-1]) > 0
+        told = np.flatnonzero(some).tolist()
+        if told:
+            full = owners is None and kind not in narrow
+            bits_ = [np.packbits(hit[cuts[i] : cuts[i + 1]]).tobytes() for i in told]
+            later = [np.packbits(late[cuts[i] : cuts[i + 1]]).tobytes() if full else None for i in told]
+            yield pa.record_batch([pa.array([shards[i] for i in told], pa.int64()), pa.array([blocks[i] for i in told], pa.int64()), pa.array([bucket] * len(told), pa.int32()), pa.array([kind] * len(told), pa.int32()), pa.array(bits_, pa.binary()), pa.array(later, pa.binary())], names=["shard", "block", "bucket", "kind", "bits", "later"])
 
     def solve_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[int, int], list[dict]] = {}
+        rows: list[tuple] = []
         for batch in batches:
-            for r in batch.to_pylist():
-                groups.setdefault((r["bucket"], r["kind"]), []).append(r)
-        while groups:
-            yield from solve(groups.popitem()[1])
+            for r in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "bucket", "kind", "keys", "owners")), strict=True):
+                if rows and rows[-1][2:4] != r[2:4]:
+                    yield from solve(rows)
+                rows.append(r)
+        if rows:
+            yield from solve(rows)
+
+    dealt = blobs.select("shard", "block", "bucket", "kind", "keys", "owners").repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "kind", "block")
+    out = dealt.mapInArrow(tidy(solve_part), REPLY)
+    return out.groupBy("shard").agg(F.collect_list(F.struct("block", "bucket", "kind", "bits", "later")).alias("replies"))
+
+
+def with_replies(blocks: DataFrame, replies: DataFrame) -> DataFrame:
+    """Blocks with the replies to them (null if their shard has none)."""
+    return blocks.join(replies, "shard", "left").withColumn("replies", F.filter("replies", lambda r: r["block"] == F.col("block")))
+
 
-    out = blobs.repartition(max(1 << bits, 2), "bucket").mapInArrow(tidy(solve_part), REPLY)
-    return out.groupBy("block").agg(F.collect_list(F.struct("bucket", "kind", "bits", "later")).alias("replies"))
+def merged(*replies: DataFrame) -> DataFrame:
+    """The replies of several rounds, one row per shard."""
+    every = replies[0]
+    for r in replies[1:]:
+        every = every.unionByName(r)
+    return every.groupBy("shard").agg(F.flatten(F.collect_list("replies")).alias("replies"))
 
 
 def each_block(blocks: DataFrame, work: Callable[[dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

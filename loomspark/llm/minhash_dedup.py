@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.components import components
-from loomspark.llm.exchange import BLOB, Keys, answer, bits_for, blob_batch, bucketed, each_block, kept, text_blocks
+from loomspark.llm.exchange import BLOB, Keys, answer, bucketed, each_block, forget, kept, text_blocks, with_replies
 from loomspark.llm.text import Words, mix, span_hashes, tidy
 
 COORDS = 128
@@ -107,26 +107,28 @@ def tokens(sig: np.ndarray) -> np.ndarray:
     return mix(sig.astype(np.uint64), np.arange(sig.shape[1], dtype=np.uint64)[None, :])
 
 
-PACKED = "block long, nodes binary, sizes binary, sig binary, shingles binary, posts array<array<long>>"
+PACKED = "shard long, block long, nodes binary, sizes binary, sig binary, shingles binary, posts array<array<long>>"
 NODES = "node binary, n long, s long, sig binary, shingles binary, shared binary, posts array<long>"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (least id of the documents linked directly or through others) and kept for every row."""
-    spark = docs.sparkSession
     need = matches_for(percent)
-    blocks, total = text_blocks(docs, id_col, text_col)
-    bits = bits_for(total / 4)
+    blocks = text_blocks(docs, id_col, text_col)
+    bits = blocks.bits_for(blocks.total / 4)
+    cols = ["shard", "block", "ids", "lens", "data"]
+    info = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary())])
 
     def emit(row: dict) -> Iterator[pa.RecordBatch]:
         b = _Block(row, shingle)
-        info = [(0, row["block"], _INFO, len(b.keys), b"".join(k.ljust(16, b"\0") for k in b.keys), b.n.tobytes())]
+        told = (row["shard"], row["block"], 0, _INFO, len(b.keys), b"".join(k.ljust(16, b"\0") for k in b.keys), b.n.tobytes())
+        yield pa.record_batch([pa.array([x], f.type) for x, f in zip(told, info, strict=True)], schema=info)
         if b.nodes:
             t = tokens(b.signatures()).ravel()
-            info += Keys(t, mix(t, np.uint64(1)), bits, True).blobs(row["block"], _COORD) + b.node_keys(bits).blobs(row["block"], _NODE)
-        yield blob_batch(info)
+            yield from Keys(t, mix(t, np.uint64(1)), bits, True).blobs(row["shard"], row["block"], _COORD)
+            yield from b.node_keys(bits).blobs(row["shard"], row["block"], _NODE)
 
-    blobs = kept(each_block(blocks.select("block", "ids", "lens", "data"), emit, BLOB), "posts")
+    blobs = kept(each_block(blocks.table.select(cols), emit, BLOB), "posts")
     replies = answer(blobs.where(F.col("kind") != _INFO), {_COORD}, bits)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +137,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keys = [r["keys"][i : i + 16] if n else None for i, n in zip(range(0, len(r["keys"]), 16), np.frombuffer(r["owners"], np.int64), strict=True)]
                 yield pa.record_batch([pa.array(r["ids"], pa.int64()), pa.array(np.frombuffer(r["owners"], np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "node"])
 
-    info = blobs.where(F.col("kind") == _INFO).select("block", "keys", "owners").join(blocks.select("block", "ids"), "block")
-    rows = kept(info.select("ids", "keys", "owners").mapInArrow(tidy(unpack), "doc_id long, n_shingles long, node binary"), "rows")
+    of_block = blobs.where(F.col("kind") == _INFO).select("block", "keys", "owners").join(blocks.table.select("block", "ids"), "block")
+    rows = kept(of_block.select("ids", "keys", "owners").mapInArrow(tidy(unpack), "doc_id long, n_shingles long, node binary"), "rows")
 
     def survive(row: dict) -> Iterator[pa.RecordBatch]:
         b = _Block(row, shingle)
@@ -157,19 +159,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             mine = np.sort(t[i][shared[i]])
             posts.append(mine[: len(mine) - need + 1].view(np.int64).tolist())
         sets = [b.sets[b.nodes[i]] for i in alive]
-        yield pa.record_batch([pa.array([row["block"]], pa.int64()), pa.array([b"".join(b.nodes[i] for i in alive)], pa.binary()), pa.array([np.array([len(x) for x in sets], np.int64).tobytes()], pa.binary()), pa.array([sig[alive].tobytes()], pa.binary()), pa.array([np.concatenate(sets).tobytes()], pa.binary()), pa.array([posts], pa.list_(pa.list_(pa.int64())))], names=["block", "nodes", "sizes", "sig", "shingles", "posts"])
+        yield pa.record_batch([pa.array([row["shard"]], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([b"".join(b.nodes[i] for i in alive)], pa.binary()), pa.array([np.array([len(x) for x in sets], np.int64).tobytes()], pa.binary()), pa.array([sig[alive].tobytes()], pa.binary()), pa.array([np.concatenate(sets).tobytes()], pa.binary()), pa.array([posts], pa.list_(pa.list_(pa.int64())))], names=["shard", "block", "nodes", "sizes", "sig", "shingles", "posts"])
 
-    packed = each_block(blocks.join(replies, "block", "left").select("block", "ids", "lens", "data", "replies"), survive, PACKED)
-    packed = bucketed(packed, "nodes", "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = bucketed(each_block(with_replies(blocks.table.select(cols), replies), survive, PACKED), "packed", "shard", blocks.shards)
 
     def shingle_keys(row: dict) -> Keys:
         h = np.frombuffer(row["shingles"], np.uint64)
         return Keys(mix(h, np.uint64(9)), h, bits, True)
 
     def emit_shingles(row: dict) -> Iterator[pa.RecordBatch]:
-        yield blob_batch(shingle_keys(row).blobs(row["block"], _COORD))
+        yield from shingle_keys(row).blobs(row["shard"], row["block"], _COORD)
 
-    met = answer(each_block(packed.select("block", "shingles"), emit_shingles, BLOB), {_COORD}, bits)
+    met = answer(each_block(packed.select("shard", "block", "shingles"), emit_shingles, BLOB), {_COORD}, bits)
 
     def unpack_nodes(row: dict) -> Iterator[pa.RecordBatch]:
         keys, sizes = shingle_keys(row), np.frombuffer(row["sizes"], np.int64)
@@ -180,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         each = lambda x, width: [x[i * width : (i + 1) * width] for i in range(len(sizes))]
         yield pa.record_batch([pa.array(each(row["nodes"], 16), pa.binary()), pa.array(sizes), pa.array(s), pa.array(each(row["sig"], 4 * COORDS), pa.binary()), pa.array(cut(row["shingles"], 8), pa.binary()), pa.array([np.packbits(shared[a:e]).tobytes() for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], pa.binary()), pa.array(row["posts"], pa.list_(pa.int64()))], names=["node", "n", "s", "sig", "shingles", "shared", "posts"])
 
-    nodes = bucketed(each_block(packed.join(met, "block", "left"), unpack_nodes, NODES).repartition("node"), "nodes", "node", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nodes = bucketed(each_block(with_replies(packed, met), unpack_nodes, NODES).repartition(blocks.shards, "node"), "nodes", "node", blocks.shards)
     share = percent / 100
     # What a partner may have at most; a little more than the exact bound, for rounding.
     most = F.floor(F.col("s") * (1 + 1 / share) - F.col("n") + 1e-6)
@@ -284,6 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = known.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("high")).where("v <> high").select("doc_id", "v")
     of_id = known.join(several, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v")
     labels = kept(components(links.unionByName(of_id)), "labels")
+    forget(blocks.table, packed, nodes)
     # Ids, not rows, are linked: an id's texts belong together.
     least = known.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     top = least.groupBy("label").agg(F.min("least").alias("component"))

@@ -8,8 +8,10 @@ base kinds, kinds with a structure that can be verified are reported only when i
 * jwt: three base64url parts of which the first is a JSON object with "alg";
 * key: a PEM private key whose DER length matches its payload.
 
-Offsets are code points, end exclusive.  Cases: a null text is empty; null or repeated ids pass through;
-an empty table gives an empty result; extra columns are ignored.
+Offsets are code points, end exclusive.  Cases: a null text is empty; null or repeated ids pass through, a repeated row is
+judged again; two kinds that start together are listed in the order of KINDS; an empty table gives an empty result; extra
+columns are ignored.  A text of any length is read whole, in a time that grows with its length: no expression is tried twice over
+the same run of characters and none backtracks.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CHECKED = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-_JWT = re.compile(r"(eyJ[\w-]+)\.[\w-]+\.[\w-]+", re.ASCII)
-_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+?)-----END (?:[A-Z]+ )?PRIVATE KEY-----")
+_JWT = re.compile(r"(?<![\w-])(eyJ[\w-]++)\.[\w-]++\.[\w-]++", re.ASCII)  # one try for a run of these characters
+_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(\s[A-Za-z0-9+/=\s]++)-----END (?:[A-Z]+ )?PRIVATE KEY-----")
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 

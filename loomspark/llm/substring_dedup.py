@@ -6,9 +6,10 @@ survived are keyed and exchanged, and the ones that occur once drop out; the lev
 At the target length the keys carry document ids, and a window is marked where a smaller id has it too.
 
 Cases: a null text has no words; a null id is never smaller than another and has none below it, so
-its words stay and remove nobody's; rows that share an id remove nothing from each other; an empty
-table gives an empty result; extra columns are ignored.  Words are compared by 64-bit hashes, windows by 64 bits and
-those of the bucket.
+its words stay and remove nobody's; rows that share an id (repeated rows too) remove nothing from each other, and of texts
+that tie the smallest id keeps its words; an empty table gives an empty result; extra columns are ignored.  A text of any length is
+judged whole: one longer than a block is a block of its own, whose task holds some 40 bytes for each of its own.  Words are compared by
+64-bit hashes, windows by 64 bits and those of the bucket.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomspark.llm.exchange import BLOB, Keys, answer, bits_for, blob_batch, each_block, kept, text_blocks
+from loomspark.llm.exchange import BLOB, Keys, answer, each_block, forget, kept, merged, text_blocks, with_replies
 from loomspark.llm.text import Words, covered, mix, runs, span_hashes
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string"
@@ -79,49 +80,53 @@ class _Level:
 
 def _above_least(keys: Keys) -> np.ndarray:
     new = np.ones(len(keys.what), bool)
-    new[1:] = (keys.what[1:] != keys.what[:-1]) | (keys.bucket[1:] != keys.bucket[:-1])
+    new[1:] = keys.where[1:] != keys.where[:-1]
     least = keys.owners[np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else keys.owners
     return keys.owners > least
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, first: int = 25, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, first: int = 13, texts: bool = True) -> DataFrame:
     """Removes every word covered by a window of `window` words whose words also start in a document with a smaller id.
 
     Returns per document doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one
     space), the removed spans (word numbers, end exclusive) and, if texts is set, the kept text.
     """
     sizes = lengths(window, first)
-    blocks, total = text_blocks(docs, id_col, text_col)
-    bits = bits_for(total)
+    blocks = text_blocks(docs, id_col, text_col)
+    bits = blocks.bits_for(blocks.total)
+    cols = ["shard", "block", "ids", "lens", "data"]
     replies: DataFrame | None = None
+    alive = len(sizes) if blocks.count else 0  # levels that have candidates
 
     def joined() -> DataFrame:
-        return blocks if replies is None else blocks.join(replies, "block", "left")
+        table = blocks.table.select(cols)
+        return table if replies is None else with_replies(table, replies)
 
-    for level in range(len(sizes)):
+    for level in range(alive):
         last = level == len(sizes) - 1
 
         def emit(row: dict, level: int = level) -> Iterator[pa.RecordBatch]:
             state = _Level(row, sizes, bits)
             for k in range(level):
                 state.settle(k)
-            if rows := state.keys(level).blobs(row["block"], level):
-                yield blob_batch(rows)
+            yield from state.keys(level).blobs(row["shard"], row["block"], level)
 
-        blobs = each_block(joined().select("block", "ids", "lens", "data", *(["replies"] if replies is not None else [])), emit, BLOB)
+        seen = Observation()
+        blobs = each_block(joined(), emit, BLOB).observe(seen, F.count(F.lit(1)).alias("n"))
         got = kept(answer(blobs, set() if last else {level}, bits), "replies")
-        if replies is not None:
-            got = kept(replies.unionByName(got).groupBy("block").agg(F.flatten(F.collect_list("replies")).alias("replies")), "replies")
-        replies = got
+        if not seen.get["n"]:  # no window of this length has two halves that repeat, so no longer one repeats either
+            alive = level
+            break
+        replies = got if replies is None else kept(merged(replies, got), "replies")
 
     def finish(row: dict) -> Iterator[pa.RecordBatch]:
         state = _Level(row, sizes, bits)
-        for k in range(len(sizes)):
-            state.settle(k)
-            if not len(state.starts):
-                break
+        if alive == len(sizes):
+            for k in range(len(sizes)):
+                state.settle(k)
         w = state.words
-        gone = covered(state.starts, window, len(w.start))
+        starts = state.starts if alive == len(sizes) else np.zeros(0, np.int64)
+        gone = covered(starts, window, len(w.start))
         # One space before every kept word but a document's first, none elsewhere.
         keep_word = ~gone
         seen = np.cumsum(keep_word)
@@ -151,4 +156,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         yield pa.record_batch([pa.array(row["ids"], pa.int64()), pa.array(w.count), pa.array(removed), pa.array(shas, pa.string()), pa.array(spans, span), pa.array(kept_texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
 
-    return each_block(joined().select("block", "ids", "lens", "data", "replies"), finish, OUT)
+    out = kept(each_block(joined(), finish, OUT), "dedup")
+    forget(blocks.table)
+    return out

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.exchange import BLOB, Keys, answer, bits_for, blob_batch, each_block, kept, text_blocks
+from loomspark.llm.exchange import BLOB, Keys, answer, each_block, forget, kept, merged, text_blocks, with_replies
 from loomspark.llm.text import byte_span_hashes, covered, mix, runs
 
 OUT = "doc_id long, n_bytes long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string"
@@ -126,26 +126,24 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns per document doc_id, n_bytes, n_removed, kept_sha256 (of the remaining bytes), the removed
     spans (byte offsets, end exclusive) and, if texts is set, the remaining text (torn characters replaced).
     """
-    blocks, total = text_blocks(docs, id_col, text_col)
-    bits = bits_for(total / 2)
-    cols = ["block", "ids", "lens", "data"]
+    blocks = text_blocks(docs, id_col, text_col)
+    bits = blocks.bits_for(blocks.total / 2)
+    cols = ["shard", "block", "ids", "lens", "data"]
 
     def emit_samples(row: dict) -> Iterator[pa.RecordBatch]:
         b = _Block(row, length, bits)
-        if rows := b.whole_keys.blobs(row["block"], _WHOLE) + b.sample_keys().blobs(row["block"], _SAMPLE):
-            yield blob_batch(rows)
+        yield from b.whole_keys.blobs(row["shard"], row["block"], _WHOLE)
+        yield from b.sample_keys().blobs(row["shard"], row["block"], _SAMPLE)
 
-    ranks = kept(answer(each_block(blocks.select(cols), emit_samples, BLOB), {_SAMPLE}, bits), "ranks")
+    ranks = kept(answer(each_block(blocks.table.select(cols), emit_samples, BLOB), {_SAMPLE}, bits), "ranks")
 
     def emit_suffixes(row: dict) -> Iterator[pa.RecordBatch]:
         b = _Block(row, length, bits)
         b.settle_samples()
-        if rows := b.suffix_keys().blobs(row["block"], _SUFFIX):
-            yield blob_batch(rows)
+        yield from b.suffix_keys().blobs(row["shard"], row["block"], _SUFFIX)
 
-    ranked = blocks.join(ranks, "block").select(*cols, "replies")  # a block without replies has no candidates
-    found = answer(each_block(ranked, emit_suffixes, BLOB), set(), bits)
-    both = kept(ranks.unionByName(found).groupBy("block").agg(F.flatten(F.collect_list("replies")).alias("replies")), "ranks")
+    found = answer(each_block(with_replies(blocks.table.select(cols), ranks), emit_suffixes, BLOB), set(), bits)
+    both = kept(merged(ranks, found), "ranks")
 
     def finish(row: dict) -> Iterator[pa.RecordBatch]:
         b = _Block(row, length, bits)
@@ -168,4 +166,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         yield pa.record_batch([pa.array(row["ids"], pa.int64()), pa.array(b.lens), pa.array(removed), pa.array(shas, pa.string()), pa.array(spans, span), pa.array(kept_texts, pa.string())], names=["doc_id", "n_bytes", "n_removed", "kept_sha256", "spans", "kept_text"])
 
-    return each_block(blocks.join(both, "block", "left").select(*cols, "replies"), finish, OUT)
+    out = kept(each_block(with_replies(blocks.table.select(cols), both), finish, OUT), "dedup")
+    forget(blocks.table)
+    return out

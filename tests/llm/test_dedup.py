@@ -63,6 +63,7 @@ def test_substring_dedup_against_brute_force(spark, edge, nothing):
 
 
 def test_level_lengths():
+    assert lengths(50, 13) == [13, 25, 50]
     assert lengths(50, 25) == [25, 50]
     assert lengths(50, 8) == [8, 13, 25, 50]
     assert lengths(10, 20) == [10]
