@@ -40,6 +40,8 @@ SORT_AT_ONCE = 8 << 20
 GROW_FROM, BLOCK_GROWTH = 512, 8
 MOST_SHARDS = 20_000
 BLOB = "shard long, block long, bucket int, kind int, n long, keys binary, owners binary"
+#: The kind of a blob that only says that its block takes part; see has_any().
+ALIVE = -1
 REPLY = "shard long, block long, bucket int, kind int, bits binary, later binary"
 
 
@@ -187,6 +189,17 @@ class Keys:
         return out
 
 
+def alive(shard: int, block: int) -> pa.RecordBatch:
+    """A blob that says that a block has keys."""
+    row = {"shard": (shard, pa.int64()), "block": (block, pa.int64()), "bucket": (0, pa.int32()), "kind": (ALIVE, pa.int32()), "n": (0, pa.int64()), "keys": (b"", pa.binary()), "owners": (None, pa.binary())}
+    return pa.record_batch([pa.array([v], t) for v, t in row.values()], names=list(row))
+
+
+def has_any(replies: DataFrame) -> bool:
+    """Whether any block sent alive() in this round."""
+    return bool(replies.where(F.exists("replies", lambda r: r["kind"] == ALIVE)).head(1))
+
+
 def shared_keys(what: np.ndarray, owners: np.ndarray | None, ranges: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Of the keys of one bucket, laid end to end in the order of their blocks: which to report, and which aren't their key's first.
 
@@ -224,6 +237,10 @@ def answer(blobs: DataFrame, narrow: set[int], bits: int) -> DataFrame:
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         shards, blocks, bucket, kind = [r[0] for r in rows], [r[1] for r in rows], rows[0][2], rows[0][3]
+        if kind == ALIVE:
+            yield pa.record_batch([pa.array(v, t) for v, t in ((shards[:1], pa.int64()), (blocks[:1], pa.int64()), ([bucket], pa.int32()), ([kind], pa.int32()), ([None], pa.binary()), ([None], pa.binary()))], names=["shard", "block", "bucket", "kind", "bits", "later"])
+            rows.clear()
+            return
         what = np.concatenate([np.frombuffer(r[4], np.uint32 if kind in narrow else np.uint64) for r in rows])
         cuts = np.cumsum([0, *(len(r[4]) // what.itemsize for r in rows)])
         owners = np.concatenate([np.frombuffer(r[5], np.int64) for r in rows]) if rows[0][5] is not None else None

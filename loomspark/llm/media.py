@@ -7,7 +7,9 @@ decoded: the ranges address it.
 
 Cases: a null text is empty and is stored as one frame of zeros; null or repeated ids pass through; an
 empty table gives an empty result; a column value that is no such file gives a null struct in media_info(); extra columns
-are ignored; files over 4 GB use 64-bit sizes and offsets.
+are ignored; repeated rows and equal texts give equal files; files over 4 GB use 64-bit sizes and offsets; a text of any length is one
+file, held whole by its task, as a row is; a count of samples that the file can't hold makes it no such file; fragmented files
+(moof) have empty sample tables and give no ranges.
 """
 
 from __future__ import annotations
@@ -152,6 +154,8 @@ def _track(data: bytes, t: dict[bytes, tuple[int, int]]) -> Track:
     codec = data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16].decode("latin-1")
     s, _ = t[b"stsz"]
     fixed, n = struct.unpack_from(">II", data, s + 4)
+    if fixed * n > len(data):
+        raise ValueError("more samples than the file has bytes")
     sizes = np.full(n, fixed, np.int64) if fixed else _table(data, t[b"stsz"], ">u4", 1, 12)[:, 0]
     chunks = (_table(data, t[b"stco"], ">u4", 1) if b"stco" in t else _table(data, t[b"co64"], ">u8", 1))[:, 0]
     groups = _table(data, t[b"stsc"], ">u4", 3)
@@ -181,14 +185,16 @@ def feature_of(track: Track) -> str:
     return f"codec={track.codec.strip()};duration={track.duration / track.timescale:.2f};frames={len(track.sizes)};keys={len(track.keys)};ranges_crc32={zlib.crc32(spans.encode())}"
 
 
-OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
+OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, key_ranges array<struct<start:long,end:long>>, media binary"
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", media: bool = True) -> DataFrame:
-    """Stores every whole text as a media file, reads the file back, and returns digests of payload and file, features, and (if media is set) the file."""
+    """Stores every whole text as a media file, reads the file back, and returns digests of payload and file, features, the byte ranges of the key frames, and (if media is set) the file."""
+
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_bytes", "payload_bytes")), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("media", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_bytes", "payload_bytes")), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("key_ranges", span), ("media", pa.binary())])
         for batch in batches:
             rows: list[tuple] = []
             held = 0
@@ -197,7 +203,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 stored = write_media(padded(raw))
                 track = read_media(stored)[0]
                 back = payload_of(stored, track)
-                rows.append((key.as_py(), len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(track), stored if media else None))
+                rows.append((key.as_py(), len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(track), [{"start": s, "end": e} for s, e in track.ranges(track.keys)], stored if media else None))
                 held += len(stored) * media
                 if held > 8 << 20:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

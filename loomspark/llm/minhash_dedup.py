@@ -21,7 +21,9 @@ missed with a chance under one in a million.  At 0.8, `matches` is 80.
 
 Cases: null and empty texts have empty sets and link with nothing; a text with fewer words than a shingle has its
 whole sequence as one; a null id takes no part (its component is null and it is kept); rows that share
-an id are one document with several texts; an empty table gives an empty result; extra columns are ignored.
+an id are one document with several texts, and repeated rows one row each; where ids tie for a component the least one names it; an
+empty table gives an empty result; extra columns are ignored.  A text of any length is compared whole; one longer than a block is
+a block of its own.  Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from loomspark.llm.exchange import BLOB, Keys, answer, bucketed, each_block, for
 from loomspark.llm.text import Words, mix, span_hashes, tidy
 
 COORDS = 128
+#: Cells over which a hub's pairs are dealt.
+SALTS = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20)
@@ -102,6 +106,17 @@ class _Block:
         return Keys(pairs[:, 0].copy(), pairs[:, 1].copy(), bits, False)
 
 
+def hub_side(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """pairs (u, v) with what `about` tells of v.
+
+    A hub may be in a third of all pairs.  Its pairs are dealt by a hash of u over SALTS cells, and its row goes once to each cell that
+    has any, so no task gets a hub's pairs whole, and no row goes to more cells than it has pairs.
+    """
+    dealt = pairs.withColumn("cell", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
+    cells = dealt.select("v", "cell").distinct()
+    return dealt.join(about.join(cells, "v").repartition("v", "cell"), ["v", "cell"]).drop("cell")
+
+
 def tokens(sig: np.ndarray) -> np.ndarray:
     """A 64-bit number of every (coordinate, value) pair."""
     return mix(sig.astype(np.uint64), np.arange(sig.shape[1], dtype=np.uint64)[None, :])
@@ -210,12 +225,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def compare(pairs: DataFrame) -> DataFrame:
         """linked, shared shingles, v's shared part, and u's shingles that v lacks but some other node has, for pairs (u, v).
 
-        The nodes are bucketed, so only pairs move: first the v that are needed are looked up and joined (a hub's many
-        pairs can be split there), then the pairs with v's set go to u.
+        The nodes are bucketed, so only pairs move: first the v that are needed are looked up and joined, then the pairs with
+        v's set go to u.
         """
         side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("shingles").alias(f"set_{s}"), *((F.col("shared").alias("shared_u"),) if s == "u" else ((F.col("s") / F.col("n")).alias("part_v"),)))
-        needed = side("v").join(pairs.select("v").distinct(), "v", "left_semi")
-        return kept(pairs.join(needed.repartition("v"), "v").join(side("u"), "u").mapInArrow(tidy(confirm), "u binary, v binary, linked boolean, shared long, part double, rest array<long>"), "links")
+        return kept(hub_side(pairs, side("v")).join(side("u"), "u").mapInArrow(tidy(confirm), "u binary, v binary, linked boolean, shared long, part double, rest array<long>"), "links")
 
     possible = (F.col("n") <= F.col("hub_most")) & (F.col("hub_n") <= F.col("most"))
     best = F.max_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most")), F.struct("part", "node")).alias("h")
@@ -252,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = kept(new.join(pairs.select(low, high).distinct(), ["low", "high"], "left_anti").select("u", "v"), "pairs")
         pairs = pairs.unionByName(new)
         sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
-        near = new.join(sig("v").join(new.select("v").distinct(), "v", "left_semi").repartition("v"), "v").join(sig("u"), "u").mapInArrow(tidy(agree), "u binary, v binary")
+        near = hub_side(new, sig("v")).join(sig("u"), "u").mapInArrow(tidy(agree), "u binary, v binary")
         got = compare(kept(near, "near"))
         results = results.unionByName(got)
         links = links.unionByName(got.where("linked").select("u", "v"))

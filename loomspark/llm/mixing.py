@@ -16,7 +16,8 @@ by about 2 * LAST documents of each source.  No source is gathered in one task.
 
 Cases: null text has size 0; null is a source of its own, last in order; rows with equal hashes (repeated rows)
 share their fate; a source without words has target 0; an empty table gives an empty result; other columns are
-kept, and those this operator adds replace columns of the same name.
+kept, and those this operator adds replace columns of the same name.  A text of any length counts whole; one longer than what
+its source has left is not drawn, and in a source of few documents that can leave up to its size unfilled.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ BLOCK_ROWS = 256
 LAST = 512
 TRIES = 24
 SHARD_WORDS = 8_000_000
+MOST_DEPTH = 17  # shards beyond the number of blocks would be empty
 FEW_SOURCES = 50_000
 ADDED = ("size", "source_size", "target", "taken", "copies")
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -76,7 +78,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Adds size, source_size, target, taken and copies (shard and order of each draw) to every document.
 
     texts: keep all columns; otherwise only the id and what is added, and the texts are read once.
-    depth: of the splitting tree; by default such that a shard has about SHARD_WORDS words.
+    depth: of the splitting tree; by default such that a shard has about SHARD_WORDS words, or a 131072th of the mix if that is more.
     """
     clean = docs.drop(*(c for c in ADDED if c in docs.columns and c not in (id_col, text_col, source_col)))
     full = clean.withColumn("_size", word_count(text_col)).withColumn("_source", F.col(source_col)).withColumn("_hash", F.xxhash64(F.col(id_col), F.col(source_col), F.xxhash64(text_col), F.lit(seed)))
@@ -94,7 +96,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     if depth is None:
         wanted = plan.agg(F.sum("target")).first()[0] or 0
-        depth = min(16, max(4, int(wanted / SHARD_WORDS).bit_length()))
+        depth = min(MOST_DEPTH, max(4, int(wanted / SHARD_WORDS).bit_length()))
 
     block = F.pmod(F.col("hash"), F.col("blocks"))
     dealt = d.join(small(plan.select("source", "blocks", "whole", "rest").withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("block", block)

@@ -1,16 +1,16 @@
 """Packing documents into token sequences of balanced attention cost.
 
 A document's cost is linear + quadratic in its tokens.  In descending order each goes to the lowest-cost sequence
-with room for all of it, or else is cut at the room of the lowest-cost sequence that has any.  The sequences of a
-block of texts hold exactly its tokens: full ones, and for the rest one for each power of two in it, so none is padded.
-Every block is packed by itself, in the task that reads it: nothing is shuffled, and a lost task only
-repeats its block.
+with room for all of it, or else is cut at the room of the lowest-cost sequence that has any.  A block of texts fills whole
+sequences; what is left of it, less than one, is packed with the next block of the task, and at the task's end one sequence for each
+power of two takes the rest, so none is padded.  Every task packs what it reads: nothing is shuffled, and a lost task only repeats itself.
 
 Tokens: a word's ids don't depend on its neighbours, since white space ends a token and is dropped, so each
 distinct word is encoded once per worker (the cache is emptied at CACHE_WORDS words).
 
-Cases: null and empty texts are the end id alone; null or repeated ids pass through; an empty table gives an
-empty result; extra columns are ignored.
+Cases: null and empty texts are the end id alone; null or repeated ids pass through, repeated rows are packed each; documents
+of equal length go in the order in which they are read, and of sequences of equal cost the first is taken; an empty table gives an
+empty result; extra columns are ignored.  A text of any length is encoded whole and cut into as many pieces as it needs.
 """
 
 from __future__ import annotations
@@ -148,10 +148,17 @@ def rooms(total: int, length: int) -> np.ndarray:
     return np.array([length] * (total // length) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1], np.int64)
 
 
-def pack(counts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Rows (document, start, tokens, sequence, offset) for documents with these token counts."""
-    size = rooms(int(counts.sum()), length)
+def deal(counts: np.ndarray, length: int, last: bool) -> tuple[np.ndarray, int]:
+    """Rows (document, start, tokens, sequence, offset) for documents with these token counts, and the number of sequences.
+
+    If more documents follow, what fills no whole sequence gets the number after the last one: it is taken up only when nothing else
+    has room, and is packed again with what follows.
+    """
+    total = int(counts.sum())
+    size = rooms(total, length) if last else np.array([length] * (total // length) + [total % length] * (total % length > 0), np.int64)
+    n_sequences = len(size) if last else total // length
     left, cost = size.copy(), np.zeros(len(size))
+    cost[n_sequences:] = 1e300
     out = []
     for d in np.argsort(-counts, kind="stable").tolist():
         start, need = 0, int(counts[d])
@@ -163,7 +170,12 @@ def pack(counts: np.ndarray, length: int = LENGTH) -> np.ndarray:
             left[s] -= n
             cost[s] += LINEAR * n + QUADRATIC * n * n
             start, need = start + n, need - n
-    return np.array(out, np.int64).reshape(-1, 5)
+    return np.array(out, np.int64).reshape(-1, 5), n_sequences
+
+
+def pack(counts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The rows of deal() for documents that nothing follows."""
+    return deal(counts, length, True)[0]
 
 
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -179,20 +191,34 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first = TaskContext.get().partitionId() << 33, 0
         enc = encoder(path)
+        kept_ids, kept_start, kept_total, kept_counts = pa.array([], pa.int64()), *(np.zeros(0, np.int64) for _ in range(3))
+        kept_flat = np.zeros(0, np.uint32)
+
+        def packed(ids_: pa.Array, begun: np.ndarray, total: np.ndarray, counts: np.ndarray, flat: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            """Packs items (pieces kept back, then documents) and keeps back what fills no sequence, unless these are the last."""
+            nonlocal first, kept_ids, kept_start, kept_total, kept_counts, kept_flat
+            rows, n_sequences = deal(counts, length, last)
+            begin = (np.cumsum(counts) - counts)[rows[:, 0]] + rows[:, 1]
+            spread = lambda r, b: np.repeat(b - (np.cumsum(r[:, 2]) - r[:, 2]), r[:, 2]) + np.arange(r[:, 2].sum())
+            out = rows[:, 3] < n_sequences
+            back, back_begin = rows[~out], begin[~out]
+            kept_ids, kept_start, kept_total = ids_.take(pa.array(back[:, 0])), begun[back[:, 0]] + back[:, 1], total[back[:, 0]]
+            kept_counts, kept_flat = back[:, 2], flat[spread(back, back_begin)]
+            rows, begin = rows[out], begin[out]
+            crc = [zlib.crc32(flat[s:e]) for s, e in zip(begin.tolist(), (begin + rows[:, 2]).tolist(), strict=True)]
+            if ids:
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rows[:, 2])]), pa.int32()), pa.array(flat[spread(rows, begin)].astype(np.int32)))
+            else:
+                lists = pa.nulls(len(rows), pa.list_(pa.int32()))
+            yield pa.record_batch([ids_.take(pa.array(rows[:, 0])), pa.array(begun[rows[:, 0]] + rows[:, 1]), pa.array(rows[:, 2]), pa.array(crc, pa.int64()), pa.array(total[rows[:, 0]]), pa.array(part + first + rows[:, 3]), pa.array(rows[:, 4]), lists], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            first += n_sequences
+
         for batch in batches:
             for piece in slices(batch, "text", SLICE_BYTES):
                 flat, counts = enc.encode(Words(*text_bytes(piece.column("text"))), end_id)
-                rows = pack(counts, length)
-                begin = (np.cumsum(counts) - counts)[rows[:, 0]] + rows[:, 1]
-                cuts = list(zip(begin.tolist(), (begin + rows[:, 2]).tolist(), strict=True))
-                crc = [zlib.crc32(flat[s:e]) for s, e in cuts]
-                if ids:
-                    order = np.repeat(begin - (np.cumsum(rows[:, 2]) - rows[:, 2]), rows[:, 2]) + np.arange(rows[:, 2].sum())
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rows[:, 2])]), pa.int32()), pa.array(flat[order].astype(np.int32)))
-                else:
-                    lists = pa.nulls(len(rows), pa.list_(pa.int32()))
-                key = piece.column("id").take(pa.array(rows[:, 0]))
-                yield pa.record_batch([key, pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(crc, pa.int64()), pa.array(counts[rows[:, 0]]), pa.array(part + first + rows[:, 3]), pa.array(rows[:, 4]), lists], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-                first += int(rows[:, 3].max(initial=-1)) + 1
+                begun = np.concatenate([kept_start, np.zeros(len(counts), np.int64)])
+                yield from packed(pa.concat_arrays([kept_ids, piece.column("id")]), begun, np.concatenate([kept_total, counts]), np.concatenate([kept_counts, counts]), np.concatenate([kept_flat, flat]), False)
+        if len(kept_counts):
+            yield from packed(kept_ids, kept_start, kept_total, kept_counts, kept_flat, True)
 
     return bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(tidy(work), OUT)

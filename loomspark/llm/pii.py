@@ -1,14 +1,15 @@
 """Personal data: a character-level bidirectional LSTM with CRF transitions beside exact base patterns.
 
-The tagger is written and trained in numpy, from labelled spans that a seeded generator sets into invented
+The tagger reads characters (each ASCII character by itself, others by 32 hashed buckets).  It is written and trained in numpy, from labelled spans that a seeded generator sets into invented
 prose, in many more spellings than the base patterns know (numbers without +, other separators) and among numbers that are no personal
 data (dates, amounts, versions, references).  Inference cuts a text into overlapping windows; every
 window is decoded by Viterbi, each character takes the label of the window in which it lies farthest from an edge, and
 the joined labels give spans that may cross windows.  Every kind has a digit or an @ by definition, so
 windows without one need not be run.  Model spans must meet their kind's least form and never displace a base span.
 
-Offsets are code points, end exclusive.  Cases: a null text is empty; null or repeated ids pass through; an empty
-table gives an empty result; other columns are ignored (redact keeps them).
+Offsets are code points, end exclusive.  Cases: a null text is empty; null or repeated ids pass through, repeated rows are judged
+each; spans that start together are listed in the order of KINDS; an empty table gives an empty result; other columns are ignored
+(redact keeps them).  A text of any length is read whole: it is cut into windows, of which few are held at a time.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from loomspark.llm.text import bounded, tidy
 KINDS = ("email", "ip", "card", "phone")
 HIDDEN = 16
 WINDOW, STRIDE = 128, 64
+DECODE = 256
+LONGEST = 512  # of a model span
 LABELS = 1 + 2 * len(KINDS)  # outside, then begin and inside of every kind
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -73,68 +76,52 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-# The alphabet: what a character is to the tagger.
-_SINGLE = "@.-+()_%/:,#$"
-CLASSES = 7 + len(_SINGLE) + 1
+# The alphabet: padding, every ASCII character by itself, and a bucket for every other character.
+OTHERS = 32
+CHARACTERS = 1 + 128 + OTHERS
 
 
-@lru_cache
-def _class_table() -> np.ndarray:
-    t = np.full(128, 6, np.int8)
-    for i in range(128):
-        c = chr(i)
-        t[i] = 1 if c.isdigit() else 2 if c.islower() else 3 if c.isupper() else 4 if c == " " else 5 if c in "\n\r\t" else 7 + _SINGLE.index(c) if c in _SINGLE else 6
-    return t
-
-
-def classes(text: str) -> np.ndarray:
-    """Character classes; 0 is kept for padding."""
+def characters(text: str) -> np.ndarray:
+    """Numbers of a text's characters; 0 is kept for padding."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.full(len(points), 7 + len(_SINGLE), np.int8)  # beyond ASCII
-    plain = points < 128
-    out[plain] = _class_table()[points[plain]]
-    return out
+    return np.where(points < 128, points + 1, 129 + (points * np.uint32(2654435761) >> np.uint32(27))).astype(np.int16)
 
 
 class Tagger:
-    """Bidirectional LSTM with a CRF layer on character classes."""
+    """Bidirectional LSTM with a CRF layer on characters.  The two directions (axis 0) run side by side, the second on reversed windows."""
 
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
-        w = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.p = {f"{k}{d}": v for d in "fb" for k, v in (("x", w(CLASSES, 4 * HIDDEN)), ("h", w(HIDDEN, 4 * HIDDEN)), ("b", np.zeros(4 * HIDDEN, np.float32)))}
-        for d in "fb":
-            self.p[f"b{d}"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
-        self.p |= {"o": w(2 * HIDDEN, LABELS), "ob": np.zeros(LABELS, np.float32), "t": np.zeros((LABELS, LABELS), np.float32)}
+        w = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[-2])).astype(np.float32)
+        self.p = {"x": 3 * w(2, CHARACTERS, 4 * HIDDEN), "h": w(2, HIDDEN, 4 * HIDDEN), "b": np.zeros((2, 1, 4 * HIDDEN), np.float32), "o": w(2 * HIDDEN, LABELS), "ob": np.zeros(LABELS, np.float32), "t": np.zeros((LABELS, LABELS), np.float32)}
+        self.p["b"][:, :, HIDDEN : 2 * HIDDEN] = 1  # remember at first
 
-    def _lstm(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _states(self, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """Hidden states (steps, windows, 2 * HIDDEN) and, if asked, what the gradients need."""
         n, steps = x.shape
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        out, tape = np.empty((steps, n, HIDDEN), np.float32), []
-        table = self.p[f"x{d}"] + self.p[f"b{d}"]
-        for s in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = table[x[:, s]] + h @ self.p[f"h{d}"]
-            g = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
-            i, f, o = g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :]
-            u = np.tanh(z[:, 3 * HIDDEN :])
-            before_h, before_c = h, c
+        half = np.full(4 * HIDDEN, 0.5, np.float32)  # a sigmoid is (1 + tanh(z / 2)) / 2
+        half[3 * HIDDEN :] = 1
+        table, wh = (self.p["x"] + self.p["b"]) * half, self.p["h"] * half
+        given = np.stack([table[0][x.T], table[1][x[:, ::-1].T]], 1)  # steps, 2, windows, gates
+        h = c = np.zeros((2, n, HIDDEN), wh.dtype)
+        out, tape = np.empty((steps, 2, n, HIDDEN), wh.dtype), []
+        for s in range(steps):
+            g = np.tanh(given[s] + h @ wh)
+            g[:, :, : 3 * HIDDEN] *= 0.5
+            g[:, :, : 3 * HIDDEN] += 0.5
+            i, f, o, u = (g[:, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+            before = c
             c = f * c + i * u
             e = np.tanh(c)
             h = o * e
             out[s] = h
             if keep:
-                tape.append((s, i, f, o, u, e, before_h, before_c))
-        return out, tape
-
-    def emissions(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-        hf, tf = self._lstm(x, "f", keep)
-        hb, tb = self._lstm(x, "b", keep)
-        h = np.concatenate([hf, hb], 2)
-        return h @ self.p["o"] + self.p["ob"], (h, tf, tb)
+                tape.append((i, f, o, u, e, before))
+        return np.concatenate([out[:, 0], out[::-1, 1]], 2), tape
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Viterbi labels of windows (n, steps)."""
-        e, _ = self.emissions(x)
+        e = self._states(x, False)[0] @ self.p["o"] + self.p["ob"]
         steps, n, _ = e.shape
         back = np.empty((steps, n, LABELS), np.int8)
         v = e[0]
@@ -149,48 +136,58 @@ class Tagger:
         return path
 
     def _crf(self, e: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Mean negative log likelihood and its gradients by emissions and transitions."""
+        """Mean negative log likelihood and its gradients by emissions and transitions; sums are scaled at every step."""
         steps, n, k = e.shape
-        t = self.p["t"]
-        soft = lambda m, axis: (top := m.max(axis)) + np.log(np.exp(m - np.expand_dims(top, axis)).sum(axis))
-        a, b = np.empty_like(e), np.zeros_like(e)
-        a[0] = e[0]
-        for s in range(1, steps):
-            a[s] = soft(a[s - 1][:, :, None] + t[None], 1) + e[s]
-        for s in range(steps - 2, -1, -1):
-            b[s] = soft(t[None] + (e[s + 1] + b[s + 1])[:, None, :], 2)
-        z = soft(a[-1], 1)
-        ge = np.exp(a + b - z[None, :, None])
-        gt = np.zeros_like(t)
-        for s in range(1, steps):
-            gt += np.exp(a[s - 1][:, :, None] + t[None] + (e[s] + b[s])[:, None, :] - z[:, None, None]).sum(0)
-        rows = np.arange(n)
-        gold = sum(e[s, rows, y[:, s]] for s in range(steps)) + t[y[:, :-1], y[:, 1:]].sum(1)
+        t, top = self.p["t"], e.max(2, keepdims=True)
+        w, b = np.exp(t), np.exp(e - top)
+        fore, scale = np.empty_like(e), np.empty((steps, n, 1), e.dtype)
+        a = b[0]
         for s in range(steps):
-            ge[s, rows, y[:, s]] -= 1
+            a = b[s] * (a @ w) if s else a
+            scale[s] = a.sum(1, keepdims=True)
+            a = a / scale[s]
+            fore[s] = a
+        back = np.ones_like(e)
+        for s in range(steps - 2, -1, -1):
+            back[s] = (b[s + 1] * back[s + 1]) @ w.T / scale[s + 1]
+        ge = fore * back
+        arrive = b[1:] * back[1:] / scale[1:]
+        gt = w * (fore[:-1].reshape(-1, k).T @ arrive.reshape(-1, k))
+        at, rows = np.arange(steps)[:, None], np.arange(n)
+        gold = e[at, rows, y.T].sum(0) + t[y[:, :-1], y[:, 1:]].sum(1)
+        ge[at, rows, y.T] -= 1
         np.add.at(gt, (y[:, :-1], y[:, 1:]), -1)
-        return float((z - gold).mean()), ge / n, gt / n
+        return float((np.log(scale[:, :, 0]).sum(0) + top[:, :, 0].sum(0) - gold).mean()), ge / n, gt / n
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        e, (h, tf, tb) = self.emissions(x, True)
-        loss, ge, gt = self._crf(e, y)
-        g = {"t": gt, "o": h.reshape(-1, 2 * HIDDEN).T @ ge.reshape(-1, LABELS), "ob": ge.sum((0, 1))}
+        states, tape = self._states(x, True)
+        loss, ge, gt = self._crf(states @ self.p["o"] + self.p["ob"], y)
+        g = {"t": gt, "o": states.reshape(-1, 2 * HIDDEN).T @ ge.reshape(-1, LABELS), "ob": ge.sum((0, 1))}
         gh = ge @ self.p["o"].T
-        for d, tape, part in (("f", tf, gh[:, :, :HIDDEN]), ("b", tb, gh[:, :, HIDDEN:])):
-            wh = self.p[f"h{d}"]
-            gx, gwh = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(wh)
-            dh, dc = np.zeros_like(part[0]), np.zeros_like(part[0])
-            for s, i, f, o, u, e_, before_h, before_c in reversed(tape):
-                dh = dh + part[s]
-                dc = dc + dh * o * (1 - e_ * e_)
-                dz = np.concatenate([dc * u * i * (1 - i), dc * before_c * f * (1 - f), dh * e_ * o * (1 - o), dc * i * (1 - u * u)], 1)
-                np.add.at(gx, x[:, s], dz)
-                gwh += before_h.T @ dz
-                dh, dc = dz @ wh.T, dc * f
-            g |= {f"x{d}": gx, f"h{d}": gwh, f"b{d}": gx.sum(0)}
+        gh = np.stack([gh[:, :, :HIDDEN], gh[::-1, :, HIDDEN:]], 1)
+        n, steps = x.shape
+        wt = self.p["h"].transpose(0, 2, 1)
+        dz = np.empty((steps, 2, n, 4 * HIDDEN), wt.dtype)
+        dh = dc = np.zeros((2, n, HIDDEN), wt.dtype)
+        for s in range(steps - 1, -1, -1):
+            i, f, o, u, e, before = tape[s]
+            dh = dh + gh[s]
+            dc = dc + dh * o * (1 - e * e)
+            z = dz[s]
+            z[:, :, :HIDDEN] = dc * u * i * (1 - i)
+            z[:, :, HIDDEN : 2 * HIDDEN] = dc * before * f * (1 - f)
+            z[:, :, 2 * HIDDEN : 3 * HIDDEN] = dh * e * o * (1 - o)
+            z[:, :, 3 * HIDDEN :] = dc * i * (1 - u * u)
+            dh, dc = z @ wt, dc * f
+        past = np.stack([states[:-1, :, :HIDDEN], states[1:, :, HIDDEN:][::-1]], 1)  # of every step but the first
+        flat = lambda v: v.transpose(1, 0, 2, 3).reshape(2, -1, v.shape[-1])
+        g["h"] = flat(past).transpose(0, 2, 1) @ flat(dz[1:])
+        seen = np.stack([x.T, x[:, ::-1].T]).reshape(2, -1)
+        g["x"] = np.stack([(np.arange(CHARACTERS)[:, None] == seen[d]).astype(dz.dtype) @ flat(dz)[d] for d in range(2)])
+        g["b"] = g["x"].sum(1, keepdims=True)
         return loss, g
 
-    def train(self, x: np.ndarray, y: np.ndarray, rounds: int, batch: int = 64, rate: float = 0.02) -> float:
+    def train(self, x: np.ndarray, y: np.ndarray, rounds: int, batch: int = 40, rate: float = 0.03) -> float:
         """Adam over shuffled batches; the rate falls to a tenth.  Returns the last losses' mean."""
         r = np.random.default_rng(7)
         m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
@@ -275,7 +272,7 @@ def trained_tagger(samples: int = 1500, rounds: int = 220) -> Tagger:
     """The tagger, trained once per process; it depends on nothing but the seeds."""
     texts, spans = labelled_texts(samples, 1)
     tagger = Tagger()
-    tagger.train(np.stack([classes(t) for t in texts]), np.stack([labels_of(WINDOW, s) for s in spans]), rounds)
+    tagger.train(np.stack([characters(t) for t in texts]), np.stack([labels_of(WINDOW, s) for s in spans]), rounds)
     return tagger
 
 
@@ -283,36 +280,42 @@ _LEAST = (lambda s: "@" in s and "." in s, lambda s: _IP.fullmatch(s) is not Non
 
 
 def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """Model spans of whole texts."""
-    windows, where, coded = [], [], []
-    for t, text in enumerate(texts):
-        x = classes(text)
-        coded.append(x)
-        hint = np.concatenate([[0], np.cumsum((x == 1) | (x == 7))])
+    """Model spans of whole texts.  At most DECODE windows are held at a time; a text itself takes a few bytes a character."""
+    coded = [characters(t) for t in texts]
+    labels: dict[int, np.ndarray] = {}
+    waiting: list[tuple[int, int]] = []
+
+    def settle() -> None:
+        windows = np.zeros((len(waiting), WINDOW), np.int16)
+        for w, (t, s) in zip(windows, waiting, strict=True):
+            w[: min(WINDOW, len(coded[t]) - s)] = coded[t][s : s + WINDOW]
+        edge = (WINDOW - STRIDE) // 2
+        for (t, s), path in zip(waiting, tagger.decode(windows), strict=True):
+            a = 0 if s == 0 else edge
+            b = WINDOW if s + WINDOW >= len(coded[t]) else WINDOW - edge
+            labels.setdefault(t, np.zeros(len(coded[t]), np.int8))[s + a : s + b] = path[a:b][: max(0, len(coded[t]) - s - a)]
+        waiting.clear()
+
+    for t, x in enumerate(coded):
+        hint = np.concatenate([[0], np.cumsum(((x >= 49) & (x <= 58)) | (x == 65), dtype=np.int32)])  # digits and @
         starts = np.arange(0, max(len(x) - WINDOW + STRIDE, 1), STRIDE)
         ends = np.minimum(starts + WINDOW, len(x))
         for s in starts[hint[ends] > hint[starts]].tolist():
-            w = np.zeros(WINDOW, np.int8)
-            w[: min(WINDOW, len(x) - s)] = x[s : s + WINDOW]
-            windows.append(w)
-            where.append((t, s))
-    labels = {t: np.zeros(len(coded[t]), np.int8) for t, _ in where}
-    for i in range(0, len(windows), 256):
-        got = tagger.decode(np.stack(windows[i : i + 256]))
-        for (t, s), path in zip(where[i : i + 256], got, strict=True):
-            edge = (WINDOW - STRIDE) // 2
-            a = 0 if s == 0 else edge
-            b = WINDOW if s + WINDOW >= len(coded[t]) else WINDOW - edge
-            labels[t][s + a : s + b] = path[a:b][: max(0, len(coded[t]) - s - a)]
+            waiting.append((t, s))
+            if len(waiting) == DECODE:
+                settle()
+    if waiting:
+        settle()
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for t, y in labels.items():
         kind = np.where(y > 0, (y - 1) // 2, -1)
         begin = (y > 0) & ((y % 2 == 1) | (np.concatenate([[-1], kind[:-1]]) != kind))
+        # A span ends where another begins or its kind does.
+        cut = begin | (np.concatenate([[-1], kind[:-1]]) != kind)
+        cuts = np.append(np.flatnonzero(cut), len(y))
         for s in np.flatnonzero(begin).tolist():
-            e = s + 1
-            while e < len(y) and kind[e] == kind[s] and not begin[e]:
-                e += 1
-            if _LEAST[kind[s]](texts[t][s:e]):
+            e = int(cuts[np.searchsorted(cuts, s, "right")])
+            if e - s <= LONGEST and _LEAST[kind[s]](texts[t][s:e]):
                 out[t].append((s, int(kind[s]), e))
     return out
 

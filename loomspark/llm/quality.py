@@ -1,13 +1,15 @@
 """Quality rules: hashed n-gram logistic regression, calibrated, beside counted base rules.
 
-Features are shares, not counts: how much of a text's words, word pairs and byte 3- and 4-grams fall on
+Features are shares, not counts: how much of a text's words, word pairs and 3- and 4-grams of characters fall on
 each hashed place.  A text's logit is then the mean of the weights over its n-grams, found without building a
 vector.  Training takes a bounded, hash-chosen sample of the labelled rows; the fold not
-trained on fixes the two calibration parameters (Platt).  Scoring runs in Arrow batches.
+trained on fixes the two calibration parameters (Platt).  Scoring runs in Arrow batches, and the probability is held against
+the fixed THRESHOLDS: their number that it reaches is the band, and KEEP_BAND or more is kept.
 
 Cases: a null text has no words and fails the base rule; without labelled rows of both values the model keeps
-everything that passes the base rule; null or repeated ids pass through; an empty table gives an
-empty result; extra columns are ignored.
+everything that passes the base rule; null or repeated ids pass through (of a labelled id's texts the least is trained on); a
+probability that ties with a threshold reaches it; an empty table gives an empty result; extra columns are ignored.  A text of any length
+is scored whole: one longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -25,26 +27,42 @@ from loomspark.llm.text import Words, bounded, covered, mix, slices, span_hashes
 BITS = 12  # per family: words, word pairs, 3-grams, 4-grams
 FAMILIES = 4
 SAMPLE = 2000
-KEEP_AT = 0.5
+THRESHOLDS = (0.25, 0.5, 0.75)
+KEEP_BAND = 2
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SHIFT = np.uint64(64 - BITS)
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the characters of UTF-8 bytes start, and their code points."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at].astype(np.uint32)
+    wide = np.flatnonzero(lead >= 0x80)
+    if len(wide):
+        more = np.append(data, np.zeros(3, np.uint8))
+        one, two, three = (more[at[wide] + k].astype(np.uint32) & np.uint32(0x3F) for k in (1, 2, 3))
+        x = lead[wide]
+        short, middle = (x & np.uint32(0x1F)) << np.uint32(6) | one, (x & np.uint32(0x0F)) << np.uint32(12) | one << np.uint32(6) | two
+        long = (x & np.uint32(0x07)) << np.uint32(18) | one << np.uint32(12) | two << np.uint32(6) | three
+        lead[wide] = np.where(x < 0xE0, short, np.where(x < 0xF0, middle, long))
+    return at, lead
+
+
 def families(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(document, hashed place) of all n-grams of a block, one family at a time."""
     h = words.hashes()
     yield words.doc, (h >> _SHIFT).astype(np.int64)
     two = words.doc[:-1] == words.doc[1:]
     yield words.doc[:-1][two], (mix(h[:-1][two], h[1:][two]) >> _SHIFT).astype(np.int64)
-    doc = np.repeat(np.arange(words.n_docs, dtype=np.int32), np.diff(np.concatenate([[0], words.doc_end])))
-    code = words.data.astype(np.uint32)
-    code = code[:-2] | code[1:-1] << 8 | code[2:] << 16 if len(code) > 2 else code[:0]
-    for size in (3, 4):
-        if size == 4:
-            code = code[:-1] | words.data[3:].astype(np.uint32) << 24 if len(code) else code
-        same = doc[: len(code)] == doc[size - 1 :]
-        yield doc[: len(code)][same], ((code[same] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
+    at, code = code_points(words.data)
+    doc = np.repeat(np.arange(words.n_docs, dtype=np.int32), np.diff(np.concatenate([[0], words.doc_end])))[at]
+    gram = code
+    for size in (2, 3, 4):
+        gram = gram[:-1] * np.uint32(0x01000193) + code[size - 1 :] if len(gram) else gram
+        if size > 2:
+            same = doc[: len(gram)] == doc[size - 1 :]
+            yield doc[: len(gram)][same], ((gram[same] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
 
 
 @dataclass
@@ -120,8 +138,9 @@ def platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Trains on at most `sample` labelled rows, chosen by hash; each sends at most FAMILIES * 2**BITS shares to the driver."""
-    few = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(sample)
+    few = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("y")).distinct().orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "id")  # `sample` rows at most
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))  # one row for each labelled row, however often an id repeats
     width = FAMILIES << BITS
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 place, value, cut = np.concatenate(places)[order], np.concatenate(values)[order], np.searchsorted(d[order], np.arange(n + 1))
                 yield pa.record_batch([piece.column("id").cast(pa.int64()), piece.column("y").cast(pa.int32()), pa.array([place[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["id", "y", "places", "shares"])
 
-    got = rows.mapInArrow(tidy(shares), "id long, y int, places binary, shares binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).slice(0, 2 * sample)
+    got = rows.mapInArrow(tidy(shares), "id long, y int, places binary, shares binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     y = got.column("y").to_numpy().astype(np.float32)
     if not 0 < (y > 0).sum() < len(y):
         return Model(np.zeros((FAMILIES, 1 << BITS)), 0.0, 1.0, 10.0)
@@ -197,11 +216,11 @@ def base_counts(words: Words) -> dict[str, np.ndarray]:
     return {"n_words": words.count, "word_chars": total(words.solid & ((data & 0xC0) != 0x80)), "n_symbols": total(_SYMBOL[data]), "n_dup_lines": dup, "n_repeat_words": np.bincount(words.doc[in_window], minlength=n).astype(np.int64)}
 
 
-OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality_probability double"
+OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality_probability double, quality_band int"
 
 
-def quality_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
-    """Base counts and verdict of every whole text; a text that passes the base rules is kept if its probability of good quality is keep_at or more."""
+def quality_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", thresholds: tuple[float, ...] = THRESHOLDS, keep_band: int = KEEP_BAND) -> DataFrame:
+    """Base counts and verdict of every whole text; a text that passes the base rules is kept if its probability of good quality reaches keep_band of the thresholds."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FAMILIES * 2**BITS weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +230,7 @@ def quality_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 c = base_counts(words)
                 failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
                 p = shared.value.probability(words)
-                yield pa.record_batch([piece.column("id"), *(pa.array(v.astype(np.int64)) for v in c.values()), pa.array(failed), pa.array(~failed & (p >= keep_at)), pa.array(p)], names=["doc_id", *c, "base_failed", "kept", "quality_probability"])
+                band = np.searchsorted(thresholds, p, "right")
+                yield pa.record_batch([piece.column("id"), *(pa.array(v.astype(np.int64)) for v in c.values()), pa.array(failed), pa.array(~failed & (band >= keep_band)), pa.array(p), pa.array(band, pa.int32())], names=["doc_id", *c, "base_failed", "kept", "quality_probability", "quality_band"])
 
     return bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(tidy(work), OUT)

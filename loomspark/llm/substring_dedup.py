@@ -19,10 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from loomspark.llm.exchange import BLOB, Keys, answer, each_block, forget, kept, merged, text_blocks, with_replies
+from loomspark.llm.exchange import BLOB, Keys, alive, answer, each_block, forget, has_any, kept, merged, text_blocks, with_replies
 from loomspark.llm.text import Words, covered, mix, runs, span_hashes
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string"
@@ -96,36 +95,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = blocks.bits_for(blocks.total)
     cols = ["shard", "block", "ids", "lens", "data"]
     replies: DataFrame | None = None
-    alive = len(sizes) if blocks.count else 0  # levels that have candidates
+    levels = len(sizes)  # those that have candidates
 
     def joined() -> DataFrame:
         table = blocks.table.select(cols)
         return table if replies is None else with_replies(table, replies)
 
-    for level in range(alive):
+    for level in range(len(sizes)):
         last = level == len(sizes) - 1
 
         def emit(row: dict, level: int = level) -> Iterator[pa.RecordBatch]:
             state = _Level(row, sizes, bits)
             for k in range(level):
                 state.settle(k)
-            yield from state.keys(level).blobs(row["shard"], row["block"], level)
-
-        seen = Observation()
-        blobs = each_block(joined(), emit, BLOB).observe(seen, F.count(F.lit(1)).alias("n"))
-        got = kept(answer(blobs, set() if last else {level}, bits), "replies")
-        if not seen.get["n"]:  # no window of this length has two halves that repeat, so no longer one repeats either
-            alive = level
+            keys = state.keys(level)
+            if len(keys.what):
+                yield alive(row["shard"], row["block"])
+                yield from keys.blobs(row["shard"], row["block"], level)
+
+        got = kept(answer(each_block(joined(), emit, BLOB), set() if last else {level}, bits), "replies")
+        if not has_any(got):  # no window of this length has two halves that repeat, so no longer one repeats either
+            levels = level
             break
         replies = got if replies is None else kept(merged(replies, got), "replies")
 
     def finish(row: dict) -> Iterator[pa.RecordBatch]:
         state = _Level(row, sizes, bits)
-        if alive == len(sizes):
+        if levels == len(sizes):
             for k in range(len(sizes)):
                 state.settle(k)
         w = state.words
-        starts = state.starts if alive == len(sizes) else np.zeros(0, np.int64)
+        starts = state.starts if levels == len(sizes) else np.zeros(0, np.int64)
         gone = covered(starts, window, len(w.start))
         # One space before every kept word but a document's first, none elsewhere.
         keep_word = ~gone

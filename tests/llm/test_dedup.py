@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from loomspark.llm.components import components
+from loomspark.llm.exchange import LEAST_BITS, LEAST_BLOB, MOST_BITS, Blocks, Keys, shared_keys
 from loomspark.llm.minhash_dedup import near_duplicates
 from loomspark.llm.substring_dedup import lengths, substring_dedup
 from loomspark.llm.suffix_dedup import cover_for, suffix_dedup
@@ -124,3 +125,32 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (7, 7)], "u long, v long")
     got = {r.node: r.label for r in components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100}
+
+
+def test_keys_of_a_bucket_in_ranges():
+    r = np.random.default_rng(4)
+    what, owners = r.integers(0, 60, 200).astype(np.uint64) << np.uint64(58), r.integers(0, 9, 200)
+    for ranges in (0, 1, 3):
+        hit, late = shared_keys(what, None, ranges)
+        assert hit.tolist() == [(what == w).sum() > 1 for w in what]
+        assert late.tolist() == [bool((what[:i] == w).any()) for i, w in enumerate(what)]
+        hit, _ = shared_keys(what, owners, ranges)
+        assert hit.tolist() == [bool((owners[what == w] < o).any()) for w, o in zip(what, owners, strict=True)]
+
+
+def test_blobs_of_a_block_are_bounded():
+    """However large the corpus, a block sends no more than 2**MOST_BITS blobs, and more than 2**LEAST_BITS only of LEAST_BLOB bytes or so."""
+    r = np.random.default_rng(5)
+    where, what = (r.integers(0, 1 << 63, 200_000).astype(np.uint64) * np.uint64(2) for _ in range(2))
+    for total in (1 << 27, 1 << 35, 1 << 40, 1 << 47):
+        count = max(1, total // (4 << 20))
+        bits = Blocks(None, total, count, 1).bits_for(total / 5)
+        (blobs,) = Keys(where, what, bits, True).blobs(0, 0, 0)
+        assert LEAST_BITS <= bits <= MOST_BITS and blobs.num_rows <= 1 << bits
+        assert bits == LEAST_BITS or 4 * len(what) / blobs.num_rows >= LEAST_BLOB / 4
+        assert sum(len(b.as_py()) for b in blobs.column("keys")) == 4 * len(what)
+
+
+def test_substring_levels_end_early(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(90))), (2, " ".join(f"b{i}" for i in range(90)))], "doc_id long, text string")
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(docs).collect()} == {(1, 90, 0), (2, 90, 0)}

@@ -36,3 +36,25 @@ def test_registered(spark):
 
     names = entry.queries()
     assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+
+
+def test_stages_on_edge_rows_and_on_none(spark, edge, nothing):
+    """Nulls, empty, repeated and copied texts and repeated ids through every stage, and an empty table through all of them."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = edge.selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as long) n_chars")
+    seen = {"start": docs}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.kept(stage(spark, docs, SF), name)
+        seen[name] = docs
+        assert name == "packing" or docs.columns == seen["start"].columns
+    good = {r.doc_id for r in seen["language_id"].select("doc_id").collect()}
+    assert good >= {1, 2, 3, 9, 10, 12} and not good & {4, 5, 6}
+    near = [r.doc_id for r in seen["near_dedup"].select("doc_id").collect()]
+    assert len([i for i in near if i is not None]) == len(set(near) - {None})  # repeated rows of an id stay once
+    assert 1 in near and not {2, 3} & set(near)
+    assert seen["pii"].count() == len(near)
+    assert {r.doc_id for r in seen["packing"].select("doc_id").collect()} == {r.doc_id for r in seen["source_mix"].select("doc_id").collect()}
+    docs = spark.createDataFrame([], columns)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.kept(stage(spark, docs, SF), name)
+        assert docs.count() == 0
