@@ -69,6 +69,37 @@ def set_gender(df: DataFrame, character_id: int, gender: str) -> DataFrame:
     return df.withColumn("gender", F.when(F.col("id") == character_id, F.lit(gender)).otherwise(F.col("gender")))
 
 
+def update_character(df: DataFrame, character_id: int, name: str | None = None, aliases: list[str] | None = None, gender: str | None = None) -> DataFrame:
+    """Changes what is given of one character."""
+    if gender is not None:
+        df = set_gender(df, character_id, gender)
+    changes = {"name": F.lit(name) if name is not None else None, "aliases": F.array(*(F.lit(a) for a in aliases)).cast("array<string>") if aliases is not None else None}
+    return df.withColumns({c: F.when(F.col("id") == character_id, v).otherwise(F.col(c)) for c, v in changes.items() if v is not None})
+
+
+def locked(df: DataFrame, project: object) -> DataFrame:
+    return by_key(df, project=project, is_locked=True)
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """Characters of every project."""
+    return df.groupBy("project").agg(F.count(F.lit(1)).alias("n_characters"))
+
+
+def with_ground_truth(characters: DataFrame, truth: DataFrame) -> DataFrame:
+    """The library with reference names for an evaluation: truth (project, name, aliases) joins it, and its names and aliases win.
+
+    An alias that the truth gives to one name is taken from all others.
+    """
+    given = truth.select("project", "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("_more")).groupBy("project", "name").agg(F.array_distinct(F.flatten(F.collect_list("_more"))).alias("_more"))
+    taken = given.groupBy("project").agg(F.flatten(F.collect_list("_more")).alias("_taken"))
+    old = characters.join(given, ["project", "name"], "left").join(taken, "project", "left")
+    aliases = F.array_union(F.array_except("aliases", F.coalesce("_taken", F.array().cast("array<string>"))), F.coalesce("_more", F.array().cast("array<string>")))
+    kept = old.withColumn("aliases", F.sort_array(aliases)).select(characters.columns)
+    new = given.join(characters.select("project", "name"), ["project", "name"], "left_anti").withColumn("aliases", F.sort_array("_more"))
+    return kept.unionByName(new.drop("_more"), allowMissingColumns=True)
+
+
 def set_lock(df: DataFrame, project: object, character_id: int, locked: bool) -> DataFrame:
     return df.withColumn("is_locked", F.when((F.col("project") == project) & (F.col("id") == character_id), F.lit(locked)).otherwise(F.col("is_locked")))
 

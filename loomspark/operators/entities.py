@@ -88,6 +88,8 @@ def boundary_hits(docs: DataFrame, names: DataFrame, pack: Pack, id_cols: list[s
     """Templates (1 to 4 characters, then a boundary word) around each occurrence whose match overlaps the name: how many kinds, how many in all."""
     rows = docs.select(*id_cols, F.col(text_col).alias("_t")).join(names.select(*id_cols, "name").distinct(), id_cols)
     hits = rows.select(*id_cols, "name", F.explode(F.transform(positions(F.col("_t"), F.col("name")), lambda p: F.concat(before(F.col("_t"), p, around), after(F.col("_t"), p, around)))).alias("w"))
+    if not pack.boundary_suffixes:
+        return hits.select(*id_cols, "name").distinct().select(*id_cols, "name", F.lit(0).cast("long").alias("templates"), F.lit(0).cast("long").alias("hits"))
     per = []
     for suffix in pack.boundary_suffixes:
         found = F.filter(F.regexp_extract_all("w", F.lit(f"(.{{1,4}}){quote_pattern((suffix,))}"), F.lit(1)), lambda m: F.contains(m, F.col("name")) | F.contains(F.col("name"), m))

@@ -115,8 +115,9 @@ def group_speaker(context: Column, pack: Pack) -> Column:
 
 def is_dialogue(texts: DataFrame, pack: Pack, text_col: str, quote_col: str) -> DataFrame:
     """Adds is_dialogue for one given quote of each text; True where the text doesn't have it in any quote marks."""
-    rows = texts.withColumn("_row", F.monotonically_increasing_id())
-    found = boundary_verdict(extract_all_quotes(rows.select("_row", text_col, quote_col), ["_row"], text_col).join(rows.select("_row", F.col(quote_col).alias("_wanted")), "_row").where(F.col("quote") == F.col("_wanted")), pack)
+    rows = texts.withColumn("_row", F.sha2(F.to_json(F.struct(text_col, quote_col)), 256))  # equal rows have one verdict
+    given = rows.select("_row", text_col, quote_col).dropDuplicates(["_row"])
+    found = boundary_verdict(extract_all_quotes(given, ["_row"], text_col).join(given.select("_row", F.col(quote_col).alias("_wanted")), "_row").where(F.col("quote") == F.col("_wanted")), pack)
     first = found.groupBy("_row").agg(F.min_by("is_dialogue", "start").alias("is_dialogue"))
     return rows.join(first, "_row", "left").withColumn("is_dialogue", F.coalesce("is_dialogue", F.lit(True))).drop("_row")
 
@@ -127,3 +128,10 @@ def speech_contexts(docs: DataFrame, pack: Pack, id_cols: list[str], text_col: s
     tail = F.regexp_extract("after", f"^([^，。！？,.!?]{{0,6}}(?:{quote_pattern(pack.speech_verbs)}))", 1)
     each = F.array(F.struct(F.lit("before").alias("kind"), F.col("before").alias("context")), F.struct(F.lit("after").alias("kind"), tail.alias("context")))
     return quotes_.select(*id_cols, "quote_index", F.explode(each).alias("c")).select(*id_cols, "quote_index", "c.*").where(F.col("context") != "")
+
+
+def classify_quotes(docs: DataFrame, id_cols: list[str], verbs: tuple[tuple[str, tuple[str, ...]], ...], text_col: str = "text", marks: str = '["“”]', around: int = 50) -> DataFrame:
+    """Every outermost quote of a text with its type and confidence.  A mark closes the nearest one before it, so none is nested."""
+    rows = docs.select(*id_cols, F.col(text_col).alias("_t"), F.posexplode(matches(F.col(text_col), f"{marks}[^\\n]*?{marks}")).alias("quote_index", "q"))
+    kind = quotation_type(before(F.col("_t"), F.col("q.start"), around), verbs)
+    return rows.select(*id_cols, "quote_index", F.col("q.start").alias("start"), F.col("q.end").alias("end"), _inner(F.col("q"))["text"].alias("quote"), kind["type"].alias("type"), kind["confidence"].alias("confidence"))

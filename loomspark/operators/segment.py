@@ -156,6 +156,14 @@ def entity_in(sentence: Column, name: Column) -> Column:
     return F.coalesce((sentence == name) | F.when(F.length(name) == 1, alone).otherwise(F.contains(sentence, name)), F.lit(False))
 
 
+def with_entities(sentences_: DataFrame, names: DataFrame, id_cols: list[str], sentence_col: str = "sentence") -> DataFrame:
+    """Adds entities: the text's names that a sentence has, sorted.  A text's names come to its sentences as one array."""
+    per_text = names.where(F.length("name") > 0).groupBy(*id_cols).agg(F.sort_array(F.collect_set("name")).alias("_names"))
+    rows = sentences_.join(per_text, id_cols, "left")
+    found = F.filter("_names", lambda n: entity_in(F.col(sentence_col), n))
+    return rows.withColumn("entities", F.coalesce(found, F.array().cast("array<string>"))).drop("_names")
+
+
 def strided(df: DataFrame, order: list[str], by: list[str], step: int) -> DataFrame:
     """Every step-th row of each group."""
     from pyspark.sql import Window

@@ -14,8 +14,8 @@ from loomspark.operators.entities import cleaned_hint
 from loomspark.packs import Pack
 
 DECAY = 0.05
-#: What the last three speakers lose; the floor of a candidate.
-RECENT, FLOOR = (0.25, 0.15, 0.08), 0.20
+#: What the last five speakers lose, the latest first; the floor of a candidate.
+RECENT, FLOOR = (0.25, 0.15, 0.08, 0.08, 0.08), 0.20
 CONFIDENCE = {"hint": 0.88, "after": 0.82, "title": 0.80, "pronoun": 0.80, "context": 0.75, "library": 0.60}
 
 
@@ -124,7 +124,7 @@ def semantic_confidence(similarity: Column) -> Column:
 def resolve_in_order(candidates: DataFrame, quotes: DataFrame, id_cols: list[str], pack: Pack) -> DataFrame:
     """Speakers of a chapter's quotes in order, with the state that only order gives.
 
-    The last three new speakers lose some confidence; a quote whose prefix names only a pronoun, or that has no candidate, goes to the
+    The last five new speakers lose some confidence; a quote whose prefix names only a pronoun, or that has no candidate, goes to the
     recent speaker with the largest activity other than the last one (0.7 for one just mentioned, 0.4 by activity).
     candidates are ranked per quote; the group of a fold is one chapter's quotes, which its length bounds.
     """
@@ -141,7 +141,7 @@ def resolve_in_order(candidates: DataFrame, quotes: DataFrame, id_cols: list[str
         last, out = None, []
         for t, row in enumerate(pdf.itertuples(index=False)):
             options = [] if row.options is None else [(o["name"], o["confidence"]) for o in row.options if o["name"] not in pack.pronouns]
-            recent = order[-3:][::-1]
+            recent = order[-len(RECENT) :][::-1]
             scored = [(max(c - RECENT[recent.index(n)], FLOOR) if n in recent and len(order) > 1 else c, -i, n) for i, (n, c) in enumerate(options)]
             if scored and not (row.pronoun and max(scored)[0] < 0.7):
                 sure, _, name = max(scored)
@@ -203,3 +203,30 @@ def action_boost(confidence: Column, name: Column, narration: Column, actions: t
     """0.10 more, 0.95 at most, for a name that acts in the narration."""
     acts = F.regexp_like(narration, F.concat(F.lit("\\Q"), name, F.lit(f"\\E[^，。]{{0,3}}(?:{quote_pattern(actions)})")))
     return F.when(acts, F.least(confidence + 0.10, F.lit(0.95))).otherwise(confidence)
+
+
+def pronoun_placeholders(text: Column, genders: dict[str, str], labels: dict[str, str]) -> Column:
+    """A placeholder (name, confidence) for every pronoun in a text: 0.5 where its gender is known, else 0.3."""
+    one = lambda p, g: F.when(F.contains(text, F.lit(p)), F.struct(F.lit(f"{labels.get(g, labels['unknown'])}:{p}").alias("name"), F.lit(0.5 if g in ("male", "female") else 0.3).alias("confidence")))
+    return F.array_compact(F.array(*(one(p, g) for p, g in genders.items())))
+
+
+def action_trigger(text: Column, name: Column, actions: tuple[str, ...], around: int = 20) -> Column:
+    """Whether an action word is within `around` characters of a name's first place: the previous speaker acts again (0.65)."""
+    at = F.position(name, text)
+    near = F.substring(text, F.greatest(at - around, F.lit(1)), F.least(at - 1, F.lit(around)) + F.length(name) + around)
+    return F.when((at > 0) & near.rlike(quote_pattern(actions)), F.lit(0.65))
+
+
+def address_trigger(turns: DataFrame, characters: DataFrame, keys: list[str], order: str, words: tuple[str, ...], recent: int = 3) -> DataFrame:
+    """Turns in which someone is addressed and one other speaker alone is recent: (keys, order, addressed, speaker, confidence).
+
+    turns: (keys, order, text, speaker).  A character is addressed by a word that is an alias of theirs or ends their name.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-recent, -1)
+    rows = turns.withColumn("_recent", F.collect_list("speaker").over(w)).select(*keys, order, "text", "_recent")
+    said = rows.withColumn("_word", F.explode(F.filter(F.array(*(F.lit(x) for x in words)), lambda x: F.contains(F.col("text"), x))))
+    called = characters.select(F.col("name").alias("addressed"), "aliases", F.explode(F.array(*(F.lit(x) for x in words))).alias("_word")).where(F.array_contains("aliases", F.col("_word")) | F.endswith(F.col("addressed"), F.col("_word")))
+    others = F.array_distinct(F.filter("_recent", lambda s: s != F.col("addressed")))
+    hits = said.join(called.drop("aliases").distinct(), "_word").withColumn("_others", others).where(F.size("_others") == 1)
+    return hits.select(*keys, order, "addressed", F.col("_others")[0].alias("speaker"), F.lit(0.7).alias("confidence")).distinct()

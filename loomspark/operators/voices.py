@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NARRATOR = "narrator"
@@ -40,3 +40,18 @@ def timeline(segments: DataFrame, by: list[str], order: str, seconds: Column, te
     rows = segments.withColumn("_d", F.when(empty, 0).otherwise(seconds))
     end = F.sum("_d").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("end_time", end).withColumn("start_time", F.col("end_time") - F.col("_d")).drop("_d")
+
+
+# The voices on offer (id, name, gender, description, tags).
+VOICES = (
+    (1, "云深", "male", "沉稳磁性，适合旁白和成熟男性角色", ("磁性", "沉稳", "旁白")),
+    (2, "凌风", "male", "清朗少年音，适合年轻男性角色", ("少年", "清朗", "热血")),
+    (3, "若水", "female", "温婉知性，适合女性角色和内心独白", ("温婉", "知性", "柔美")),
+    (4, "铁马", "male", "豪迈刚毅，适合武将和豪爽角色", ("豪迈", "刚毅", "霸气")),
+    (5, "素心", "female", "清冷空灵，适合仙侠女性角色", ("清冷", "空灵", "仙侠")),
+    (6, "墨言", "neutral", "中性沉稳，适合旁白和叙述", ("中性", "沉稳", "叙述")),
+)
+
+
+def voice_list(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(*v[:4], list(v[4])) for v in VOICES], "id int, name string, gender string, description string, tags array<string>")

@@ -168,7 +168,13 @@ ZH = Pack(
     hint_patterns=_HINTS,
     name_pattern=r"[一-龥]{2,4}",
     pronouns=tuple("他 她 它 他们 她们 我 你 我们 你们".split()),
-    role_words=tuple("老者 少年 少女 老人 男子 女子 青年 中年人 老妇 大汉 侍女 弟子 掌柜 店小二 士兵".split()),
+    role_words=tuple(
+        (
+            "将军 丞相 元帅 统领 校尉 大臣 尚书 宰相 太傅 总管 掌门 舵主 堂主 族长 团长 队长 骑士 剑客 法师 护卫 士兵 斥候 杀手 刺客 "
+            "盗贼 佣兵 猎人 冒险者 剑修 修士 管家 丫鬟 侍女 侍卫 铁匠 商人 牧师 主教 青年 少年 少女 老者 老人 男子 女子 男人 女人 "
+            "道士 和尚 僧人 长老 弟子 前辈 药老 中年人 老妇 大汉 掌柜 店小二"
+        ).split()
+    ),
     boundary_suffixes=tuple("说道 问道 喊道 笑道 淡淡道 沉声道 冷声道 轻声道 低声道 道 来到 走出 看着 点了点头 摇头 皱眉 转身 站起 坐下 师兄 师姐 前辈 大人 长老 老师".split()),
     dialogue_words=tuple("道说问喊叫喝笑叹答应吼骂泣怒冷斥责嘲讽讥"),
     name_suffixes=tuple("尊 皇 帝 主 者 王 侯 公 伯 将 尊者 道人 圣人 之主 大帝 天尊 真人 先生 女士 公子 少爷 姑娘 小姐 前辈 后辈 长老 宗主 峰主 岛主".split()),

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators import characters as lib
 from loomspark.operators import emotion, entities, quotes, segment, speakers
 from loomspark.packs import Pack
-
-MAX_CHARS = 10 * 1024 * 1024
-
+from loomspark.sources.tables import cut
+from loomspark.sources.texts import guarded
 
 @dataclass
 class Analysis:
@@ -20,27 +20,43 @@ class Analysis:
     names: DataFrame
     sentences: DataFrame
     statistics: DataFrame
+    errors: DataFrame
 
 
-def analyze(docs: DataFrame, characters: DataFrame, pack: Pack, id_col: str = "doc_id", text_col: str = "text") -> Analysis:
+def analyze(docs: DataFrame, characters: DataFrame, pack: Pack, id_col: str = "doc_id", text_col: str = "text", tagged: DataFrame | None = None) -> Analysis:
     """Analyses every text (id, text); characters is the library with project = id.
 
-    State is kept per chapter, and the library is a snapshot: what a run discovers is in `names`, for the next one.
+    A text that can't be analysed (null, blank, or too long) has a row in `errors`.  tagged: entities (id, name) that a
+    tagger found, to be validated and linked beside those found here.  State is kept per chapter, and the library is a snapshot:
+    what a run discovers is in `names`, for the next one.
     """
-    fit = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= MAX_CHARS)).select(id_col, text_col)
+    judged_texts = guarded(docs.select(id_col, F.col(text_col).alias("text")))
+    errors = judged_texts.where(F.col("error").isNotNull()).select(id_col, "error")
+    fit = judged_texts.where(F.col("error").isNull()).select(id_col, F.col("text").alias(text_col))
     chapters = segment.split_chapters(fit, pack, id_col, text_col)
+    chapters = cut(chapters)
     keys = [id_col, "volume_index", "chapter_index"]
     parts = chapters.select(*keys, F.col("content").alias("text"))
     found = quotes.extract_dialogue(parts, pack, keys)
     judged = quotes.boundary_verdict(quotes.extract_all_quotes(parts, keys), pack)
-    spoken = quotes.remove_spans(found, judged.where(~F.col("is_dialogue")), keys)
-    names = entities.role_names(parts, spoken, pack, keys)
+    spoken = cut(quotes.remove_spans(found, judged.where(~F.col("is_dialogue")), keys))
+    near = entities.role_names(parts, spoken, pack, keys).select(id_col, "name")
+    every = (near.unionByName(tagged.select(id_col, "name")) if tagged is not None else near).distinct().withColumn("confidence", F.lit(0.6))
+    checked = cut(entities.validate(fit.withColumnRenamed(text_col, "text"), every, pack, [id_col]))
+    linked = lib.link_entities(checked.select(F.col(id_col).alias("project"), F.col("name").alias("text"), F.lit("PER").alias("type"), F.col("new_confidence").alias("confidence")), characters)
     context = speakers.quote_contexts(parts, spoken, keys).withColumn("project", F.col(id_col))
     options = speakers.rank_candidates(speakers.context_candidates(context, characters, pack, keys), [*keys, "quote_index"], pack.pronouns)
     resolved = speakers.resolve_in_order(options, context, keys, pack)
-    told = spoken.join(resolved, [*keys, "quote_index"], "left")
+    told = cut(spoken.join(resolved, [*keys, "quote_index"], "left"))
     each = segment.sentences(parts, pack, keys)
     marked = quotes.mark_dialogue(each, told, keys).withColumn("fragments", segment.fragments(F.col("sentence"), pack))
-    scored = emotion.classify_in_order(marked, pack, keys, "sentence_index")
-    stats = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if("is_dialogue").alias("n_dialogue"), F.count_if(~F.col("is_dialogue")).alias("n_narration"))
-    return Analysis(chapters, told, names, scored, stats)
+    scored = cut(emotion.classify_in_order(marked, pack, keys, "sentence_index"))
+    scenes = spoken.join(told.select(*keys, "quote_index", F.col("speaker").alias("_s")), [*keys, "quote_index"]).where("_s is not null").groupBy(F.col(id_col), F.col("_s").alias("name")).agg(F.count_distinct("volume_index", "chapter_index").alias("scenes"))
+    found_names = linked.select(F.col("project").alias(id_col), F.col("text").alias("name"), "type", "confidence", "standard_name", "is_linked").join(checked.select(id_col, "name", "n"), [id_col, "name"]).join(scenes, [id_col, "name"], "left")
+    names = cut(entities.speaker_roles(found_names.withColumn("scenes", F.coalesce("scenes", F.lit(0))), scenes, [id_col]))
+    confirmed = names.where("confidence >= 0.5 or is_linked").select(id_col, F.coalesce("standard_name", "name").alias("name")).distinct()
+    silent = scored.where(~F.col("is_dialogue"))
+    filled = speakers.backfill_unknown(scored.where("is_dialogue"), confirmed, [id_col]).unionByName(silent)
+    whole = segment.with_entities(filled, names, [id_col])
+    stats = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if("is_dialogue").alias("n_dialogue"), F.count_if(~F.col("is_dialogue")).alias("n_narration"), F.sum(F.size("entities")).alias("n_entities"))
+    return Analysis(chapters, told, names, whole, stats, errors)

@@ -409,7 +409,22 @@ def document_moods(spark, d):
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("sentence")).alias("n_chars"), *moods, F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-@query()
+_EMOTIONS = ("joy", "anger", "sadness", "surprise", "fear")
+_CARRY = f"""WITH RECURSIVE s AS ({_SPLIT}), f AS (SELECT doc_id, sentence_index, sentence AS t, {_FEATURES} FROM s), {_SCORES},
+held AS MATERIALIZED (SELECT doc_id, sentence_index, t, joy, anger, sadness, surprise, fear, neutral FROM raw),
+c AS (SELECT doc_id, -1::BIGINT AS i, '' AS label, 0::DOUBLE AS score FROM documents UNION ALL
+ SELECT doc_id, i, CASE WHEN l = 0 THEN 'neutral' WHEN s3 <= 0.15 AND l >= 5 AND e3 <> 'neutral' THEN 'unknown' ELSE e3 END, CASE WHEN l = 0 OR (s3 <= 0.15 AND l >= 5 AND e3 <> 'neutral') THEN 0.3::DOUBLE ELSE s3 END FROM
+ (SELECT doc_id, i, l, CASE WHEN flee THEN 'fear' ELSE e2 END AS e3, CASE WHEN flee THEN greatest(b * 0.8::DOUBLE, fear) ELSE b END AS s3 FROM
+ (SELECT *, e2 = 'anger' AND b >= 0.4 AND fear > 0.1 AND runs AS flee FROM
+ (SELECT *, CASE {" ".join(f"WHEN {e} = b THEN '{e}'" for e in _EMOTIONS)} ELSE 'neutral' END AS e2 FROM
+ (SELECT *, greatest({", ".join(_EMOTIONS)}, neutral) AS b FROM
+ (SELECT c.doc_id, r.sentence_index AS i, length(t) AS l, regexp_matches(t, '(?i)run|help') AS runs, round(least(r.neutral, 1), 10) AS neutral,
+  {", ".join(f"round(least(r.{e} + CASE WHEN greatest(r.joy, r.anger, r.sadness, r.surprise, r.fear, r.neutral) <= 0.25 AND c.label = '{e}' AND least(c.score, 0.95) >= 0.3 THEN 0.4::DOUBLE ELSE 0 END, 1), 10) AS {e}" for e in _EMOTIONS)}
+  FROM c JOIN held r ON r.doc_id = c.doc_id AND r.sentence_index = c.i + 1))))))
+SELECT doc_id, i AS sentence_index, label AS emotion_label, round(least(score, 0.95), 6)::DOUBLE AS confidence FROM c WHERE i >= 0"""
+
+
+@query(_CARRY)
 def emotion_carry(spark, d):
     out = emotion.classify_in_order(_sentences(spark, d), LATIN, ["doc_id"], "sentence_index")
     return out.select("doc_id", *long("sentence_index"), "emotion_label", F.round("confidence", 6).alias("confidence"))
@@ -596,3 +611,6 @@ def word_set(spark, d):
     n = table(spark, d, "nation")
     words = lib.insert_ignore(n.select(F.col("n_name").alias("word")).distinct(), table(spark, d, "region").select(F.col("r_name").alias("word")), ["word"])
     return lib.delete_rows(words, n.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("word")), ["word"])
+
+
+from loomspark.plans import analysis_queries  # noqa: E402, F401  (adds its queries to QUERIES and SQL)

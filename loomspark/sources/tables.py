@@ -16,3 +16,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the folder of spark.checkpoint.dir (one in the warehouse where it is unset), without their lineage.
+
+    For what several branches of a plan read: it is computed once, and a lost executor costs a reread.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loomspark"
+        spark.sparkContext.setCheckpointDir(base)
+    return df.checkpoint()
