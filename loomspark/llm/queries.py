@@ -92,5 +92,16 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d LEFT JOIN z ON d.doc_id = z.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON d.doc_id = c.a"""
 
 
+# Bytes as pairs of hexadecimal digits: DuckDB cuts strings, not blobs.
+OP7_SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(length(h) // 2)) AS s, unnest(regexp_extract_all(h, '..')) AS byte FROM b),
+w AS (SELECT doc_id, s, byte, CASE WHEN count(*) OVER f = 200 THEN md5(string_agg(byte, '') OVER f) END AS k FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY s ROWS BETWEEN CURRENT ROW AND 199 FOLLOWING)),
+t AS (SELECT *, k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 AS hit FROM w),
+g AS (SELECT doc_id, s, byte, max(hit::INT) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) = 1 AS gone FROM t),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY s), false) AS opens FROM g),
+d AS (SELECT doc_id, count_if(gone)::BIGINT AS n_removed, count_if(opens)::BIGINT AS n_spans, string_agg(byte, '' ORDER BY s) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT b.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM b LEFT JOIN d ON b.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op7_suffix_dedup": OP7_SQL, "op8_minhash_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL}
