@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from loomspark.llm.text import BLOCK_BYTES, bounded, slices, text_bytes, tidy
 
 #: Key bytes that one bucket holds about, and those that a block sends to a bucket at least where there are more than LEAST_BITS.
-BUCKET_BYTES, LEAST_BLOB = 32 << 20, 512
-LEAST_BITS, MOST_BITS = 5, 14
+BUCKET_BYTES, LEAST_BLOB = 8 << 20, 512
+LEAST_BITS, MOST_BITS = 4, 14
 #: Keys that a task sorts at once.
 SORT_AT_ONCE = 8 << 20
 #: Scan tasks at which blocks begin to grow, and how far.
