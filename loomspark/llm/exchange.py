@@ -58,23 +58,30 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts the lineage."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.loomspark_path = path
+    return out
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """As kept(), bucketed by a key, so that joins on it don't shuffle this side; forget() takes it out of the catalog."""
+    """As kept(), bucketed by a key, so that joins on it don't shuffle this side; it is a table of the catalog until discard()."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(buckets, key).saveAsTable(table)
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
     out = spark.table(table)
-    out.loomspark_table = table
+    out.loomspark_table, out.loomspark_path = table, path
     return out
 
 
-def forget(*tables: DataFrame) -> None:
-    """Takes tables of bucketed() out of the catalog, once nothing reads them any more."""
+def discard(*tables: DataFrame) -> None:
+    """Deletes what kept() or bucketed() wrote, once all that reads it has itself been written."""
     for df in tables:
-        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.loomspark_table}")
+        spark = df.sparkSession
+        if hasattr(df, "loomspark_table"):
+            spark.sql(f"DROP TABLE IF EXISTS {df.loomspark_table}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.loomspark_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shard_labels(spark: SparkSession, buckets: int) -> np.ndarray:

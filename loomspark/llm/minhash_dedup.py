@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.components import components
-from loomspark.llm.exchange import BLOB, Keys, answer, bucketed, each_block, forget, kept, text_blocks, with_replies
+from loomspark.llm.exchange import BLOB, Keys, answer, bucketed, discard, each_block, kept, text_blocks, with_replies
 from loomspark.llm.text import Words, mix, span_hashes, tidy
 
 COORDS = 128
@@ -177,6 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield pa.record_batch([pa.array([row["shard"]], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([b"".join(b.nodes[i] for i in alive)], pa.binary()), pa.array([np.array([len(x) for x in sets], np.int64).tobytes()], pa.binary()), pa.array([sig[alive].tobytes()], pa.binary()), pa.array([np.concatenate(sets).tobytes()], pa.binary()), pa.array([posts], pa.list_(pa.list_(pa.int64())))], names=["shard", "block", "nodes", "sizes", "sig", "shingles", "posts"])
 
     packed = bucketed(each_block(with_replies(blocks.table.select(cols), replies), survive, PACKED), "packed", "shard", blocks.shards)
+    discard(blocks.table, blobs)
 
     def shingle_keys(row: dict) -> Keys:
         h = np.frombuffer(row["shingles"], np.uint64)
@@ -197,6 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield pa.record_batch([pa.array(each(row["nodes"], 16), pa.binary()), pa.array(sizes), pa.array(s), pa.array(each(row["sig"], 4 * COORDS), pa.binary()), pa.array(cut(row["shingles"], 8), pa.binary()), pa.array([np.packbits(shared[a:e]).tobytes() for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], pa.binary()), pa.array(row["posts"], pa.list_(pa.int64()))], names=["node", "n", "s", "sig", "shingles", "shared", "posts"])
 
     nodes = bucketed(each_block(with_replies(packed, met), unpack_nodes, NODES).repartition(blocks.shards, "node"), "nodes", "node", blocks.shards)
+    discard(packed)
     share = percent / 100
     # What a partner may have at most; a little more than the exact bound, for rounding.
     most = F.floor(F.col("s") * (1 + 1 / share) - F.col("n") + 1e-6)
@@ -299,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = known.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("high")).where("v <> high").select("doc_id", "v")
     of_id = known.join(several, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v")
     labels = kept(components(links.unionByName(of_id)), "labels")
-    forget(blocks.table, packed, nodes)
+    discard(nodes)
     # Ids, not rows, are linked: an id's texts belong together.
     least = known.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     top = least.groupBy("label").agg(F.min("least").alias("component"))

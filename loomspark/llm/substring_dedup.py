@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomspark.llm.exchange import BLOB, Keys, alive, answer, each_block, forget, has_any, kept, merged, text_blocks, with_replies
+from loomspark.llm.exchange import BLOB, Keys, alive, answer, discard, each_block, has_any, kept, merged, text_blocks, with_replies
 from loomspark.llm.text import Words, covered, mix, runs, span_hashes
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string"
@@ -157,5 +157,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield pa.record_batch([pa.array(row["ids"], pa.int64()), pa.array(w.count), pa.array(removed), pa.array(shas, pa.string()), pa.array(spans, span), pa.array(kept_texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
 
     out = kept(each_block(joined(), finish, OUT), "dedup")
-    forget(blocks.table)
+    discard(blocks.table)
     return out

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.exchange import BLOB, Keys, answer, each_block, forget, kept, merged, text_blocks, with_replies
+from loomspark.llm.exchange import BLOB, Keys, answer, discard, each_block, kept, merged, text_blocks, with_replies
 from loomspark.llm.text import byte_span_hashes, covered, mix, runs
 
 OUT = "doc_id long, n_bytes long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string"
@@ -167,5 +167,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield pa.record_batch([pa.array(row["ids"], pa.int64()), pa.array(b.lens), pa.array(removed), pa.array(shas, pa.string()), pa.array(spans, span), pa.array(kept_texts, pa.string())], names=["doc_id", "n_bytes", "n_removed", "kept_sha256", "spans", "kept_text"])
 
     out = kept(each_block(with_replies(blocks.table.select(cols), both), finish, OUT), "dedup")
-    forget(blocks.table)
+    discard(blocks.table)
     return out

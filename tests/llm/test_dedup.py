@@ -1,11 +1,12 @@
 import hashlib
+import os
 import re
 from collections import Counter
 
 import numpy as np
 
 from loomspark.llm.components import components
-from loomspark.llm.exchange import LEAST_BITS, LEAST_BLOB, MOST_BITS, Blocks, Keys, shared_keys
+from loomspark.llm.exchange import LEAST_BITS, LEAST_BLOB, MOST_BITS, Blocks, Keys, bucketed, discard, kept, shared_keys
 from loomspark.llm.minhash_dedup import near_duplicates
 from loomspark.llm.substring_dedup import lengths, substring_dedup
 from loomspark.llm.suffix_dedup import cover_for, suffix_dedup
@@ -121,6 +122,16 @@ def test_near_duplicates_in_a_large_group(spark):
     assert 1 < len(set(want.values())) < len(rows)
 
 
+def test_tables_go_once_nothing_reads_them(spark, edge):
+    before = {t.name for t in spark.catalog.listTables()}
+    found = near_duplicates(edge)
+    assert found.count() == len(EDGE) and {t.name for t in spark.catalog.listTables()} == before
+    table = bucketed(spark.range(9), "gone", "id", 2)
+    both = kept(table, "gone")
+    discard(table)
+    assert both.count() == 9 and not os.path.exists(table.loomspark_path.removeprefix("file:"))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (7, 7)], "u long, v long")
     got = {r.node: r.label for r in components(edges).collect()}
