@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = here.select("token", F.col("label").alias("other"), *told, size(F.col("n")).alias("class"))
     by_size = asks.join(others, ["token", "class"]).where((F.col("label") != F.col("other")) & possible & (F.col("hub_n") <= F.col("n")) & apart)
     once = here.select("node", "label", "n", "most").distinct()
-    beyond = once.join(hub_of.select("node", "via", F.explode("rest").alias("shingle")), "node")
+    beyond = once.join(hub_of.select("node", "via", "rest"), "node").select(*once.columns, "via", F.explode("rest").alias("shingle"))
     meet = beyond.groupBy("via", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("via", "shingle")
     beyond = kept(beyond.join(meet, ["via", "shingle"]), "beyond")
     other = beyond.select("via", "shingle", F.col("label").alias("other"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most"))
