@@ -123,7 +123,7 @@ def tokens(sig: np.ndarray) -> np.ndarray:
 
 
 PACKED = "shard long, block long, nodes binary, sizes binary, sig binary, shingles binary, posts array<array<long>>"
-NODES = "node binary, n long, s long, sig binary, shingles binary, shared binary, posts array<long>"
+NODES = "node binary, n long, s long, sig binary, shingles binary, shared binary, posts array<long>, brief binary"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         s = np.add.reduceat(shared.astype(np.int64), ends - sizes)
         cut = lambda x, width: [x[a * width : e * width] for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
         each = lambda x, width: [x[i * width : (i + 1) * width] for i in range(len(sizes))]
-        yield pa.record_batch([pa.array(each(row["nodes"], 16), pa.binary()), pa.array(sizes), pa.array(s), pa.array(each(row["sig"], 4 * COORDS), pa.binary()), pa.array(cut(row["shingles"], 8), pa.binary()), pa.array([np.packbits(shared[a:e]).tobytes() for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], pa.binary()), pa.array(row["posts"], pa.list_(pa.int64()))], names=["node", "n", "s", "sig", "shingles", "shared", "posts"])
+        yield pa.record_batch([pa.array(each(row["nodes"], 16), pa.binary()), pa.array(sizes), pa.array(s), pa.array(each(row["sig"], 4 * COORDS), pa.binary()), pa.array(cut(row["shingles"], 8), pa.binary()), pa.array([np.packbits(shared[a:e]).tobytes() for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], pa.binary()), pa.array(row["posts"], pa.list_(pa.int64())), pa.array(each(row["sig"][::4], COORDS), pa.binary())], names=["node", "n", "s", "sig", "shingles", "shared", "posts", "brief"])
 
     nodes = bucketed(each_block(with_replies(packed, met), unpack_nodes, NODES).repartition(blocks.shards, "node"), "nodes", "node", blocks.shards)
     discard(packed)
@@ -256,19 +256,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDS) for c in ("sig_u", "sig_v"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDS) for c in ("brief_u", "brief_v"))
             keep = batch.filter(pa.array((a == b).sum(1) >= need))
             yield pa.record_batch([keep.column("u"), keep.column("v")], names=["u", "v"])
 
     def settle(found: DataFrame) -> None:
-        """Compares what hasn't been; only pairs whose signatures agree have their sets looked up."""
+        """Compares what hasn't been.  Only pairs whose signatures agree in the low byte of `matches` values, which all do that agree in the values, have their sets looked up."""
         nonlocal links, pairs, results
         low, high = F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")
         new = found.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct().select("u", "v", low, high)
         new = kept(new.join(pairs.select(low, high).distinct(), ["low", "high"], "left_anti").select("u", "v"), "pairs")
         pairs = pairs.unionByName(new)
-        sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
-        near = hub_side(new, sig("v")).join(sig("u"), "u").mapInArrow(tidy(agree), "u binary, v binary")
+        brief = lambda x: nodes.select(F.col("node").alias(x), F.col("brief").alias(f"brief_{x}"))
+        near = hub_side(new, brief("v")).join(brief("u"), "u").mapInArrow(tidy(agree), "u binary, v binary")
         got = compare(kept(near, "near"))
         results = results.unionByName(got)
         links = links.unionByName(got.where("linked").select("u", "v"))
