@@ -35,7 +35,7 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
 
 
 def test_stages_on_edge_rows_and_on_none(spark, edge, nothing):
