@@ -123,7 +123,7 @@ def tokens(sig: np.ndarray) -> np.ndarray:
 
 
 PACKED = "shard long, block long, nodes binary, sizes binary, sig binary, shingles binary, posts array<array<long>>"
-NODES = "node binary, n long, s long, sig binary, shingles binary, shared binary, posts array<long>, brief binary"
+NODES = "node binary, n long, s long, shingles binary, shared binary, posts array<long>, brief binary"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         s = np.add.reduceat(shared.astype(np.int64), ends - sizes)
         cut = lambda x, width: [x[a * width : e * width] for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
         each = lambda x, width: [x[i * width : (i + 1) * width] for i in range(len(sizes))]
-        yield pa.record_batch([pa.array(each(row["nodes"], 16), pa.binary()), pa.array(sizes), pa.array(s), pa.array(each(row["sig"], 4 * COORDS), pa.binary()), pa.array(cut(row["shingles"], 8), pa.binary()), pa.array([np.packbits(shared[a:e]).tobytes() for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], pa.binary()), pa.array(row["posts"], pa.list_(pa.int64())), pa.array(each(row["sig"][::4], COORDS), pa.binary())], names=["node", "n", "s", "sig", "shingles", "shared", "posts", "brief"])
+        yield pa.record_batch([pa.array(each(row["nodes"], 16), pa.binary()), pa.array(sizes), pa.array(s), pa.array(cut(row["shingles"], 8), pa.binary()), pa.array([np.packbits(shared[a:e]).tobytes() for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], pa.binary()), pa.array(row["posts"], pa.list_(pa.int64())), pa.array(each(row["sig"][::4], COORDS), pa.binary())], names=["node", "n", "s", "shingles", "shared", "posts", "brief"])
 
     nodes = bucketed(each_block(with_replies(packed, met), unpack_nodes, NODES).repartition(blocks.shards, "node"), "nodes", "node", blocks.shards)
     discard(packed)
@@ -210,15 +210,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked, shared, rest = [], [], []
-            for n, m, sa, sb, xa, xb, met_a in zip(*(batch.column(c) for c in ("n_u", "n_v", "sig_u", "sig_v", "set_u", "set_v", "shared_u")), strict=True):
+            for n, m, xa, xb, met_a in zip(*(batch.column(c) for c in ("n_u", "n_v", "set_u", "set_v", "shared_u")), strict=True):
                 n, m = n.as_py(), m.as_py()
                 x, y = np.frombuffer(xa.as_buffer(), np.uint64), np.frombuffer(xb.as_buffer(), np.uint64)
                 inside = np.zeros(n, bool)
                 at = np.searchsorted(y, x)
                 inside[at < m] = y[at[at < m]] == x[at < m]
                 both = int(inside.sum())
-                agree = (np.frombuffer(sa.as_buffer(), np.uint32) == np.frombuffer(sb.as_buffer(), np.uint32)).sum() >= need
-                linked.append(bool(agree) and 100 * both >= percent * (n + m - both))
+                linked.append(100 * both >= percent * (n + m - both))
                 shared.append(both)
                 met = np.unpackbits(np.frombuffer(met_a.as_buffer(), np.uint8), count=n).astype(bool)
                 rest.append(x[~inside & met].view(np.int64))
@@ -230,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         The nodes are bucketed, so only pairs move: first the v that are needed are looked up and joined, then the pairs with
         v's set go to u.
         """
-        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("shingles").alias(f"set_{s}"), *((F.col("shared").alias("shared_u"),) if s == "u" else ((F.col("s") / F.col("n")).alias("part_v"),)))
+        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"set_{s}"), *((F.col("shared").alias("shared_u"),) if s == "u" else ((F.col("s") / F.col("n")).alias("part_v"),)))
         return kept(hub_side(pairs, side("v")).join(side("u"), "u").mapInArrow(tidy(confirm), "u binary, v binary, linked boolean, shared long, part double, rest array<long>"), "links")
 
     possible = (F.col("n") <= F.col("hub_most")) & (F.col("hub_n") <= F.col("most"))
