@@ -151,15 +151,18 @@ class Keys:
 
     `where` (64 bits) picks the bucket and the order; `what` is compared inside the bucket.  A narrow exchange keeps the top 32
     bits of `what`, which may take different keys for equal and so suits filters only; a wide one keeps
-    all, so that keys are told apart by 64 bits and the bucket's.  owners: with each key, a document id.
+    all.  Where the two are independent hashes, keys are told apart by 64 bits and the bucket's between blocks, and by 128 inside a block.
+    owners: with each key, a document id.
     """
 
     def __init__(self, where: np.ndarray, what: np.ndarray, bits: int, narrow: bool, owners: np.ndarray | None = None):
         what = (what >> np.uint64(32)).astype(np.uint32) if narrow else what
         order = np.argsort(where) if owners is None else np.lexsort((owners, where))
+        if bool(((where[order][1:] == where[order][:-1]) & (what[order][1:] != what[order][:-1])).any()):
+            order = np.lexsort((what, where)) if owners is None else np.lexsort((owners, what, where))
         where, what = where[order], what[order]
         new = np.ones(len(order), bool)
-        new[1:] = where[1:] != where[:-1]
+        new[1:] = (where[1:] != where[:-1]) | (what[1:] != what[:-1])
         self.owners = None
         if owners is not None:
             own = owners[order]

@@ -8,8 +8,8 @@ At the target length the keys carry document ids, and a window is marked where a
 Cases: a null text has no words; a null id is never smaller than another and has none below it, so
 its words stay and remove nobody's; rows that share an id (repeated rows too) remove nothing from each other, and of texts
 that tie the smallest id keeps its words; an empty table gives an empty result; extra columns are ignored.  A text of any length is
-judged whole: one longer than a block is a block of its own, whose task holds some 40 bytes for each of its own.  Words are compared by
-64-bit hashes, windows by 64 bits and those of the bucket.
+judged whole: one longer than a block is a block of its own, whose task holds some 40 bytes for each of its own.  Windows are told
+apart by 64 bits and the bucket's of a second hash, which has another hash of each word too.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class _Level:
         self.known = np.array([i is not None for i in row["ids"]], bool)
         self.sizes, self.bits = sizes, bits
         self.replies = row.get("replies") or []
-        self.hash = self.words.hashes()
+        self.hash, self.other = self.words.hashes(0, 1)
         self.starts: np.ndarray | None = None
 
     def keys(self, level: int) -> Keys:
@@ -65,7 +65,8 @@ class _Level:
         self.at = np.flatnonzero(ok)
         h = h[self.at]
         last = level == len(self.sizes) - 1
-        return Keys(mix(h, np.uint64(7 + level)), h, self.bits, not last, self.ids[self.words.doc[self.at]] if last else None)
+        where = span_hashes(self.other, size)[self.at] if last else mix(h, np.uint64(7 + level))  # a filter can do without a second hash
+        return Keys(where, h, self.bits, not last, self.ids[self.words.doc[self.at]] if last else None)
 
     def settle(self, level: int) -> None:
         keys = self.keys(level)
@@ -79,7 +80,7 @@ class _Level:
 
 def _above_least(keys: Keys) -> np.ndarray:
     new = np.ones(len(keys.what), bool)
-    new[1:] = keys.where[1:] != keys.where[:-1]
+    new[1:] = (keys.where[1:] != keys.where[:-1]) | (keys.what[1:] != keys.what[:-1])
     least = keys.owners[np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else keys.owners
     return keys.owners > least
 

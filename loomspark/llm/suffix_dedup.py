@@ -18,7 +18,7 @@ the first copy's suffixes are dealt, so thousands of copies cost what one does.
 
 Cases: null and empty texts have no bytes and lose none; ids may be null or repeat (each row is judged as a
 document of its own); an empty table gives an empty result; extra columns are ignored.  A document longer
-than a block is a block of its own.  Keys have 64 bits plus those of the bucket.
+than a block is a block of its own.  Windows are told apart by a hash of 64 bits and the bucket's bits of a second, independent one.
 """
 
 from __future__ import annotations
@@ -111,8 +111,8 @@ class _Block:
         self.suffixes = np.flatnonzero(maybe & self.fits & ~np.repeat(later, self.lens))
 
     def suffix_keys(self) -> Keys:
-        h = byte_span_hashes(self.data, self.length, self.suffixes)
-        return Keys(mix(h, np.uint64(5)), h, self.bits, False)
+        where, what = (byte_span_hashes(self.data, self.length, self.suffixes, family=f) for f in (1, 0))
+        return Keys(where, what, self.bits, False)
 
     def gone(self) -> np.ndarray:
         keys = self.suffix_keys()

@@ -115,11 +115,14 @@ class Words:
         coded = self.array().dictionary_encode()
         return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word."""
+    def hashes(self, *families: int) -> np.ndarray | tuple[np.ndarray, ...]:
+        """A 64-bit hash of every word; given families, one of each, which are independent."""
         codes, distinct = self.codes()
-        each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
-        return each[codes] if len(codes) else np.zeros(0, np.uint64)
+        out = []
+        for f in families or (0,):
+            each = np.fromiter((xxhash.xxh3_64_intdigest(w, f) for w in distinct), np.uint64, len(distinct))
+            out.append(each[codes] if len(codes) else np.zeros(0, np.uint64))
+        return tuple(out) if families else out[0]
 
 
 def span_hashes(h: np.ndarray, length: int) -> np.ndarray:
@@ -133,11 +136,12 @@ def span_hashes(h: np.ndarray, length: int) -> np.ndarray:
     return mix(h[: len(h) - (length - step)], h[length - step :]) if step < length else h
 
 
-_BYTE = np.fromiter((xxhash.xxh3_64_intdigest(bytes([i])) for i in range(256)), np.uint64, 256)
+#: Of each family of hashes, the hash of every byte.
+_BYTES = [np.fromiter((xxhash.xxh3_64_intdigest(bytes([i]), family) for i in range(256)), np.uint64, 256) for family in (0, 1)]
 
 
-def byte_span_hashes(data: np.ndarray, length: int, wanted: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
-    """Hashes of the `length`-byte strings that start at the `wanted` (ascending) offsets.
+def byte_span_hashes(data: np.ndarray, length: int, wanted: np.ndarray, chunk: int = 1 << 15, family: int = 0) -> np.ndarray:
+    """Hashes of the `length`-byte strings that start at the `wanted` (ascending) offsets; those of two families are independent.
 
     Works through pieces that fit in the processor's cache; pieces without a wanted offset are skipped.
     """
@@ -148,7 +152,7 @@ def byte_span_hashes(data: np.ndarray, length: int, wanted: np.ndarray, chunk: i
         a, b = cuts[k], cuts[k + 1]
         if a < b:
             s = k * chunk
-            h = span_hashes(_BYTE[data[s : s + chunk + length - 1]], length)
+            h = span_hashes(_BYTES[family][data[s : s + chunk + length - 1]], length)
             out[a:b] = h[wanted[a:b] - s]
     return out
 

@@ -165,3 +165,29 @@ def test_blobs_of_a_block_are_bounded():
 def test_substring_levels_end_early(spark):
     docs = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(90))), (2, " ".join(f"b{i}" for i in range(90)))], "doc_id long, text string")
     assert {(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(docs).collect()} == {(1, 90, 0), (2, 90, 0)}
+
+
+def test_keys_of_equal_hash_are_told_apart_by_the_second():
+    import numpy as np
+
+    from loomspark.llm.exchange import Keys
+
+    where, what = np.array([5, 5, 5, 9, 9], np.uint64), np.array([1, 2, 1, 2, 2], np.uint64)
+    keys = Keys(where, what, 4, False)
+    assert len(keys.what) == 3 and keys.twice[keys.place].tolist() == [True, False, True, True, True]
+    owned = Keys(where, what, 4, False, np.array([3, 3, 4, 1, 2]))
+    assert len(owned.what) == 5
+
+
+def test_windows_that_only_one_hash_takes_for_equal(spark, monkeypatch):
+    """With a first hash that is always the same, the second still tells windows of a block apart."""
+    from loomspark.llm import suffix_dedup as op
+
+    import numpy as np
+
+    real = op.byte_span_hashes
+    monkeypatch.setattr(op, "byte_span_hashes", lambda data, length, wanted, family=0: real(data, length, wanted, family=1) if family else np.full(len(wanted), 7, np.uint64))
+    row = {"lens": np.array([300, 300], np.int64).tobytes(), "data": (bytes(range(256)) + bytes(44) + bytes(range(255, -1, -1)) + bytes(44)), "replies": []}
+    b = op._Block(row, 200, 4)
+    b.settle_samples()
+    assert len(b.suffixes) and not b.gone().any()
