@@ -100,9 +100,17 @@ class Track:
         return list(zip(at[new].tolist(), (at + n)[ends].tolist(), strict=True))
 
 
-def walk(data: bytes, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+#: Sample tables lie five boxes deep; what is nested deeper than this is not walked.
+DEEPEST = 8
+
+
+def walk(data: bytes, start: int, end: int) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path, body start, end) of every box, outer before inner; raises ValueError where sizes don't add up."""
-    while start < end:
+    open_ = [(start, end, ())]
+    while open_:
+        start, end, path = open_.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError("a box is cut off")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -116,9 +124,9 @@ def walk(data: bytes, start: int, end: int, path: tuple[bytes, ...] = ()) -> Ite
         if size < body - start or start + size > end:
             raise ValueError("a box is longer than its parent")
         yield (*path, kind), body, start + size
-        if kind in _NESTED:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
+        open_.append((start + size, end, path))
+        if kind in _NESTED and len(path) + 1 < DEEPEST:
+            open_.append((body, start + size, (*path, kind)))
 
 
 def read_media(data: bytes) -> list[Track]:
