@@ -20,6 +20,16 @@ def quote_pattern(words: list[str] | tuple[str, ...], longest_first: bool = True
     return "|".join(re.sub(r"([\\^$.|?*+()\[\]{}-])", r"\\\1", w) for w in ordered)
 
 
+def quote_class(characters: str) -> str:
+    """The inside of a character class of these characters."""
+    return re.sub(r"([\\\]\[^&-])", r"\\\1", characters) or "\x00"
+
+
+def one_of(c: Column, words: tuple[str, ...] | list[str]) -> Column:
+    """Whether a text is one of these words: as isin, but one literal, however many words there are."""
+    return c.rlike(f"\\A(?:{quote_pattern(words)})\\z") if words else c.isNull() & False
+
+
 #: White space of any kind.
 BLANKS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 

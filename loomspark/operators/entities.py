@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import after, before, matches, occurrences, positions, quote_pattern
+from loomspark.functions.dictionary import name_hits, names_in
+from loomspark.functions.text import matches, quote_pattern
 from loomspark.packs import Pack
 
 MIN_OCCURRENCES, HIGH_OCCURRENCES, DIVERSITY = 3, 5, 2
@@ -43,25 +44,22 @@ def descriptive_roles(text: Column, pack: Pack) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?:[一-龥]{{1,4}}的)?(?:{quote_pattern(pack.role_words)})"), F.lit(0)))
 
 
-def occurrence_counts(docs: DataFrame, names: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """Non-overlapping occurrences of each of a text's distinct names; a text meets all of its names in one row."""
+def _scanned(docs: DataFrame, names: DataFrame, id_cols: list[str], text_col: str, **wanted: int) -> DataFrame:
+    """(ids, name, starts, next, windows) of each of a text's distinct names: a text meets all of its names in one row and is read once."""
     per_text = names.groupBy(*id_cols).agg(F.collect_set("name").alias("_names"))
     rows = docs.select(*id_cols, F.col(text_col).alias("_t")).join(per_text, id_cols)
-    counted = rows.select(*id_cols, F.explode(F.transform("_names", lambda n: F.struct(n.alias("name"), occurrences(F.col("_t"), n).alias("n")))).alias("c"))
-    return counted.select(*id_cols, "c.name", "c.n")
+    return rows.select(*id_cols, F.explode(name_hits(F.col("_t"), F.col("_names"), **wanted)).alias("h")).select(*id_cols, "h.*")
 
 
-def right_neighbours(docs: DataFrame, names: DataFrame, id_cols: list[str], text_col: str = "text", width: int = 2) -> DataFrame:
-    """Distinct non-punctuation characters among the `width` after every occurrence of a name.
+def occurrence_counts(docs: DataFrame, names: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
+    """Non-overlapping occurrences of each of a text's distinct names, in one pass over the text."""
+    return _scanned(docs, names, id_cols, text_col).select(*id_cols, "name", F.size("starts").cast("long").alias("n"))
 
-    A text meets all of its names in one row and each name takes one pass, so texts of any length are read whole.
-    """
-    per_text = names.where(F.length("name") > 0).groupBy(*id_cols).agg(F.collect_set("name").alias("_names"))
-    rows = docs.select(*id_cols, F.col(text_col).alias("_t")).join(per_text, id_cols)
-    found = lambda n: F.regexp_extract_all(F.col("_t"), F.concat(F.lit("(?s)\\Q"), n, F.lit(f"\\E(?=(.{{0,{width}}}))")), F.lit(1))
-    hits = rows.select(*id_cols, F.explode(F.transform("_names", lambda n: F.struct(n.alias("name"), F.array_distinct(found(n)).alias("next")))).alias("h"))
-    chars = F.filter(F.split(F.array_join("h.next", ""), ""), lambda c: (c != "") & ~c.rlike(r"[\p{P}\s]"))
-    every = hits.where(F.size("h.next") > 0).select(*id_cols, "h.name", chars.alias("_chars")).groupBy(*id_cols, "name").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_chars")))).alias("neighbours"))
+
+def right_neighbours(docs: DataFrame, names: DataFrame, id_cols: list[str], text_col: str = "text", width: int = 2) -> DataFrame:
+    """Distinct non-punctuation characters among the `width` after every occurrence of a name, for names that occur; one pass over the text."""
+    found = _scanned(docs, names, id_cols, text_col, width=width).where(F.size("starts") > 0)
+    every = found.groupBy(*id_cols, "name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("next")))).alias("neighbours"))  # rows may share an id
     return every.select(*id_cols, "name", F.size("neighbours").cast("long").alias("diversity"), "neighbours")
 
 
@@ -86,8 +84,9 @@ def cooccurrence_stats(pairs: DataFrame, counts: DataFrame, high: int = HIGH_OCC
 
 def boundary_hits(docs: DataFrame, names: DataFrame, pack: Pack, id_cols: list[str], text_col: str = "text", around: int = 50) -> DataFrame:
     """Templates (1 to 4 characters, then a boundary word) around each occurrence whose match overlaps the name: how many kinds, how many in all."""
-    rows = docs.select(*id_cols, F.col(text_col).alias("_t")).join(names.select(*id_cols, "name").distinct(), id_cols)
-    hits = rows.select(*id_cols, "name", F.explode(F.transform(positions(F.col("_t"), F.col("name")), lambda p: F.concat(before(F.col("_t"), p, around), after(F.col("_t"), p, around)))).alias("w"))
+    found = _scanned(docs, names, id_cols, text_col, before=around, after=around)
+    near = F.transform(F.arrays_zip("starts", "windows"), lambda x: F.substring(x["windows"], F.lit(1), F.least(x["starts"], F.lit(around)) + around))
+    hits = found.select(*id_cols, "name", F.explode(near).alias("w"))
     if not pack.boundary_suffixes:
         return hits.select(*id_cols, "name").distinct().select(*id_cols, "name", F.lit(0).cast("long").alias("templates"), F.lit(0).cast("long").alias("hits"))
     per = []
@@ -135,8 +134,8 @@ def validate(docs: DataFrame, names: DataFrame, pack: Pack, id_cols: list[str],
     stats = stats.withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
     merged = prefix_merges(stats, pack, id_cols).select(*keys).distinct().withColumn("merged", F.lit(True))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    lines = docs.select(*id_cols, F.posexplode(F.split(text_col, "\n")).alias("_line", "_p")).join(base.groupBy(*id_cols).agg(F.collect_set("name").alias("_names")), id_cols)
-    seen = lines.select(*id_cols, "_line", F.explode(F.filter("_names", lambda n: F.contains(F.col("_p"), n))).alias("name"))
+    lines = docs.select(*id_cols, F.split(text_col, "\n").alias("_lines")).join(base.groupBy(*id_cols).agg(F.collect_set("name").alias("_names")), id_cols)
+    seen = lines.select(*id_cols, F.posexplode(names_in(F.col("_lines"), F.col("_names"))).alias("_line", "_here")).select(*id_cols, "_line", F.explode("_here").alias("name"))
     partners = cooccurrence_stats(cooccurrence(seen, [*id_cols, "_line"], keys=tuple(id_cols)), stats.select(*keys, "n"), keys=tuple(id_cols))
     rows = base.join(stats, keys).join(merged, keys, "left").join(partners, keys, "left")
     fresh = rescored(F.col("confidence"), F.col("n"), zero("diversity"), zero("co_diversity"), zero("high_conf_co"), zero("templates"), zero("hits"))
@@ -145,10 +144,10 @@ def validate(docs: DataFrame, names: DataFrame, pack: Pack, id_cols: list[str],
 
 def compound_names(docs: DataFrame, heads: DataFrame, pack: Pack, id_cols: list[str], text_col: str = "text", within: int = 60, least: int = 2, tightness: float = 0.1) -> DataFrame:
     """Two-character names from single-character heads: the head with its next character, near a boundary word, often enough and tight."""
-    rows = docs.select(*id_cols, F.col(text_col).alias("_t")).join(heads.select(*id_cols, F.col("name").alias("head")).distinct(), id_cols)
-    hits = rows.select(*id_cols, "head", "_t", F.explode(positions(F.col("_t"), F.col("head"))).alias("at"))
-    hits = hits.withColumn("name", F.substring("_t", F.col("at") + 1, F.length("head") + 1)).where(F.col("name").rlike("^[\\p{L}]+$") & (F.length("name") == F.length("head") + 1))
-    near = after(F.col("_t"), F.col("at") + F.length("name"), within).rlike(quote_pattern(pack.boundary_suffixes))
+    found = _scanned(docs, heads, id_cols, text_col, after=within + 1).select(*id_cols, F.col("name").alias("head"), F.explode("windows").alias("_w"))
+    size = F.length("head") + 1
+    hits = found.withColumn("name", F.substring("_w", F.lit(1), size)).where(F.col("name").rlike("^[\\p{L}]+$") & (F.length("name") == size))
+    near = F.substring(F.col("_w"), size + 1, F.lit(within)).rlike(quote_pattern(pack.boundary_suffixes))
     counted = hits.groupBy(*id_cols, "head", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("near"))
     total = F.sum("n").over(Window.partitionBy(*id_cols, "head"))
     return counted.withColumn("tightness", F.col("n") / total).where((F.col("near") >= least) & (F.col("tightness") >= tightness)).withColumn("confidence", F.lit(0.65))

@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import matches, quote_pattern
+from loomspark.functions.text import matches, one_of, quote_class, quote_pattern, scan
+from loomspark.operators.entities import near_spans
 
 TYPES = {"NR": "PER", "PERSON": "PER", "NS": "LOC", "LOCATION": "LOC", "GPE": "LOC", "NT": "ORG", "ORGANIZATION": "ORG"}
 
@@ -32,6 +33,16 @@ class NameRules:
     place_suffixes: tuple[str, ...] = ("堡", "顿", "约", "敦", "黎")
     black: tuple[str, ...] = ()
     places: tuple[str, ...] = ()
+    # Words that join or follow the parts of a foreign name.
+    foreign_titles: tuple[str, ...] = tuple("骑士 法师 牧师 圣骑士 游侠 德鲁伊 术士 战士 盗贼 猎人 主教 团长 副团长 队长 副官 指挥官 国王 女王 王子 公主 公爵 伯爵 侯爵 陛下 阁下 大人 爵士 殿下 信使 哨兵 斥候 物资官 书记员".split())
+    name_joints: tuple[str, ...] = ("·", "-", ".", "/")
+    name_links: tuple[str, ...] = ("和", "与", "及")
+    # What a name of surname and given name can't have, begin or be.
+    letter: str = "[一-龥]"
+    not_in_names: str = "的了着过在有是不没他她它这那哪其和与或但而因为从向对心神身手脚眼口头走跑飞跳站坐躺看听想说问答喊叫笑哭拿放抓握推拉打杀来去回进出上下前后见觉感望盯扫瞥做干搞弄变成让给依顺随凭任"
+    not_given: str = "的了着过在有是不没他她"
+    verb_endings: str = "回点沉迈走转站坐抬挥看听想感觉望盯扫接递拿放抓握推拉"
+    no_persons: tuple[str, ...] = tuple("回头 点点头 心中 冷笑 微笑 迈步 转身 站起 坐下 抬手 挥手 风险 石林 火鸦 玉瓶 丹药 符箓 灵光 机缘 大道 长生 工匠 命运 明白 知道 好的 规矩 道理 我们 你们 他们 大家 所有 一个 两个 三个 这个 那个 冰冷 危险 火苔 那存 乌黑 索性 幽石 张遁 石阴 方向 同时 立刻 火鸦涧 幽石林 石林立 张遁地符 孙项明依 月笙如歌 仙传 简介".split())
 
 
 def normal_type(kind: Column) -> Column:
@@ -52,6 +63,72 @@ def dotted_names(docs: DataFrame, id_cols: list[str], text_col: str = "text", ti
     return rows.select(*id_cols, F.col("m.text").alias("text"), F.lit("PER").alias("type"), F.lit(0.9).alias("confidence"), F.col("m.start").alias("start"), F.col("m.end").alias("end"))
 
 
+def foreign_names(tokens: Column, tags: Column, rules: NameRules) -> Column:
+    """Foreign names of several parts in an array of tokens with their tags: array of (text, start, end), token numbers, end exclusive.
+
+    A state machine over the tokens, one step a token with one token of lookahead.  A token tagged NR that is no surname opens a name; more of
+    them and titles add a part; a joint is kept if an NR follows it, a blank if one that is no surname does, and a link word is passed over then.
+    Whatever else comes ends the name, which counts if it has two parts or a part holds a joint itself.
+    """
+    kind = "struct<text:string,start:int,end:int>"
+    blank = F.lit("")
+    following = F.transform(tokens, lambda _, i: F.struct(F.coalesce(F.try_element_at(tokens, i + 2), blank).alias("t"), F.coalesce(F.try_element_at(tags, i + 2), blank).alias("g")))
+    items = F.transform(F.arrays_zip(tokens.alias("t"), following.alias("n")), lambda x, i: F.struct(x["t"].alias("t"), F.coalesce(F.try_element_at(tags, i + 1), blank).alias("g"), x["n"].alias("n"), i.alias("i")))
+    last = F.struct(blank.alias("t"), blank.alias("g"), F.struct(blank.alias("t"), blank.alias("g")).alias("n"), F.size(tokens).alias("i"))  # ends what is open
+    is_name = lambda g: one_of(g, ("NR", "nr"))
+    nobody = F.struct(F.lit(None).cast("int").alias("start"), F.lit(0).alias("parts"), F.lit("").alias("text"), F.lit(False).alias("joint"))
+    own_joint = lambda t: t.rlike("[·.-]")
+
+    def state(start: Column, parts: Column, text: Column, joint: Column) -> Column:
+        return F.struct(start.alias("start"), parts.alias("parts"), text.alias("text"), joint.alias("joint"))
+
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
+        known = one_of(x["t"], rules.surnames)
+        name = is_name(x["g"])
+        opens = state(x["i"], F.lit(1), x["t"], own_joint(x["t"]))
+        next_name, next_known = is_name(x["n"]["g"]), one_of(x["n"]["t"], rules.surnames)
+        is_joint, title = one_of(x["t"], rules.name_joints), one_of(x["t"], rules.foreign_titles)
+        part = (name & ~known) | (~name & ~is_joint & (x["t"] != " ") & title)
+        joined = ~name & F.when(is_joint, next_name).when(x["t"] == " ", next_name & ~next_known).otherwise(False)
+        passed = ~name & ~is_joint & ~title & one_of(x["t"], rules.name_links) & next_name & ~next_known
+        inside = acc["start"].isNotNull()
+        goes_on = inside & (part | joined | passed)
+        more = state(acc["start"], acc["parts"] + part.cast("int"), F.when(passed, acc["text"]).otherwise(F.concat(acc["text"], x["t"])), acc["joint"] | (part & own_joint(x["t"])))
+        ended = inside & ~goes_on & ((acc["parts"] > 1) | acc["joint"])
+        found = F.when(ended, F.array(F.struct(acc["text"].alias("text"), acc["start"].alias("start"), x["i"].alias("end")))).otherwise(F.array().cast(f"array<{kind}>"))
+        return F.when(goes_on, more).when(name & ~known, opens).otherwise(nobody), found
+
+    whole = F.concat(items, F.array(last))
+    return F.when(tokens.isNull(), F.array().cast(f"array<{kind}>")).otherwise(scan(whole, nobody, step, kind))
+
+
+def surname_mentions(docs: DataFrame, id_cols: list[str], rules: NameRules, text_col: str = "text") -> DataFrame:
+    """Names that begin with a surname (ids, name, start): up to three letters after one of one letter, two after a longer one, as long as they are letters of names.
+
+    A name ends before the first letter that names don't have.  It has two to four letters then, is no listed word, has no particle
+    behind its first letter, and a name of two letters doesn't end in a verb's.  Names from surnames of one letter are found left to
+    right without overlap, as are those from each longer surname.
+    """
+    short, longer = [x for x in rules.surnames if len(x) == 1], sorted({x for x in rules.surnames if len(x) > 1})
+    patterns = ([f"[{quote_class(''.join(sorted(short)))}]{rules.letter}{{1,3}}"] if short else []) + [f"{quote_pattern((x,))}{rules.letter}{{1,2}}" for x in longer]
+    found = F.concat(*(matches(F.col(text_col), p) for p in patterns)) if patterns else F.array().cast("array<struct<start:int,end:int,text:string>>")
+    rows = docs.select(*id_cols, F.explode(found).alias("m")).select(*id_cols, F.regexp_extract("m.text", f"^(?s:.)[^{quote_class(rules.not_in_names)}]*", 0).alias("name"), F.col("m.start").alias("start"))
+    fits = F.length("name").between(2, 4) & ~one_of(F.col("name"), rules.no_persons) & ~F.expr("substring(name, 2)").rlike(f"[{quote_class(rules.not_given)}]")
+    verb = (F.length("name") == 2) & F.expr("substring(name, 2, 1)").rlike(f"[{quote_class(rules.verb_endings)}]")
+    anchored = one_of(F.substring("name", 1, 2), longer) | one_of(F.substring("name", 1, 1), short)
+    return rows.where(fits & ~verb & anchored).distinct()
+
+
+def surname_roles(docs: DataFrame, quotes: DataFrame, id_cols: list[str], rules: NameRules, reach: int = 200, least: int = 2) -> DataFrame:
+    """Names from surnames that start within `reach` of a quote at `least` places or more: (ids, name, n_positions, first_position, positions).
+
+    Quotes and names meet by stretches of the text, so a long text is many small groups.
+    """
+    near = near_spans(surname_mentions(docs, id_cols, rules).withColumn("end", F.col("start")), quotes, id_cols, reach, reach)
+    grouped = near.groupBy(*id_cols, "name").agg(F.sort_array(F.collect_set("start")).alias("positions"))
+    return grouped.where(F.size("positions") >= least).select(*id_cols, "name", F.size("positions").alias("n_positions"), F.col("positions")[0].alias("first_position"), "positions")
+
+
 def token_entities(tokens: Column, rules: NameRules) -> Column:
     """Entities of a token array: titled names, professions, organisations (array of text, type, confidence)."""
     entity = lambda t, kind, sure: F.struct(t.alias("text"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.dictionary import names_in
 from loomspark.functions.text import BLANKS, SPAN, after, before, let, matches, ngrams, quote_pattern, running, scan, strip
 from loomspark.packs import Pack
 
@@ -156,12 +157,18 @@ def entity_in(sentence: Column, name: Column) -> Column:
     return F.coalesce((sentence == name) | F.when(F.length(name) == 1, alone).otherwise(F.contains(sentence, name)), F.lit(False))
 
 
-def with_entities(sentences_: DataFrame, names: DataFrame, id_cols: list[str], sentence_col: str = "sentence") -> DataFrame:
-    """Adds entities: the text's names that a sentence has, sorted.  A text's names come to its sentences as one array."""
-    per_text = names.where(F.length("name") > 0).groupBy(*id_cols).agg(F.sort_array(F.collect_set("name")).alias("_names"))
-    rows = sentences_.join(per_text, id_cols, "left")
-    found = F.filter("_names", lambda n: entity_in(F.col(sentence_col), n))
-    return rows.withColumn("entities", F.coalesce(found, F.array().cast("array<string>"))).drop("_names")
+def with_entities(sentences_: DataFrame, names: DataFrame, id_cols: list[str], sentence_col: str = "sentence", together: int = 1000) -> DataFrame:
+    """Adds entities: the text's names that a sentence has, as in entity_in(), sorted.
+
+    Up to `together` sentences of a text (by sentence_index; dealt by hash where there is none) meet its names as one row, so the names
+    of a text make one automaton for each such stretch and a sentence costs its own length.
+    """
+    per_text = names.where(F.length("name") > 0).groupBy(*id_cols).agg(F.collect_set("name").alias("_names"))
+    stretch = F.floor(F.col("sentence_index") / together) if "sentence_index" in sentences_.columns else F.pmod(F.xxhash64(sentence_col), F.lit(64))
+    rows = sentences_.withColumn("_stretch", stretch).groupBy(*id_cols, "_stretch").agg(F.collect_list(F.struct(*sentences_.columns)).alias("_rows"))
+    found = names_in(F.transform("_rows", lambda r: r[sentence_col]), F.coalesce("_names", F.array().cast("array<string>")), "[一-龥]")
+    each = rows.join(per_text, id_cols, "left").select("_rows", found.alias("_found"))
+    return each.select(F.explode(F.arrays_zip("_rows", "_found")).alias("x")).select("x._rows.*", F.col("x._found").alias("entities"))
 
 
 def strided(df: DataFrame, order: list[str], by: list[str], step: int) -> DataFrame:
