@@ -161,17 +161,16 @@ def link_entities(entities: DataFrame, characters: DataFrame, kin: str | None =
     more; else the entity stays unlinked if its confidence reaches keep_at.  Single-character persons drop out, other types pass.
     Core names meet library names by their first character, so the contains test runs on few pairs.
     """
-    rows = entities.withColumn("_row", F.monotonically_increasing_id())
     person = F.col("type") == "PER"
-    rows = rows.where(~person | (F.length("text") > 1))
+    rows = entities.where(~person | (F.length("text") > 1))
     exact = lookup_names(characters).groupBy("project", "key").agg(F.min(F.struct("priority", "id", "name")).alias("b"))
     rows = rows.join(exact.withColumnRenamed("key", "text"), ["project", "text"], "left")
     core = core_name(F.col("text"), kin) if kin else core_name(F.col("text"))
-    rest = rows.where(person & F.col("b").isNull()).select("_row", "project", core.alias("core")).where(F.length("core") >= 2).withColumn("c", F.substring("core", 1, 1))
+    rest = rows.where(person & F.col("b").isNull()).select("project", "text", core.alias("core")).distinct().where(F.length("core") >= 2).withColumn("c", F.substring("core", 1, 1))
     library = characters.select("project", "id", "name", F.explode(F.array_distinct(F.split("name", ""))).alias("c"))
-    inside = rest.join(library, ["project", "c"]).where(F.contains("name", "core") | F.endswith(F.col("core"), F.col("name"))).groupBy("_row").agg(F.min(F.struct("id", "name")).alias("n"))
-    same = rest.withColumnRenamed("core", "key").join(exact, ["project", "key"]).select("_row", F.struct("b.id", "b.name").alias("same"))
-    rows = rows.join(inside, "_row", "left").join(same, "_row", "left").withColumn("n", F.coalesce("same", "n"))
+    inside = rest.join(library, ["project", "c"]).where(F.contains("name", "core") | F.endswith(F.col("core"), F.col("name"))).groupBy("project", "text").agg(F.min(F.struct("id", "name")).alias("n"))
+    same = rest.withColumnRenamed("core", "key").join(exact, ["project", "key"]).select("project", "text", F.struct("b.id", "b.name").alias("same"))
+    rows = rows.join(inside, ["project", "text"], "left").join(same, ["project", "text"], "left").withColumn("n", F.coalesce("same", "n"))
     linked = person & (F.col("b").isNotNull() | F.col("n").isNotNull())
     confidence = F.when(person & F.col("b").isNotNull(), 1.0).when(person & F.col("n").isNotNull(), F.greatest("confidence", F.lit(0.6))).otherwise(F.col("confidence"))
     out = rows.where(~person | linked | (F.col("confidence") >= keep_at))

@@ -109,12 +109,11 @@ def instability(turns: DataFrame, keys: list[str], order: str, who: str, last: i
 def backfill_unknown(sentences: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
     """Sentences without a speaker get the longest confirmed name they contain."""
     blank = F.coalesce(F.col("speaker"), F.lit("")).rlike("^$|^未知")
-    key = "_row"
-    rows = sentences.withColumn(key, F.xxhash64(*sentences.columns))
-    chars = rows.where(blank).select(key, *by, "sentence", F.explode(F.array_distinct(F.split("sentence", ""))).alias("_c"))
+    key = [*by, "sentence"]  # what a sentence says decides, so equal ones are looked at once
+    chars = sentences.where(blank).select(*key).distinct().withColumn("_c", F.explode(F.array_distinct(F.split("sentence", ""))))
     hits = chars.join(names.select(*by, "name", F.substring("name", 1, 1).alias("_c")), [*by, "_c"]).where(F.contains("sentence", "name"))
-    best = hits.groupBy(key).agg(F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("_best"))
-    return rows.join(best, key, "left").withColumn("speaker", F.when(blank, F.coalesce("_best", "speaker")).otherwise(F.col("speaker"))).select(sentences.columns)
+    best = hits.groupBy(*key).agg(F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("_best"))
+    return sentences.join(best, key, "left").withColumn("speaker", F.when(blank, F.coalesce("_best", "speaker")).otherwise(F.col("speaker"))).select(sentences.columns)
 
 
 def semantic_confidence(similarity: Column) -> Column:
