@@ -48,8 +48,8 @@ def is_mark(c: str) -> bool:
     return c in _BLANK or unicodedata.category(c)[0] == "P"
 
 
-def name_hits(text: Column, names: Column, width: int = 0, before: int = 0, after: int = 0) -> Column:
-    """Every distinct name of the array with its non-overlapping places in the text, in order.
+def name_hits(text: Column, names: Column, width: int = 0, before: int = 0, after: int = 0, found_only: bool = False) -> Column:
+    """Every distinct name of the array (found_only: that the text has) with its non-overlapping places in the text, in order.
 
     next: with width, the distinct characters among the `width` after any place that are neither punctuation nor blank, sorted.
     windows: with before or after, for every place the text from `before` characters before the name to `after` behind its end.
@@ -62,7 +62,7 @@ def name_hits(text: Column, names: Column, width: int = 0, before: int = 0, afte
             wanted = sorted({n for n in (() if ns is None else ns) if n})
             where = places(automaton(wanted), t)
             rows = []
-            for n in wanted:
+            for n in sorted(where) if found_only else wanted:
                 starts = where.get(n, [])
                 near = {c for s in starts for c in t[s + len(n) : s + len(n) + width] if not is_mark(c)} if width and starts else ()
                 cut = [t[max(0, s - before) : s + len(n) + after] for s in starts] if before or after else []

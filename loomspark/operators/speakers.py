@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from math import exp
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +11,6 @@ from loomspark.operators.entities import cleaned_hint
 from loomspark.packs import Pack
 
 DECAY = 0.05
-#: What the last five speakers lose, the latest first; the floor of a candidate.
-RECENT, FLOOR = (0.25, 0.15, 0.08, 0.08, 0.08), 0.20
 CONFIDENCE = {"hint": 0.88, "after": 0.82, "title": 0.80, "pronoun": 0.80, "context": 0.75, "library": 0.60}
 
 
@@ -120,47 +115,6 @@ def semantic_confidence(similarity: Column) -> Column:
     return F.greatest(F.lit(0.6), F.least(F.lit(0.8), F.lit(0.6) + (similarity - 0.7) * 0.5))
 
 
-def resolve_in_order(candidates: DataFrame, quotes: DataFrame, id_cols: list[str], pack: Pack) -> DataFrame:
-    """Speakers of a chapter's quotes in order, with the state that only order gives.
-
-    The last five new speakers lose some confidence; a quote whose prefix names only a pronoun, or that has no candidate, goes to the
-    recent speaker with the largest activity other than the last one (0.7 for one just mentioned, 0.4 by activity).
-    candidates are ranked per quote; the group of a fold is one chapter's quotes, which its length bounds.
-    """
-    keys = [*id_cols, "quote_index"]
-    packed = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "name", "confidence"))).alias("options"))
-    pronoun = F.col("prefix").rlike(f"(?:{quote_pattern(pack.pronouns)})[^。！？.!?]*$")
-    rows = quotes.select(*keys, pronoun.alias("pronoun")).join(packed, keys, "left")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", speaker string, confidence double, how string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("quote_index")
-        order: list[str] = []
-        activity: dict[str, tuple[float, int]] = {}
-        last, out = None, []
-        for t, row in enumerate(pdf.itertuples(index=False)):
-            options = [] if row.options is None else [(o["name"], o["confidence"]) for o in row.options if o["name"] not in pack.pronouns]
-            recent = order[-len(RECENT) :][::-1]
-            scored = [(max(c - RECENT[recent.index(n)], FLOOR) if n in recent and len(order) > 1 else c, -i, n) for i, (n, c) in enumerate(options)]
-            if scored and not (row.pronoun and max(scored)[0] < 0.7):
-                sure, _, name = max(scored)
-                how = "candidate"
-            else:
-                others = sorted(((w * exp(-DECAY * (t - at)), n) for n, (w, at) in activity.items() if n != last), key=lambda x: (-x[0], x[1]))
-                name, sure, how = (others[0][1], 0.7 if row.pronoun else 0.4, "pronoun" if row.pronoun else "activity") if others else (None, 0.0, "none")
-            if name is not None:
-                w, at = activity.get(name, (0.0, t))
-                activity[name] = (w * exp(-DECAY * (t - at)) + 1, t)
-                if name not in order:
-                    order = [*order, name][-10:]
-                last = name
-            out.append((name, float(sure), how))
-        extra = pd.DataFrame(out, columns=["speaker", "confidence", "how"], index=pdf.index)
-        return pd.concat([pdf[keys], extra], axis=1)
-
-    return rows.groupBy(*id_cols).applyInPandas(fold, schema)
-
-
 def hybrid_choice(ranked: DataFrame, keys: list[str], library: float = 0.55, threshold: float = 0.7) -> DataFrame:
     """The rule's top candidate; library matches count library at most; needs_model marks those below the threshold."""
     top = ranked.where("rank = 1").withColumn("confidence", F.when(F.col("source") == "library", F.least("confidence", F.lit(library))).otherwise(F.col("confidence")))

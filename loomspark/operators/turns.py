@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DECAY, RECENT, MENTIONS, NEAR = 0.05, 10, 20, 20
+#: What an option loses if its name is one of the last five new speakers, the latest first, and what is left at least.
+FADES, FLOOR = (0.25, 0.15, 0.08, 0.08, 0.08), 0.20
 
 
 @dataclass(frozen=True)
@@ -88,6 +90,11 @@ class State:
             self.recent = [*self.recent, p.name][-RECENT:]
         self.last = p.name
 
+    def faded(self, name: str, sure: float) -> float:
+        """Whoever has just spoken is less likely to go on."""
+        latest = self.recent[-len(FADES) :][::-1]
+        return max(sure - FADES[latest.index(name)], FLOOR) if name in latest else sure
+
     def position_bonus(self, name: str, before: str) -> float:
         """0.15 for a subject (before a speech verb, or first in a sentence), -0.10 for an object."""
         w, n = self.words, re.escape(name)
@@ -158,7 +165,7 @@ class State:
         """All candidates, one for each name, the surest first."""
         out: dict[str, tuple[str, float, str]] = {}
         add = lambda c: c is not None and out.setdefault(c[0], c)
-        for n, sure in options:
+        for n, sure in sorted(((n, self.faded(n, sure)) for n, sure in options), key=lambda o: -o[1]):
             add((n, sure, "option"))
         introduced = re.search(self.words.introductions, text)
         if introduced and introduced[1] in self.by_name:

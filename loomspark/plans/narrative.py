@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.operators import characters as lib
-from loomspark.operators import emotion, entities, quotes, segment, speakers
+from loomspark.functions.dictionary import names_in
+from loomspark.functions.text import quote_pattern
+from loomspark.operators import emotion, entities, quotes, segment, speakers, turns
+from loomspark.operators import tagged as tagged_rules
 from loomspark.packs import Pack
 from loomspark.sources.tables import cut
 from loomspark.sources.texts import guarded
@@ -23,12 +26,26 @@ class Analysis:
     errors: DataFrame
 
 
-def analyze(docs: DataFrame, characters: DataFrame, pack: Pack, id_col: str = "doc_id", text_col: str = "text", tagged: DataFrame | None = None) -> Analysis:
+def quote_turns(context: DataFrame, options: DataFrame, characters: DataFrame, pack: Pack, keys: list[str]) -> DataFrame:
+    """The quotes with what the ordered fold takes: their surroundings, ranked options, a name or pronoun as hint, and the library's names nearby."""
+    ranked = options.groupBy(*keys, "quote_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name", "confidence"))), lambda o: F.struct(o["name"].alias("name"), o["confidence"].alias("confidence"))).alias("options"))
+    pronoun = F.regexp_extract("prefix", f"({quote_pattern(pack.pronouns)})[^。！？.!?]*$", 1)
+    around = F.concat_ws(" ", "prefix", "suffix")
+    library = characters.groupBy("project").agg(F.collect_set("name").alias("_library"))
+    rows = context.join(library, "project", "left")
+    near = names_in(F.array(around), F.coalesce("_library", F.array().cast("array<string>")))[0]
+    hint = F.coalesce(speakers.speaker_hint(F.col("prefix"), pack), F.when(pronoun != "", pronoun))
+    rows = rows.select("project", *keys, "quote_index", F.concat_ws(" ", "prefix", "quote", "suffix").alias("text"), F.col("prefix").alias("before"), hint.alias("hint"), near.alias("mentioned"))
+    return rows.join(ranked, [*keys, "quote_index"], "left")
+
+
+def analyze(docs: DataFrame, characters: DataFrame, pack: Pack, id_col: str = "doc_id", text_col: str = "text", tagged: DataFrame | None = None, tokens: DataFrame | None = None, rules: tagged_rules.TagRules | None = None, words: turns.TurnWords | None = None) -> Analysis:
     """Analyses every text (id, text); characters is the library with project = id.
 
     A text that can't be analysed (null, blank, or too long) has a row in `errors`.  tagged: entities (id, name) that a
-    tagger found, to be validated and linked beside those found here.  State is kept per chapter, and the library is a snapshot:
-    what a run discovers is in `names`, for the next one.
+    tagger found, to be validated and linked beside those found here; tokens: its tagged sentences (id, text, tokens, tags, and base if it gives entities),
+    completed by rules first.  State is kept per chapter, and the library is a snapshot: what a run discovers is in `names`, for the next one.
+    A quote whose surest candidate isn't in the library has no speaker.
     """
     judged_texts = guarded(docs.select(id_col, F.col(text_col).alias("text")))
     errors = judged_texts.where(F.col("error").isNotNull()).select(id_col, "error")
@@ -41,12 +58,16 @@ def analyze(docs: DataFrame, characters: DataFrame, pack: Pack, id_col: str = "d
     judged = quotes.boundary_verdict(quotes.extract_all_quotes(parts, keys), pack)
     spoken = cut(quotes.remove_spans(found, judged.where(~F.col("is_dialogue")), keys))
     near = entities.role_names(parts, spoken, pack, keys).select(id_col, "name")
-    every = (near.unionByName(tagged.select(id_col, "name")) if tagged is not None else near).distinct().withColumn("confidence", F.lit(0.6))
+    every = (near.unionByName(tagged.select(id_col, "name")) if tagged is not None else near).withColumn("confidence", F.lit(0.6))
+    if tokens is not None and rules is not None:
+        every = every.unionByName(tagged_rules.tagged_names(tokens, [id_col], rules).where("type = 'PER'").select(id_col, "name", "confidence"))
+    every = every.groupBy(id_col, "name").agg(F.max("confidence").alias("confidence"))
     checked = cut(entities.validate(fit.withColumnRenamed(text_col, "text"), every, pack, [id_col]))
     linked = lib.link_entities(checked.select(F.col(id_col).alias("project"), F.col("name").alias("text"), F.lit("PER").alias("type"), F.col("new_confidence").alias("confidence")), characters)
     context = speakers.quote_contexts(parts, spoken, keys).withColumn("project", F.col(id_col))
     options = speakers.rank_candidates(speakers.context_candidates(context, characters, pack, keys), [*keys, "quote_index"], pack.pronouns)
-    resolved = speakers.resolve_in_order(options, context, keys, pack)
+    told_in_order = quote_turns(context, options, characters, pack, keys).drop("project").withColumn("project", F.col(id_col))
+    resolved = turns.resolve_turns(told_in_order, characters, ["project", *keys], "quote_index", words or turns.TurnWords(), by=["project"]).drop("project")
     told = cut(spoken.join(resolved, [*keys, "quote_index"], "left"))
     each = segment.sentences(parts, pack, keys)
     marked = quotes.mark_dialogue(each, told, keys).withColumn("fragments", segment.fragments(F.col("sentence"), pack))

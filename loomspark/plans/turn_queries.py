@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomspark.operators import matching, turns
+from loomspark.operators import matching, nearby, turns
 from loomspark.plans.queries import query, table
 
 _WORDS = turns.TurnWords(
@@ -103,3 +103,35 @@ def candidate_match(spark, d):
     """M22."""
     rows, library = _wanted(spark, d)
     return matching.match_candidates(rows, library, ["project"], _CORE).select("c_custkey", "project", "key", "id", "standard_name", "confidence", "how")
+
+
+_VERBS = ("sh", "ing", "st")
+_TWO = [(p[0] % 2, *p[:3]) for p in _PEOPLE]
+_TWO_SQL = ", ".join(f"({p}, {i}, '{n}', {a}::VARCHAR[])" for p, i, n, a in _TWO)
+
+
+@query(f"""WITH p(project, id, name, aliases) AS (VALUES {_TWO_SQL}), c AS (SELECT conv_id, turn, text, conv_id % 2 AS project FROM conversations),
+k AS (SELECT conv_id, turn, p.project, id, name, contains(text, name) AND regexp_matches(text[greatest(instr(text, name) - 20, 1):instr(text, name) - 1 + length(name) + 20], 'sh|ing|st') AS acts FROM c JOIN p ON c.project = p.project AND (contains(text, name) OR len(list_filter(aliases, lambda a: contains(text, a))) > 0))
+SELECT project::BIGINT AS project, conv_id, turn, id::BIGINT AS id, name, acts FROM k QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY acts DESC, id) = 1""")
+def library_narration(spark, d):
+    """Turns as narration, two libraries."""
+    rows = table(spark, d, "conversations").withColumn("project", (F.col("conv_id") % 2).cast("long"))
+    people = spark.createDataFrame(_TWO, "project long, id long, name string, aliases array<string>")
+    return nearby.library_in_narration(rows, people, ["project"], ["conv_id", "turn"], _VERBS).select("project", "conv_id", "turn", "id", "name", "acts")
+
+
+_PLACES = r"""ch AS (SELECT {ids}, text, unnest(range(length(text))) AS s FROM {table} WHERE text <> ''),
+v AS (SELECT {ids}, s, verb FROM ch, (SELECT unnest(['said', 'th', 'ver', 'ou']) AS verb) WHERE text[s + 1:s + length(verb)] = verb)"""
+
+
+@query(f"""WITH {_PLACES.format(ids='conv_id, turn', table='conversations')},
+n AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Z][a-zà-ÿ]+')) AS name, text FROM conversations), d AS (SELECT DISTINCT * FROM n),
+o AS (SELECT conv_id, turn, name, unnest(list_filter(range(length(text)), lambda s: text[s + 1:s + length(name)] = name)) + length(name) AS stop FROM d),
+j AS (SELECT v.conv_id, v.turn, verb, s, name, s - stop AS gap, row_number() OVER (PARTITION BY v.conv_id, v.turn, verb, s ORDER BY stop DESC, length(name) DESC, name DESC) AS k FROM v LEFT JOIN o ON v.conv_id = o.conv_id AND v.turn = o.turn AND stop <= s AND stop >= s - 20)
+SELECT conv_id, turn, verb, s::BIGINT AS start, name, gap::BIGINT AS gap FROM j WHERE k = 1""")
+def nearest_speakers(spark, d):
+    """The name before each verb."""
+    docs = table(spark, d, "conversations")
+    names = docs.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-zà-ÿ]+"), F.lit(0))).alias("name"))
+    out = nearby.nearest_names(docs, names, ("said", "th", "ver", "ou"), ["conv_id", "turn"])
+    return out.select("conv_id", "turn", "verb", F.col("start").cast("long").alias("start"), "name", F.col("gap").cast("long").alias("gap"))
