@@ -140,9 +140,9 @@ def add_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
 
 
-def progress_pivot(df: DataFrame, row: str, step: str, status: str, steps: list[str]) -> DataFrame:
-    """One column per step with its latest status; the steps are given, so no job looks for them."""
-    return df.groupBy(row).pivot(step, steps).agg(F.max(status))
+def progress_pivot(df: DataFrame, row: str, step: str, status: str, steps: list[str], time: list[str]) -> DataFrame:
+    """One column per step with its latest status by time; the steps are given, so no job looks for them."""
+    return df.groupBy(row).pivot(step, steps).agg(F.max_by(status, F.struct(*time)))
 
 
 def speaking_in(characters: DataFrame, sentences: DataFrame, chapter: object, on: str = "name") -> DataFrame:

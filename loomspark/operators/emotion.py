@@ -196,13 +196,12 @@ def context_window(text: Column, start: Column, end: Column, around: int = 20) -
 def keyword_votes(df: DataFrame, lexicon: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     """Hits per label of a (label, word) lexicon, and the label with most (ties: first by name).
 
-    A lexicon of up to LEXICON words becomes part of the plan, so that nothing but votes is shuffled; a larger one
-    (of words of three characters or more) is joined.
+    A lexicon of up to LEXICON words becomes part of the plan, so that nothing but votes is shuffled; a larger one is joined.
     """
     words = [(r.label, r.word) for r in lexicon.select("label", "word").distinct().orderBy("label", "word").limit(LEXICON + 1).collect()]
-    if len(words) > LEXICON:  # a lexicon too large for a plan: words meet texts by their first three characters
-        grams = df.select(*id_cols, F.col(text_col).alias("_t"), F.explode(F.array_distinct(ngrams(F.col(text_col), 3))).alias("_g"))
-        pairs = grams.join(lexicon.withColumn("_g", F.substring("word", 1, 3)), "_g").where(F.contains("_t", "word"))
+    if len(words) > LEXICON:  # a lexicon too large for a plan: words meet texts by their first three characters, shorter ones by all they have
+        grams = df.select(*id_cols, F.col(text_col).alias("_t"), F.explode(F.array_distinct(F.concat(*(ngrams(F.col(text_col), n) for n in (1, 2, 3))))).alias("_g"))
+        pairs = grams.join(lexicon.select("label", "word").distinct().withColumn("_g", F.substring("word", 1, 3)), "_g").where(F.contains("_t", "word"))
         hits = pairs.select(*id_cols, F.struct("label", "word").alias("w"))
     else:
         every = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(b).alias("word")) for a, b in words)) if words else F.array().cast("array<struct<label:string,word:string>>")

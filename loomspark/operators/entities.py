@@ -142,6 +142,25 @@ def validate(docs: DataFrame, names: DataFrame, pack: Pack, id_cols: list[str],
     return rows.withColumn("new_confidence", F.when(F.coalesce("merged", F.lit(False)), 0.1).otherwise(fresh)).drop("merged")
 
 
+def validate_and_discover(docs: DataFrame, names: DataFrame, pack: Pack, id_cols: list[str], text_col: str = "text", tokens: DataFrame | None = None) -> DataFrame:
+    """As validate(), with the names that it leads to: compounds of names of one character (0.65), and with tokens (ids, sentence_index, tokens) words that stand before boundary words (0.6).
+
+    A discovery that is a name already leaves that name as it is; what was counted of others is null.
+    """
+    known = validate(docs, names, pack, id_cols, text_col)
+    found = compound_names(docs, names.where(F.length("name") == 1), pack, id_cols, text_col).select(*id_cols, "name", "n", "confidence")
+    if tokens is not None:
+        each = tokens.select(*id_cols, "sentence_index", F.posexplode("tokens").alias("_at", "token")).withColumn("_order", F.struct("sentence_index", "_at"))
+        found = found.unionByName(boundary_names(each, names, pack, id_cols, "_order").select(*id_cols, "name", "n", "confidence"))
+    fresh = found.join(known.select(*id_cols, "name"), [*id_cols, "name"], "left_anti").groupBy(*id_cols, "name").agg(F.max("n").alias("n"), F.max("confidence").alias("confidence"))
+    return known.unionByName(fresh.withColumn("new_confidence", F.col("confidence")), allowMissingColumns=True)
+
+
+def with_tightness(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds each row's share of its keys' n: totals are aggregated first, so no key is gathered."""
+    return counted.join(counted.groupBy(*keys).agg(F.sum("n").alias("_total")), keys).withColumn("tightness", F.col("n") / F.col("_total")).drop("_total")
+
+
 def compound_names(docs: DataFrame, heads: DataFrame, pack: Pack, id_cols: list[str], text_col: str = "text", within: int = 60, least: int = 2, tightness: float = 0.1) -> DataFrame:
     """Two-character names from single-character heads: the head with its next character, near a boundary word, often enough and tight."""
     found = _scanned(docs, heads, id_cols, text_col, after=within + 1).select(*id_cols, F.col("name").alias("head"), F.explode("windows").alias("_w"))
@@ -149,8 +168,7 @@ def compound_names(docs: DataFrame, heads: DataFrame, pack: Pack, id_cols: list[
     hits = found.withColumn("name", F.substring("_w", F.lit(1), size)).where(F.col("name").rlike("^[\\p{L}]+$") & (F.length("name") == size))
     near = F.substring(F.col("_w"), size + 1, F.lit(within)).rlike(quote_pattern(pack.boundary_suffixes))
     counted = hits.groupBy(*id_cols, "head", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("near"))
-    total = F.sum("n").over(Window.partitionBy(*id_cols, "head"))
-    return counted.withColumn("tightness", F.col("n") / total).where((F.col("near") >= least) & (F.col("tightness") >= tightness)).withColumn("confidence", F.lit(0.65))
+    return with_tightness(counted, [*id_cols, "head"]).where((F.col("near") >= least) & (F.col("tightness") >= tightness)).withColumn("confidence", F.lit(0.65))
 
 
 def boundary_names(tokens: DataFrame, known: DataFrame, pack: Pack, keys: list[str], order: str, least: int = 2) -> DataFrame:

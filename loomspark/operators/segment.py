@@ -123,10 +123,14 @@ def sentence_spans(text: Column, pack: Pack, smart: bool = True) -> Column:
     return F.filter(placed, lambda x: x["end"] > x["start"])
 
 
-def sentences(docs: DataFrame, pack: Pack, id_cols: list[str], text_col: str = "text", smart: bool = True) -> DataFrame:
-    """One row per sentence with its index and offsets."""
-    rows = docs.select(*id_cols, F.posexplode(sentence_spans(F.col(text_col), pack, smart)).alias("sentence_index", "x"))
-    return rows.select(*id_cols, "sentence_index", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.text").alias("sentence"))
+def sentences(docs: DataFrame, pack: Pack, id_cols: list[str], text_col: str = "text", smart: bool = True, around: int = 0) -> DataFrame:
+    """One row per sentence with its index and offsets; with around, also its window: as many characters before and after it too.
+
+    Windows are cut where the text still is, so no shuffle carries it.
+    """
+    rows = docs.select(*id_cols, F.col(text_col).alias("_t"), F.posexplode(sentence_spans(F.col(text_col), pack, smart)).alias("sentence_index", "x"))
+    window = [F.concat(before(F.col("_t"), F.col("x.start"), around), F.col("x.text"), after(F.col("_t"), F.col("x.end"), around)).alias("window")] if around else []
+    return rows.select(*id_cols, "sentence_index", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.text").alias("sentence"), *window)
 
 
 def paragraphs(docs: DataFrame, id_cols: list[str], text_col: str = "text", least: int = 10) -> DataFrame:

@@ -37,6 +37,8 @@ class TurnWords:
     before_objects: str = "对向给把"
     object_verbs: str = "看打问叫喊"
     aspect: str = "了"
+    possessive: str = "的"
+    pauses: tuple[str, ...] = ("，", ",")
     introductions: str = r"我(?:是|叫)([一-龥]{2,4}?)(?:[，。！？\s]|$)"
 
 

@@ -81,11 +81,12 @@ def line_headings(spark, d):
 
 @query(f"""WITH RECURSIVE {_HEADINGS}, near AS (SELECT doc_id, title, min(start) AS start, false AS dup FROM heads GROUP BY doc_id, title UNION ALL SELECT k.doc_id, k.title, (SELECT min(h.start) FROM heads h WHERE h.doc_id = k.doc_id AND h.title = k.title AND h.start >= k.start + 100), false FROM near k WHERE EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = k.doc_id AND h.title = k.title AND h.start >= k.start + 100)),
 h AS (SELECT doc_id, title, start, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS next FROM near WHERE NOT dup),
-c AS (SELECT h.doc_id, title, start, coalesce(next, length(text)) AS stop, regexp_replace(substr(text, start + length(title) + 2, coalesce(next, length(text)) - start - length(title) - 1), '^\\s+|\\s+$', '', 'g') AS content FROM h JOIN documents d ON h.doc_id = d.doc_id)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chapter_index, title, start, stop::BIGINT AS stop, length(content) AS n_chars FROM c WHERE length(content) >= 10""")
+c AS (SELECT h.doc_id, title, start, coalesce(next, length(text)) AS stop, regexp_replace(substr(text, start + length(title) + 2, coalesce(next, length(text)) - start - length(title) - 1), '^\\s+|\\s+$', '', 'g') AS content FROM h JOIN documents d ON h.doc_id = d.doc_id),
+u AS (SELECT doc_id, length(text) AS size, unnest(CASE WHEN length(text) <= 5000 THEN [0] ELSE range(0, length(text) - 200, 4800) END) AS start FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = d.doc_id))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chapter_index, title, start, stop::BIGINT AS stop, length(content) AS n_chars FROM c WHERE length(content) >= 10
+UNION ALL SELECT doc_id, start // 4800, CASE WHEN size <= 5000 THEN 'Whole text' ELSE 'Part ' || (start // 4800 + 1) END, start, least(start + 5000, size), least(start + 5000, size) - start FROM u""")
 def chapter_spans(spark, d):
-    docs = table(spark, d, "documents").where(F.size(segment.headings(F.col("text"), LATIN.chapter_patterns, LATIN.volume_patterns)) > 0)
-    return segment.split_chapters(docs, LATIN).select("doc_id", *long("chapter_index"), "title", *long("start"), F.col("end").cast("long").alias("stop"), F.length("content").cast("long").alias("n_chars"))
+    return segment.split_chapters(table(spark, d, "documents"), LATIN).select("doc_id", *long("chapter_index"), "title", *long("start"), F.col("end").cast("long").alias("stop"), F.length("content").cast("long").alias("n_chars"))
 
 
 @query("""WITH c AS (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 5000 THEN [0] ELSE range(0, length(text) - 200, 4800) END) AS start FROM documents)
@@ -301,10 +302,8 @@ def right_neighbors(spark, d):
 
 @query(f"WITH {_NAMES} SELECT upper(name[1:1]) AS head, name, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY upper(name[1:1])), 6)::DOUBLE AS tightness FROM names GROUP BY upper(name[1:1]), name")
 def tightness(spark, d):
-    from pyspark.sql import Window
-
     counted = _mentions(spark, d).groupBy(F.upper(F.substring("name", 1, 1)).alias("head"), "name").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("tightness", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("head")), 6))
+    return entities.with_tightness(counted, ["head"]).withColumn("tightness", F.round("tightness", 6))
 
 
 @query(f"""WITH {_NAMES}, c AS (SELECT name, count(*) AS n FROM names GROUP BY name HAVING count(*) >= 5 AND length(name) >= 2), s AS (SELECT DISTINCT name, unnest([right(name, 1), right(name, 2)]) AS suffix FROM c)
@@ -325,11 +324,22 @@ def prefix_mismerge(spark, d):
     return entities.prefix_merges(stats, LATIN, [])
 
 
-@query(f"""WITH {_NAMES}, c AS (SELECT name, count(*) AS n, count(DISTINCT doc_id) AS diversity, count(DISTINCT doc_id % 5) AS co, count(DISTINCT doc_id % 7) AS high FROM names GROUP BY name)
-SELECT name, n, CASE WHEN n < 3 THEN CASE WHEN co >= 3 AND n >= 5 THEN 0.6 ELSE 0.3 END WHEN diversity <= 1 THEN CASE WHEN co >= 3 AND high >= 2 THEN 0.6 WHEN co >= 3 AND n >= 5 THEN 0.6 ELSE 0.2 END WHEN n >= 5 AND diversity >= 2 THEN 0.8 WHEN co >= 3 AND n >= 5 THEN 0.6 ELSE 0.6 END::DOUBLE AS confidence FROM c""")
+@query(f"""WITH {_LINES}, {_NAMES}, p AS (SELECT a.name, b.name AS other, count(*) AS n FROM few a JOIN few b ON a.doc_id = b.doc_id AND a.n = b.n AND a.name <> b.name GROUP BY a.name, b.name), k AS (SELECT name, count(*) AS k FROM pars GROUP BY name),
+co AS (SELECT p.name, count(DISTINCT other) AS co, coalesce(sum(CASE WHEN k.k >= 50 THEN n END), 0) AS high FROM p LEFT JOIN k ON p.other = k.name GROUP BY p.name),
+b AS (SELECT unnest(regexp_extract_all(text, '([A-Z][a-zà-ÿ]+) (?:the|and|in|of|was)', 1)) AS name, unnest(regexp_extract_all(text, '[A-Z][a-zà-ÿ]+ (the|and|in|of|was)', 1)) AS word FROM documents), t AS (SELECT name, count(DISTINCT word) AS kinds, count(*) AS hits FROM b GROUP BY name),
+c AS (SELECT name, count(*) AS n, count(DISTINCT doc_id) AS diversity FROM names GROUP BY name),
+x AS (SELECT c.name, n, diversity, coalesce(co, 0) AS co, coalesce(high, 0) AS high, coalesce(kinds >= 3 AND hits >= 5, false) AS strong FROM c LEFT JOIN co ON c.name = co.name LEFT JOIN t ON c.name = t.name)
+SELECT name, n, CASE WHEN n < 3 THEN CASE WHEN strong THEN 0.6 ELSE 0.3 END WHEN diversity <= 1 THEN CASE WHEN co >= 3 AND high >= 2 THEN 0.6 WHEN strong THEN 0.6 ELSE 0.2 END WHEN n >= 5 AND diversity >= 2 THEN 0.8 WHEN strong THEN 0.6 ELSE 0.6 END::DOUBLE AS confidence FROM x""")
 def confidence_ladder(spark, d):
-    c = _mentions(spark, d).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("diversity"), F.count_distinct(F.col("doc_id") % 5).alias("co"), F.count_distinct(F.col("doc_id") % 7).alias("high"))
-    return c.select("name", "n", entities.rescored(F.lit(0.6), F.col("n"), F.col("diversity"), F.col("co"), F.col("high"), F.col("co"), F.col("n")).cast("double").alias("confidence"))
+    """Names of the whole table: documents as contexts, co-occurrence by line, boundary words behind a name."""
+    c = _mentions(spark, d).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("diversity"))
+    lines = _line_names(spark, d)
+    stats = entities.cooccurrence_stats(entities.cooccurrence(lines, ["doc_id", "n"]), lines.groupBy("name").agg(F.count(F.lit(1)).alias("n")), 50)
+    behind = lambda k: F.regexp_extract_all("text", F.lit("([A-Z][a-zà-ÿ]+) (the|and|in|of|was)"), F.lit(k))
+    ends = table(spark, d, "documents").select(F.explode(F.arrays_zip(behind(1).alias("name"), behind(2).alias("word"))).alias("x")).select("x.*").groupBy("name").agg(F.count_distinct("word").alias("templates"), F.count(F.lit(1)).alias("hits"))
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
+    rows = c.join(stats, "name", "left").join(ends, "name", "left")
+    return rows.select("name", "n", entities.rescored(F.lit(0.6), F.col("n"), F.col("diversity"), zero("co_diversity"), zero("high_conf_co"), zero("templates"), zero("hits")).cast("double").alias("confidence"))
 
 
 _OFFSETS = """m AS (SELECT doc_id, unnest({hits}) AS hit, unnest(range(len({hits}))) AS i, {gaps} AS gaps, {hits} AS hits FROM documents),
@@ -575,9 +585,9 @@ def export_json_rows(spark, d):
 _STEPS = ("click", "login", "logout", "purchase", "view")
 
 
-@query("SELECT user_id, " + ", ".join(f"round(max(CASE WHEN event_type = '{s}' THEN value END), 6) AS {s}" for s in _STEPS) + " FROM events GROUP BY user_id")
+@query("SELECT user_id, " + ", ".join(f"round(arg_max(value, (ts, event_id)) FILTER (event_type = '{s}'), 6) AS {s}" for s in _STEPS) + " FROM events GROUP BY user_id")
 def progress_pivot(spark, d):
-    out = lib.progress_pivot(table(spark, d, "events"), "user_id", "event_type", "value", list(_STEPS))
+    out = lib.progress_pivot(table(spark, d, "events"), "user_id", "event_type", "value", list(_STEPS), ["ts", "event_id"])
     return out.select("user_id", *(F.round(s, 6).alias(s) for s in _STEPS))
 
 
@@ -601,9 +611,10 @@ def backfill_speakers(spark, d):
     return speakers.backfill_unknown(t, names, []).select("conv_id", "turn", "speaker")
 
 
-@query("""SELECT word, label AS type FROM (SELECT unnest(['rere', 'the', 'zz']) AS word) w, LATERAL (SELECT CASE WHEN word IN ('th', 'the', 'sh') THEN 'soft' WHEN word IN ('re', 'rere', 'er') THEN 'hard' ELSE 'other' END AS label)""")
+@query("""SELECT word, CASE WHEN word IN ('th', 'the', 'sh') THEN 'soft' WHEN word IN ('re', 'rere', 'er') THEN 'hard' ELSE 'other' END AS type FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents)""")
 def sound_types(spark, d):
-    return spark.createDataFrame([("rere",), ("the",), ("zz",)], "word string").select("word", sounds.sound_type(F.col("word"), LATIN).alias("type"))
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", sounds.sound_type(F.col("word"), LATIN).alias("type"))
 
 
 @query("SELECT word FROM (SELECT DISTINCT n_name AS word FROM nation UNION SELECT r_name FROM region) WHERE word NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 3 = 0)")
