@@ -1,6 +1,7 @@
 """Rule packs: all that depends on a language, held as data.
 
-Operators take a pack; nothing else in the library names a word of any language.
+Operators take a pack.  Rules over tokens, turns and single sentences take word lists of their own (NameRules, TagRules, TurnWords, TaggerRules), whose
+defaults, marked as fixed values, are those of the first language.
 """
 
 from __future__ import annotations
