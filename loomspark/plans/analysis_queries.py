@@ -11,8 +11,6 @@ from loomspark.operators import emotion, entities, segment, similarity, speakers
 from loomspark.packs import LATIN
 from loomspark.plans.queries import _EACH, _LIBRARY, _NAMES, _OFFSET_SPLIT, _library, _line_names, _mentions, _offsets, _sentences, long, query, table
 
-_NO_WORDS = replace(LATIN, boundary_suffixes=())
-
 _STATS = rf"""{_NAMES}, {_EACH},
 occ AS (SELECT e.doc_id, e.name, ((length(text) - length(replace(text, e.name, ''))) / length(e.name))::BIGINT AS n FROM each_name e JOIN documents d ON e.doc_id = d.doc_id),
 pieces AS (SELECT e.doc_id, name, unnest(string_split(text, name)[2:]) AS piece, unnest(range(2, len(string_split(text, name)) + 1)) = len(string_split(text, name)) AS last FROM each_name e JOIN documents d ON e.doc_id = d.doc_id),
@@ -20,21 +18,33 @@ ch AS (SELECT doc_id, name, unnest(string_split(CASE WHEN last THEN piece[1:2] E
 dv AS (SELECT doc_id, name, count(DISTINCT CASE WHEN c <> '' AND NOT regexp_matches(c, '[\p{{P}}\s]') THEN c END) AS diversity FROM ch GROUP BY doc_id, name)"""
 
 
+_ENDS = (" the", " and", " in", " of")
+_HITS = ", ".join(f"len(list_filter(regexp_extract_all(win, '(.{{1,4}}){w}', 1), lambda m: contains(m, name) OR contains(name, m))) AS k{i}" for i, w in enumerate(_ENDS))
+_SPOKEN = tuple("stoie")
+
+
 @query(rf"""WITH {_STATS},
 ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 seen AS (SELECT e.doc_id, i, name FROM each_name e JOIN ln ON e.doc_id = ln.doc_id AND contains(line, name)),
 co AS (SELECT a.doc_id, a.name, b.name AS other, count(*) AS k FROM seen a JOIN seen b ON a.doc_id = b.doc_id AND a.i = b.i AND a.name <> b.name GROUP BY a.doc_id, a.name, b.name),
-cs AS (SELECT co.doc_id, co.name, count(DISTINCT other) AS partners, coalesce(sum(CASE WHEN o.n >= 5 THEN k END), 0) AS frequent FROM co LEFT JOIN occ o ON co.doc_id = o.doc_id AND co.other = o.name GROUP BY co.doc_id, co.name)
-SELECT occ.doc_id, occ.name, occ.n, coalesce(dv.diversity, 0)::BIGINT AS diversity, coalesce(partners, 0)::BIGINT AS partners, coalesce(frequent, 0)::BIGINT AS frequent,
-CASE WHEN occ.n < 3 THEN 0.3 WHEN coalesce(dv.diversity, 0) <= 1 THEN CASE WHEN coalesce(partners, 0) >= 3 AND coalesce(frequent, 0) >= 2 THEN 0.6 ELSE 0.2 END WHEN occ.n >= 5 AND coalesce(dv.diversity, 0) >= 2 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence
-FROM occ LEFT JOIN dv ON occ.doc_id = dv.doc_id AND occ.name = dv.name LEFT JOIN cs ON occ.doc_id = cs.doc_id AND occ.name = cs.name""")
+cs AS (SELECT co.doc_id, co.name, count(DISTINCT other) AS partners, coalesce(sum(CASE WHEN o.n >= 5 THEN k END), 0) AS frequent FROM co LEFT JOIN occ o ON co.doc_id = o.doc_id AND co.other = o.name GROUP BY co.doc_id, co.name),
+ps AS (SELECT e.doc_id, name, text, string_split(text, name) AS parts FROM each_name e JOIN documents d ON e.doc_id = d.doc_id),
+pl AS (SELECT doc_id, name, text, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(name)))::BIGINT AS s FROM ps),
+wn AS (SELECT doc_id, name, text[greatest(s - 50, 0) + 1:s + 50] AS win FROM pl), wk AS (SELECT doc_id, name, {_HITS} FROM wn),
+bh AS (SELECT doc_id, name, {' + '.join(f'(sum(k{i}) > 0)::INT' for i in range(len(_ENDS)))} AS templates, {' + '.join(f'sum(k{i})' for i in range(len(_ENDS)))} AS hits FROM wk GROUP BY doc_id, name),
+nb AS (SELECT doc_id, name, list_distinct(list(c) FILTER (c <> '' AND NOT regexp_matches(c, '[\p{{P}}\s]'))) AS cs FROM ch GROUP BY doc_id, name),
+mg AS (SELECT DISTINCT r.doc_id, r.name FROM (SELECT occ.*, unnest([name[1:length(name) - 1], name[1:length(name) - 2]]) AS prefix FROM occ WHERE n <= 2 AND length(name) >= 3) r JOIN occ p ON r.doc_id = p.doc_id AND r.prefix = p.name AND p.n >= 5 JOIN nb ON r.doc_id = nb.doc_id AND r.name = nb.name
+  WHERE r.n < 0.1 * p.n AND len(cs) > 0 AND len(list_filter(cs, lambda c: c IN ({', '.join(f"'{c}'" for c in _SPOKEN)}))) / len(cs) >= 0.5),
+x AS (SELECT occ.doc_id, occ.name, occ.n, coalesce(dv.diversity, 0)::BIGINT AS diversity, coalesce(partners, 0)::BIGINT AS partners, coalesce(frequent, 0)::BIGINT AS frequent, coalesce(templates, 0)::BIGINT AS templates, coalesce(hits, 0)::BIGINT AS hits, mg.name IS NOT NULL AS merged
+  FROM occ LEFT JOIN dv ON occ.doc_id = dv.doc_id AND occ.name = dv.name LEFT JOIN cs ON occ.doc_id = cs.doc_id AND occ.name = cs.name LEFT JOIN bh ON occ.doc_id = bh.doc_id AND occ.name = bh.name LEFT JOIN mg ON occ.doc_id = mg.doc_id AND occ.name = mg.name)
+SELECT doc_id, name, n, diversity, partners, frequent, templates, hits, CASE WHEN merged THEN 0.1 WHEN n < 3 THEN CASE WHEN templates >= 3 AND hits >= 5 THEN 0.6 ELSE 0.3 END WHEN diversity <= 1 THEN CASE WHEN partners >= 3 AND frequent >= 2 OR templates >= 3 AND hits >= 5 THEN 0.6 ELSE 0.2 END WHEN n >= 5 AND diversity >= 2 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence FROM x""")
 def validated_names(spark, d):
-    """G8 with all statistics from the texts; boundary templates and mis-merges have queries of their own, so the pack has no words for them."""
-    pack = replace(_NO_WORDS, dialogue_words=("\x00",))
+    """G8 with all statistics from the texts: boundary words, mis-merges and co-occurrence included."""
+    pack = replace(LATIN, boundary_suffixes=_ENDS, dialogue_words=_SPOKEN)
     names = _mentions(spark, d).distinct().withColumn("confidence", F.lit(0.6))
     out = entities.validate(table(spark, d, "documents"), names, pack, ["doc_id"])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select("doc_id", "name", *long("n"), zero("diversity").alias("diversity"), zero("co_diversity").alias("partners"), zero("high_conf_co").alias("frequent"), F.col("new_confidence").cast("double").alias("confidence"))
+    return out.select("doc_id", "name", *long("n"), zero("diversity").alias("diversity"), zero("co_diversity").alias("partners"), zero("high_conf_co").alias("frequent"), zero("templates").alias("templates"), zero("hits").alias("hits"), F.col("new_confidence").cast("double").alias("confidence"))
 
 
 @query(rf"""WITH {_STATS} SELECT occ.doc_id, occ.name, round(least(occ.n / 10, 1) * 0.3 + least(coalesce(diversity, 0) / 5, 1) * 0.3, 6)::DOUBLE AS score FROM occ LEFT JOIN dv ON occ.doc_id = dv.doc_id AND occ.name = dv.name""")
