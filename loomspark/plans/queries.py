@@ -624,4 +624,4 @@ def word_set(spark, d):
     return lib.delete_rows(words, n.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("word")), ["word"])
 
 
-from loomspark.plans import analysis_queries, name_queries, tagger_queries, turn_queries  # noqa: E402, F401  (they add their queries to QUERIES and SQL)
+from loomspark.plans import analysis_queries, name_queries, tagger_queries, text_queries, turn_queries  # noqa: E402, F401  (they add their queries to QUERIES and SQL)
