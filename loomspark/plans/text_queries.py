@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomspark.operators import segment
+from loomspark.operators import quotes, segment
 from loomspark.packs import ZH
 from loomspark.plans.queries import long, query, table
 
@@ -62,3 +64,32 @@ def volume_chapters(spark, d):
     """Chapters in volumes, with and without a prologue."""
     out = segment.split_chapters(_texts(spark, d, _VOLUMES), ZH, "p_partkey")
     return out.select("p_partkey", *long("volume_index"), "volume_title", *long("chapter_index"), "title", *long("start"), F.col("end").cast("long").alias("stop"), "content")
+
+
+_SPOKEN = ("{n}沉声道：「好。」他走了。", "「{n}」是古卷上写着的话。", "他来到「天剑阁」，看见「白云」。", "只听「轰！」一声，「走吧」她说。", "书中记载「{t}，天地玄黄。」，众人随后说道", "“啊啊”「」那人道“走？”", "他道{n}{t}{n}「风」说", "「雷雷」，说「去\n吧」")
+_VERBS, _BOOKS, _PLACES = ("沉声道", "说道", "道", "说"), ("写着", "记载", "古卷"), ("阁", "云")
+_PACK = replace(ZH, speech_verbs=_VERBS, book_words=_BOOKS, place_suffixes=_PLACES)
+_ANY = "|".join
+_FRONT = "CASE " + " ".join(f"WHEN contains(b, '{v}') THEN right(b, instr(reverse(b), '{v[::-1]}') - 1)" for v in _VERBS) + " END"
+_BACK = "list_min(list_filter([" + ", ".join(f"instr(a, '{v}')" for v in _VERBS) + "], lambda x: x > 0)) - 1"
+
+
+@query(rf"""WITH {_sql(_SPOKEN)}, m AS (SELECT p_partkey, text, unnest(regexp_extract_all(text, '「[^」]*」|“[^”]*”')) AS hit, unnest(range(len(regexp_extract_all(text, '「[^」]*」|“[^”]*”')))) AS k, string_split_regex(text, '「[^」]*」|“[^”]*”') AS gaps, regexp_extract_all(text, '「[^」]*」|“[^”]*”') AS hits FROM t),
+q AS (SELECT p_partkey, k, text, hit, (list_sum(list_transform(gaps[1:k + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:k], lambda g: length(g))), 0))::BIGINT AS s FROM m),
+w AS (SELECT p_partkey, k, s, hit[2:length(hit) - 1] AS quote, text[greatest(s - 50, 0) + 1:s] AS b, text[s + length(hit) + 1:s + length(hit) + 50] AS a FROM q),
+x AS (SELECT *, regexp_replace(quote, '^\s+|\s+$', '', 'g') AS t, {_FRONT} AS gap, {_BACK} AS near FROM w),
+y AS (SELECT *, CASE WHEN gap IS NULL OR length(gap) > 10 THEN 0 WHEN regexp_matches(gap, '[：:，,]\s*$') OR regexp_replace(gap, '\s', '', 'g') = '' THEN 1.0 ELSE 0.7 END::DOUBLE AS front, CASE WHEN near IS NULL OR near > 10 THEN 0 WHEN regexp_matches(a[1:near], '^\s*[，,]') THEN 0.5 ELSE 0.3 END::DOUBLE AS back,
+  regexp_matches(t, '[。！？；]') AS ends, regexp_matches(t, '[啊呀呢吧嘛哦呗哇哈嘿哼嗯]$') AS modal, regexp_matches(t, '^[一-龥·\-—~～]{{1,10}}$') AS noun, regexp_matches(t, '^[一-龥][！!]+$') AS shout, regexp_matches(t, '(?:{_ANY(_PLACES)})$') AS proper, length(t) = 2 AND t[1:1] = t[2:2] AS doubled, regexp_matches(t, '[？?]') AS asks,
+  regexp_matches(right(b, 15) || '「' || quote || '」' || a[1:15], '{_ANY(_BOOKS)}') OR regexp_matches(right(b, 15) || '「' || quote || '」' || a[1:15], '[」"』]\s*(?:的)?(?:这句话|这行字|这些字|此句|此诗|此词)\s*(?:刻|写|留|题|录|记|载)') AS cites, regexp_matches(right(b, 10), '{_ANY(_BOOKS)}') AS close, regexp_matches(right(b, 20) || a[1:20], '{_ANY(_VERBS)}') AS speech FROM x),
+z AS (SELECT *, regexp_matches(t, '^[一-龥]{{1,2}}$') AND NOT ends AND NOT modal AS short FROM y),
+s AS (SELECT *, front + back + CASE WHEN gap IS NULL AND near IS NULL THEN 0.3 ELSE 0 END AS s1,
+  greatest(0, least(1, 0.5 + CASE WHEN ends THEN 0.3 ELSE 0 END + CASE WHEN modal THEN 0.2 ELSE 0 END + CASE WHEN noun THEN CASE WHEN proper THEN -0.4 ELSE -0.2 END ELSE 0 END + CASE WHEN shout THEN -0.5 ELSE 0 END + CASE WHEN short AND (doubled OR proper) THEN -0.3 ELSE 0 END + CASE WHEN asks THEN 0.2 ELSE 0 END))::DOUBLE AS s2,
+  greatest(0, least(1, 0.5 + CASE WHEN cites THEN -0.6 ELSE 0 END + CASE WHEN close THEN -0.5 ELSE 0 END + CASE WHEN regexp_matches(quote, '[\n\r]') THEN -0.3 ELSE 0 END + CASE WHEN length(quote) > 100 AND NOT speech THEN -0.3 ELSE 0 END))::DOUBLE AS s3,
+  front > 0 OR (back > 0 AND NOT shout) OR (ends AND NOT shout) OR modal OR asks AS support, shout OR (short AND (doubled OR proper)) AS sound FROM z)
+SELECT p_partkey, k AS quote_index, s AS start, quote, t <> '' AND NOT ((sound OR noun) AND NOT support) AS is_dialogue,
+  round(CASE WHEN t = '' THEN 0 WHEN sound AND NOT support THEN 0.2 WHEN noun AND NOT support THEN 0.3 ELSE greatest(0.5, greatest(0, least(1, (s1 + s2 + s3) / 3))) END, 6)::DOUBLE AS confidence FROM s""")
+def quote_verdicts(spark, d):
+    """Q2 to Q6: whether quotes are speech, by verbs around them, their form and citation marks."""
+    found = quotes.extract_all_quotes(_texts(spark, d, _SPOKEN), ["p_partkey"], pairs=(("「", "」"), ("“", "”")))
+    out = quotes.boundary_verdict(found, _PACK)
+    return out.select("p_partkey", *long("quote_index", "start"), "quote", "is_dialogue", F.round("confidence", 6).alias("confidence"))
