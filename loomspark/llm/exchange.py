@@ -158,11 +158,15 @@ class Keys:
     def __init__(self, where: np.ndarray, what: np.ndarray, bits: int, narrow: bool, owners: np.ndarray | None = None):
         what = (what >> np.uint64(32)).astype(np.uint32) if narrow else what
         order = np.argsort(where) if owners is None else np.lexsort((owners, where))
-        if bool(((where[order][1:] == where[order][:-1]) & (what[order][1:] != what[order][:-1])).any()):
-            order = np.lexsort((what, where)) if owners is None else np.lexsort((owners, what, where))
         where, what = where[order], what[order]
         new = np.ones(len(order), bool)
-        new[1:] = (where[1:] != where[:-1]) | (what[1:] != what[:-1])
+        new[1:] = where[1:] != where[:-1]
+        other = what[1:] != what[:-1]
+        if (other & ~new[1:]).any():  # keys that only `what` tells apart: they go into an order of their own
+            again = np.lexsort((what, where)) if owners is None else np.lexsort((owners[order], what, where))
+            order, where, what = order[again], where[again], what[again]
+            new[1:], other = where[1:] != where[:-1], what[1:] != what[:-1]
+        new[1:] |= other
         self.owners = None
         if owners is not None:
             own = owners[order]

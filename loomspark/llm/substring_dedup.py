@@ -45,7 +45,7 @@ class _Level:
         self.known = np.array([i is not None for i in row["ids"]], bool)
         self.sizes, self.bits = sizes, bits
         self.replies = row.get("replies") or []
-        self.hash, self.other = self.words.hashes(0, 1)
+        self.hash, self.other = self.words.two_hashes()
         self.starts: np.ndarray | None = None
 
     def keys(self, level: int) -> Keys:

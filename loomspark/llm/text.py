@@ -115,14 +115,19 @@ class Words:
         coded = self.array().dictionary_encode()
         return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
-    def hashes(self, *families: int) -> np.ndarray | tuple[np.ndarray, ...]:
-        """A 64-bit hash of every word; given families, one of each, which are independent."""
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word."""
         codes, distinct = self.codes()
-        out = []
-        for f in families or (0,):
-            each = np.fromiter((xxhash.xxh3_64_intdigest(w, f) for w in distinct), np.uint64, len(distinct))
-            out.append(each[codes] if len(codes) else np.zeros(0, np.uint64))
-        return tuple(out) if families else out[0]
+        each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
+        return each[codes] if len(codes) else np.zeros(0, np.uint64)
+
+    def two_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The halves of a 128-bit hash of every word: two independent hashes at the cost of one."""
+        codes, distinct = self.codes()
+        if not len(codes):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
+        return halves[codes, 0], halves[codes, 1]
 
 
 def span_hashes(h: np.ndarray, length: int) -> np.ndarray:
