@@ -8,7 +8,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import ngrams
@@ -41,3 +41,40 @@ def gram_classifier(df: DataFrame, label: str = "label", features_: int = 1 << 1
         return plan.fit(rows)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1]).build()
     return CrossValidator(estimator=plan, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="_y", metricName="f1"), numFolds=folds, seed=1).fit(rows).bestModel
+
+
+def stratified_folds(df: DataFrame, label: str, by: str, folds: int = 5) -> DataFrame:
+    """Adds fold (0 to folds - 1): the rank within the label, in order of a digest of the text column `by`, modulo folds; equal texts in any order.
+
+    A label may hold most rows, so ranks are counted in 256 stretches of digests: what lies before a stretch is a sum of counts, and only a
+    stretch is sorted.
+    """
+    rows = df.withColumn("_d", F.md5(F.coalesce(by, F.lit("")))).withColumn("_s", F.substring("_d", 1, 2))
+    counts = rows.groupBy(label, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select(F.col(label).alias("_l"), F.col("_s").alias("_t"), before.alias("_before"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(label, "_s").orderBy("_d")) - 1
+    joined = rows.join(placed, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_s") == F.col("_t")))
+    return joined.withColumn("fold", (rank % folds).cast("int")).drop("_d", "_s", "_l", "_t", "_before")
+
+
+def macro_f1(predicted: DataFrame, truth: str, guess: str, by: list[str]) -> DataFrame:
+    """(by, macro_f1): the mean F1 of the labels that are true or guessed anywhere in a group; a label that is only one of both counts 0."""
+    pairs = predicted.groupBy(*by, truth, guess).agg(F.count(F.lit(1)).alias("n"))
+    right = F.col(truth) == F.col(guess)
+    side = lambda c: pairs.select(*by, F.col(c).alias("label"), F.when(right, F.col("n")).otherwise(0).alias("hit"), F.col("n").alias("size"))
+    per = side(truth).unionByName(side(guess)).groupBy(*by, "label").agg((F.sum("hit") / F.sum("size")).alias("f1"))  # hits count on both sides: 2 tp / (2 tp + fp + fn)
+    return per.groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
+
+
+def cross_validated(df: DataFrame, rules: EmotionRules, label: str = "label", text_col: str = "sentence", folds: int = 5, depth: int = 5) -> DataFrame:
+    """(fold, macro_f1) of decision trees on the emotion features, each trained on the other stratified folds.
+
+    Every fold's rows are judged by its own tree and all of them are scored together, in one plan over the k fitted models.
+    """
+    rows = stratified_folds(df.select(label, F.col(text_col).alias("sentence")), label, "sentence", folds)
+    judged = [feature_tree(rows.where(F.col("fold") != k), rules, label, depth).transform(with_features(rows.where(F.col("fold") == k), rules)).select("fold", label, "predicted") for k in range(folds)]
+    every = judged[0]
+    for j in judged[1:]:
+        every = every.unionByName(j)
+    return macro_f1(every, label, "predicted", ["fold"])

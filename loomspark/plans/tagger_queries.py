@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.operators import tagger
-from loomspark.plans.queries import _OFFSET_SPLIT, _sentences, long, query
+from loomspark.operators import classifiers, tagger
+from loomspark.plans.queries import _OFFSET_SPLIT, _sentences, long, query, table
 
 _RULES = tagger.TaggerRules(
     keywords=(("joy", ("ble", "ción", "and b")), ("anger", ("erra", "ander", "ver")), ("sadness", ("leaeed", "ou th", "elle")), ("surprise", ("stion", "heit", "nt")), ("fear", ("shre", "thwh", "sich"))),
@@ -46,3 +46,11 @@ def rule_labels(spark, d):
     """All labels."""
     rows = _sentences(spark, d).select("doc_id", *long("sentence_index"), F.explode(tagger.labels(F.col("sentence"), _RULES)).alias("x"))
     return rows.select("doc_id", "sentence_index", "x.emotion", F.round("x.score", 6).alias("score"))
+
+
+@query("SELECT lang, fold, count(*) AS n, sum(doc_id)::BIGINT AS sum_ids FROM (SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY md5(coalesce(text, '')), doc_id) - 1) % 5 AS fold FROM (SELECT text, lang, min(doc_id) AS doc_id FROM documents GROUP BY text, lang)) GROUP BY lang, fold")
+def stratified_folds(spark, d):
+    """Folds of the different texts of each language."""
+    rows = table(spark, d, "documents").groupBy("text", "lang").agg(F.min("doc_id").alias("doc_id"))
+    out = classifiers.stratified_folds(rows, "lang", "text", 5).groupBy("lang", F.col("fold").cast("long").alias("fold"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").cast("long").alias("sum_ids"))

@@ -70,3 +70,26 @@ def test_spread_contexts_and_guards(spark):
     assert sorted(r.id for r in lib.with_narrator(lib_).collect()) == [-1, 1]
     with pytest.raises(ValueError):
         lib.same_count(lib_, lib_.limit(0))
+
+
+def test_stratified_folds_and_macro_f1(spark):
+    from collections import Counter
+
+    rows = [(f"t{i}", "a" if i % 3 else "b") for i in range(101)] + [("same", "a")] * 7 + [(None, "b"), ("x", None)]
+    folded = classifiers.stratified_folds(spark.createDataFrame(rows, "t string, y string"), "y", "t", 4).collect()
+    assert len(folded) == len(rows) and {r.fold for r in folded} == {0, 1, 2, 3}
+    for y in ("a", "b"):
+        sizes = Counter(r.fold for r in folded if r.y == y).values()
+        assert max(sizes) - min(sizes) <= 1
+    pairs = [(0, "a", "a")] * 3 + [(0, "a", "b"), (0, "b", "b"), (0, "c", "a"), (1, "a", "b"), (1, "b", "a")]
+    got = {r.k: r.macro_f1 for r in classifiers.macro_f1(spark.createDataFrame(pairs, "k int, y string, p string"), "y", "p", ["k"]).collect()}
+    for k in (0, 1):
+        mine = [(y, p) for f, y, p in pairs if f == k]
+        scores = []
+        for c in {x for pair in mine for x in pair}:
+            tp, fp, fn = sum(y == p == c for y, p in mine), sum(p == c != y for y, p in mine), sum(y == c != p for y, p in mine)
+            scores.append(2 * tp / (2 * tp + fp + fn))
+        assert abs(got[k] - sum(scores) / len(scores)) < 1e-9
+    said = [("哈哈，太好了！", "joy"), ("赢了，太棒了！", "joy"), ("滚！废物！", "anger"), ("混蛋，找死！", "anger")] * 6
+    scores = classifiers.cross_validated(spark.createDataFrame([(f"{t}{i}", y) for i, (t, y) in enumerate(said)], "sentence string, label string"), ZH.emotions, folds=3).collect()
+    assert len(scores) == 3 and all(r.macro_f1 > 0.8 for r in scores)
