@@ -45,7 +45,7 @@ class _Level:
         self.known = np.array([i is not None for i in row["ids"]], bool)
         self.sizes, self.bits = sizes, bits
         self.replies = row.get("replies") or []
-        self.hash, self.other = self.words.two_hashes()
+        self.hash = self.words.tabulated(0)
         self.starts: np.ndarray | None = None
 
     def keys(self, level: int) -> Keys:
@@ -65,7 +65,7 @@ class _Level:
         self.at = np.flatnonzero(ok)
         h = h[self.at]
         last = level == len(self.sizes) - 1
-        where = span_hashes(self.other, size)[self.at] if last else mix(h, np.uint64(7 + level))  # a filter can do without a second hash
+        where = span_hashes(self.words.tabulated(1), size)[self.at] if last else mix(h, np.uint64(7 + level))  # a filter can do without a second hash
         return Keys(where, h, self.bits, not last, self.ids[self.words.doc[self.at]] if last else None)
 
     def settle(self, level: int) -> None:

@@ -121,13 +121,27 @@ class Words:
         each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
         return each[codes] if len(codes) else np.zeros(0, np.uint64)
 
-    def two_hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """The halves of a 128-bit hash of every word: two independent hashes at the cost of one."""
-        codes, distinct = self.codes()
-        if not len(codes):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
-        return halves[codes, 0], halves[codes, 1]
+    def tabulated(self, family: int) -> np.ndarray:
+        """A 64-bit hash of every word, of one of two independent families: the sum of a random number for each byte at its place.
+
+        Longer words than TABULATED bytes are hashed one by one.
+        """
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        first = np.cumsum(size) - size  # of each word among the bytes of words
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        long = np.flatnonzero(size > TABULATED)
+        if len(long):
+            place = np.minimum(place, TABULATED - 1)
+        place <<= 8
+        place += self.data[self.solid]
+        out = np.add.reduceat(_PLACES[family][place], first)
+        if len(long):
+            raw = self.data.tobytes()
+            for i in long.tolist():
+                out[i] = xxhash.xxh3_64_intdigest(raw[self.start[i] : self.end[i]], family)
+        return out
 
 
 def span_hashes(h: np.ndarray, length: int) -> np.ndarray:
@@ -141,6 +155,9 @@ def span_hashes(h: np.ndarray, length: int) -> np.ndarray:
     return mix(h[: len(h) - (length - step)], h[length - step :]) if step < length else h
 
 
+#: Bytes of a word that have numbers of their own, and of both families a number for each place and byte.
+TABULATED = 64
+_PLACES = [mix(mix(np.arange(TABULATED << 8, dtype=np.uint64), np.uint64(family + 11)), _C3) for family in (0, 1)]
 #: Of each family of hashes, the hash of every byte.
 _BYTES = [np.fromiter((xxhash.xxh3_64_intdigest(bytes([i]), family) for i in range(256)), np.uint64, 256) for family in (0, 1)]
 

@@ -191,3 +191,21 @@ def test_windows_that_only_one_hash_takes_for_equal(spark, monkeypatch):
     b = op._Block(row, 200, 4)
     b.settle_samples()
     assert len(b.suffixes) and not b.gone().any()
+
+
+def test_tabulated_hashes_tell_words_apart():
+    import numpy as np
+
+    from loomspark.llm.text import Words
+
+    r = np.random.default_rng(5)
+    words = list({bytes(r.integers(97, 103, int(n)).astype(np.uint8)) for n in np.concatenate([r.integers(1, 9, 3000), r.integers(60, 70, 200), [300, 64, 65]])})
+    text = b" ".join(words + words[:50])
+    w = Words(np.frombuffer(text, np.uint8), np.array([len(text)]))
+    for family in (0, 1):
+        h = w.tabulated(family)
+        assert len(set(h[: len(words)].tolist())) == len(words) and (h[len(words) :] == h[:50]).all()
+    assert (w.tabulated(0) != w.tabulated(1)).all()
+    assert len(Words(np.zeros(0, np.uint8), np.zeros(0, np.int64)).tabulated(0)) == 0
+    ab, ba = (Words(np.frombuffer(t, np.uint8), np.array([5])).tabulated(0).tolist() for t in (b"ab cd", b"ba cd"))
+    assert ab[0] != ba[0] and ab[1] == ba[1]
