@@ -7,7 +7,7 @@ goes on behind it if what follows is worth more.  So a notice in mid-article lea
 
 Weights are learned from labelled pages: those with one <article> or <main> say by it which words and tags are text.  An averaged structured perceptron
 compares the region found with the labelled one and moves the weights of what only one of them has; words stay above LEAST, tags below -LEAST.
-It takes at most `sample` such pages of at most MOST_TOKENS words and tags, chosen by hash; of each the counts between places
+It takes at most `sample` such pages of at most MOST_TOKENS words and tags, the first by hash of about SPARE * sample pages; of each the counts between places
 where a region can begin or end go to the driver.  Extraction itself reads every page whole.
 
 A page's work is in its own row, linear in its length: no shuffle.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.text import bounded, slices, tidy
 
-SAMPLE, MOST_TOKENS, ROUNDS = 400, 20_000, 4
+SAMPLE, MOST_TOKENS, ROUNDS, SPARE = 400, 20_000, 4, 8
 LEAST = 0.05
 #: Weights before learning: a word, a word of a link, a tag, a tag of running text, an element cut out, the bounds of an article.
 START = {"word": 1.0, "link word": 0.3, "tag": -1.0, "text tag": -0.2, "cut": -0.5, "bound": -40.0}
@@ -238,9 +238,13 @@ def perceptron(pages: list[tuple[list[tuple[str, int]], int, int]], rounds: int
 
 
 def learn(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from at most `sample` labelled pages, the first by hash."""
-    some = pages.select(F.col(html_col).cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= 16 * MOST_TOKENS))
-    some = some.withColumn("h", F.xxhash64("html")).orderBy("h", "html").limit(sample)
+    """Weights from at most `sample` labelled pages, the first by hash.
+
+    Only hashes below a bound, so that about SPARE * sample pages are left whatever the table holds, go on to be read and ordered.
+    """
+    bound = int(-(2**63) + min(1.0, SPARE * sample / max(1, pages.count())) * 2**64) - 1
+    some = pages.select(F.col(html_col).cast("string").alias("html")).withColumn("h", F.xxhash64("html")).where(F.col("h") <= F.lit(bound).cast("long"))
+    some = some.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= 16 * MOST_TOKENS)).orderBy("h", "html").limit(sample)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
