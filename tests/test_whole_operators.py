@@ -41,3 +41,9 @@ def test_validation_counts_partners(spark):
     got = {r.name: r for r in entities.validate(docs, names, ZH, ["doc_id"]).collect()}
     assert (got["甲一"].co_diversity, got["甲一"].high_conf_co) == (3, 6)
     assert got["甲一"].new_confidence == 0.5
+
+
+def test_prefix_that_no_word_follows(spark, tmp_path):
+    rows = [(i, "Abcde.") for i in range(21)] + [(21, "Abcdes the rest.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in QUERIES["prefix_mismerge"](spark, str(tmp_path)).collect()] == [("Abcdes", "Abcde")]
