@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.vectors import characters, cosine, jaccard, norm
 
-BLOCK = 2048
+#: Queries, and items, of one matrix product.
+BLOCK, CHUNK = 2048, 512
 
 
 def rank_by_similarity(queries: DataFrame, items: DataFrame, id_col: str, vector_col: str, top: int | None = None, threshold: float = 0.7, most_queries: int = 10_000) -> DataFrame:
     """(query_id, id, similarity, rank) of the items with at least the threshold (and the top of them) for each query.
 
-    Up to `most_queries` queries go to every block of items, whose similarities are one matrix product in an Arrow batch.
+    Up to `most_queries` queries go to every block of items, whose similarities are matrix products of a fixed size.
     More are dealt into blocks, as are the items, and each block of the one meets each of the other by equal numbers.
-    Only hits are ranked.
+    Only hits are ranked: with top, those that a task's own best leave open.
     """
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("v"))
     x = items.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
@@ -30,36 +31,48 @@ def rank_by_similarity(queries: DataFrame, items: DataFrame, id_col: str, vector
         mat = np.array(vectors, np.float64).reshape(len(vectors), -1)
         return mat / np.maximum(np.sqrt((mat * mat).sum(1, keepdims=True)), 1e-300)
 
-    def hits_of(ids: np.ndarray, mat: np.ndarray, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if not len(pdf) or not len(ids):
-            return
-        x = np.array([np.zeros(mat.shape[1]) if v is None else np.asarray(v, np.float64) for v in pdf.v])
-        size = np.sqrt((x * x).sum(1, keepdims=True))
-        for s in range(0, len(ids), BLOCK):
-            sim = np.where(size > 0, x / np.where(size > 0, size, 1), 0) @ mat[s : s + BLOCK].T
-            i, j = np.nonzero(sim >= threshold)
-            if top is not None and len(i):  # a block's own best are enough
-                order = np.lexsort((pdf.id.to_numpy()[i], -sim[i, j], j))
-                i, j = i[order], j[order]
-                nth = np.arange(len(j)) - np.searchsorted(j, j)
-                i, j = i[nth < top + 1], j[nth < top + 1]
-            yield pd.DataFrame({"query_id": ids[s + j], "id": pdf.id.to_numpy()[i], "similarity": sim[i, j]})
+    def hits_of(ids: np.ndarray, mat: np.ndarray, pdf: pd.DataFrame, floor: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Hits of CHUNK items and BLOCK queries at a time; floor holds what each query's best so far leave open and is raised in place."""
+        every = pdf.id.to_numpy()
+        for at in range(0, len(pdf) if len(ids) else 0, CHUNK):
+            own = every[at : at + CHUNK]
+            x = np.array([np.zeros(mat.shape[1]) if v is None else np.asarray(v, np.float64) for v in pdf.v.iloc[at : at + CHUNK]])
+            size = np.sqrt((x * x).sum(1, keepdims=True))
+            x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+            for s in range(0, len(ids), BLOCK):
+                sim = x @ mat[s : s + BLOCK].T
+                sim[np.isnan(sim) | (own[:, None] == ids[None, s : s + BLOCK])] = -np.inf
+                if top is not None and len(own) > top:  # ranks go by six digits, so what is as near as that stays open
+                    low = floor[s : s + BLOCK]
+                    np.maximum(low, np.partition(sim, len(own) - top, axis=0)[len(own) - top] - 2e-6, out=low)
+                i, j = np.nonzero(sim >= floor[s : s + BLOCK])
+                if top is not None and len(i):  # of equal ones a query's first are enough
+                    level = np.round(sim[i, j], 6)
+                    order = np.lexsort((own[i], -level, j))
+                    i, j, level = i[order], j[order], level[order]
+                    begins = np.r_[True, (j[1:] != j[:-1]) | (level[1:] != level[:-1])]
+                    nth = np.arange(len(j)) - np.maximum.accumulate(np.where(begins, np.arange(len(j)), 0))
+                    i, j = i[nth < top], j[nth < top]
+                if len(i):
+                    yield pd.DataFrame({"query_id": ids[s + j], "id": own[i], "similarity": sim[i, j]})
 
     if len(few) <= most_queries:
         ids, mat = np.array([r.query_id for r in few]), unit([r.v for r in few])
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            floor = np.full(len(ids), threshold, np.float64)
             for pdf in batches:
-                yield from hits_of(ids, mat, pdf)
+                yield from hits_of(ids, mat, pdf, floor)
 
         hits = x.mapInPandas(score, schema)
     else:
 
         def meet(some: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
             none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-            return pd.concat([none, *(hits_of(some.query_id.to_numpy(), unit(some.v.tolist()), pdf) if len(some) else ())])
+            found = hits_of(some.query_id.to_numpy(), unit(some.v.tolist()), pdf, np.full(len(some), threshold, np.float64)) if len(some) else ()
+            return pd.concat([none, *found])
 
-        n_q, n_x = (max(1, -(-df.count() // BLOCK)) for df in (q, x))
+        n_q, n_x = max(1, -(-q.count() // (4 * BLOCK))), max(1, -(-x.count() // (16 * BLOCK)))
         dealt = lambda df, c, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(c), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>")))
         q_blocks, x_blocks = dealt(q, "query_id", "_q", n_q, "_x", n_x), dealt(x, "id", "_x", n_x, "_q", n_q)
         hits = q_blocks.groupBy("_q", "_x").cogroup(x_blocks.groupBy("_q", "_x")).applyInPandas(meet, schema)

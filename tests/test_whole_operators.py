@@ -47,3 +47,15 @@ def test_prefix_that_no_word_follows(spark, tmp_path):
     rows = [(i, "Abcde.") for i in range(21)] + [(21, "Abcdes the rest.")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in QUERIES["prefix_mismerge"](spark, str(tmp_path)).collect()] == [("Abcdes", "Abcde")]
+
+
+def test_ranks_of_many_copies_and_repeated_ids(spark):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(40, 4)).tolist()
+    rows = [(i, vectors[i % 40]) for i in range(1500)] + [(0, vectors[1]), (7, None)]
+    items = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    got = similarity.rank_by_similarity(items.where("id = 50"), items, "id", "v", 5, -1.0)
+    assert [(r.id, round(r.similarity, 6)) for r in got.orderBy("rank").collect()] == [(10, 1.0), (90, 1.0), (130, 1.0), (170, 1.0), (210, 1.0)]
+    from loomspark.operators.similarity import BLOCK, CHUNK
+
+    assert BLOCK * CHUNK * 8 <= 16e6  # bytes of one product, of which a task holds a few
