@@ -101,37 +101,63 @@ def character_overlap(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("overlap", jaccard(characters(F.col(a)), characters(F.col(b))))
 
 
+def _take(r: int, sims: np.ndarray, at: np.ndarray, best: np.ndarray, second: np.ndarray, leader: np.ndarray) -> None:
+    """Raises a row's two highest similarities by those of further leaders; of equal ones the first stays."""
+    i = int(sims.argmax())
+    top = sims[i]
+    rest = max(sims[:i].max(initial=-np.inf), sims[i + 1 :].max(initial=-np.inf))
+    if top > best[r]:
+        best[r], second[r], leader[r] = top, max(best[r], rest), at[i]
+    else:
+        second[r] = max(second[r], top)
+
+
 def leader_clusters(entities: DataFrame, by: list[str], similar: float = 0.85, sure: float = 0.95, overlap: float = 0.3, margin: float = 0.02) -> DataFrame:
     """Greedy clusters of (by, name, n, vector): by frequency each joins the best leader or becomes one.
 
     It joins at `similar` if it is also `sure` or shares `overlap` of its characters, unless two leaders are within the margin.
-    The pass depends on order, so each project is one task; its distinct entities bound it.
+    The pass depends on order, so each project is one task; its distinct entities bound it.  Entities meet the leaders before them as
+    matrix products of a fixed size, so memory follows the vectors and time the entities times the leaders.
     """
     fields = {f.name: f.dataType.simpleString() for f in entities.schema}
     schema = ", ".join([f"{k} {fields[k]}" for k in by] + ["name string", "leader string", "similarity double"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "name"], ascending=[False, True])
-        leaders: list[tuple[str, set, np.ndarray]] = []
-        out = []
-        for name, vector in zip(pdf["name"], pdf["vector"], strict=True):
-            v = np.asarray(vector, np.float64)
-            v = v / (np.linalg.norm(v) or 1)
-            own = set(name)
-            sims = sorted(((round(float(x[2] @ v), 10), -i) for i, x in enumerate(leaders)), reverse=True)
-            best = None
-            if sims and sims[0][0] >= similar:
-                lead = leaders[-sims[0][1]]
-                close = sims[0][0] >= sure or len(own & lead[1]) / max(1, len(own | lead[1])) >= overlap
-                ambiguous = len(sims) > 1 and sims[1][0] >= similar and sims[0][0] - sims[1][0] < margin
-                if close and not ambiguous:
-                    best = (lead[0], sims[0][0])
-            if best is None:
-                leaders.append((name, own, v))
-                best = (name, 1.0)
-            out.append(best)
+        names = pdf["name"].tolist()
+        width = max((len(v) for v in pdf["vector"] if v is not None), default=0)
+        x = np.array([np.zeros(width) if v is None else np.asarray(v, np.float64) for v in pdf["vector"]]).reshape(len(names), width)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        x /= np.where(size > 0, size, 1)
+        leaders: list[int] = []
+        out: list[tuple[str, float]] = []
+        for at in range(0, len(names), CHUNK):
+            own = x[at : at + CHUNK]
+            best, second, leader = np.full(len(own), -np.inf), np.full(len(own), -np.inf), np.full(len(own), -1)
+            for s in range(0, len(leaders), BLOCK):  # the leaders of earlier chunks, in order
+                some = np.array(leaders[s : s + BLOCK])
+                sim = own @ x[some].T
+                near = sim >= similar - 1e-9
+                for r in np.nonzero(near.any(1))[0]:
+                    j = np.nonzero(near[r])[0]
+                    _take(r, np.round(sim[r, j], 10), some[j], best, second, leader)
+            inner = np.round(own @ own.T, 10)
+            fresh: list[int] = []
+            for r in range(len(own)):
+                if fresh:
+                    _take(r, inner[r, fresh], np.array(fresh) + at, best, second, leader)
+                name, found = names[at + r], None
+                if best[r] >= similar:
+                    lead = names[leader[r]]
+                    close = best[r] >= sure or len(set(name) & set(lead)) / max(1, len(set(name) | set(lead))) >= overlap
+                    if close and not (second[r] >= similar and best[r] - second[r] < margin):
+                        found = (lead, float(best[r]))
+                if found is None:
+                    fresh.append(r)
+                out.append(found or (name, 1.0))
+            leaders += [at + r for r in fresh]
         head = pdf[by].reset_index(drop=True)
-        return pd.concat([head, pd.DataFrame({"name": pdf["name"].to_numpy(), "leader": [x[0] for x in out], "similarity": [x[1] for x in out]})], axis=1)
+        return pd.concat([head, pd.DataFrame({"name": names, "leader": [x[0] for x in out], "similarity": [x[1] for x in out]})], axis=1)
 
     return entities.groupBy(*by).applyInPandas(one, schema)
 

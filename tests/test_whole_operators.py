@@ -59,3 +59,16 @@ def test_ranks_of_many_copies_and_repeated_ids(spark):
     from loomspark.operators.similarity import BLOCK, CHUNK
 
     assert BLOCK * CHUNK * 8 <= 16e6  # bytes of one product, of which a task holds a few
+
+
+def test_many_leaders_in_one_project(spark):
+    import time
+
+    vectors = np.random.default_rng(3).normal(size=(6000, 32)).tolist()
+    rows = [("p", f"v{i:05}", 0, v) for i, v in enumerate(vectors)] + [("p", f"w{i:05}", -1, vectors[i]) for i in range(50)]
+    entities_ = spark.createDataFrame(rows, "project string, name string, n int, vector array<double>").cache()
+    entities_.count()
+    start = time.time()
+    got = {r.name: r.leader for r in similarity.leader_clusters(entities_, ["project"]).collect()}
+    assert time.time() - start < 20  # a step for each pair took longer
+    assert all(got[f"v{i:05}"] == f"v{i:05}" for i in range(6000)) and all(got[f"w{i:05}"] == f"v{i:05}" for i in range(50))
