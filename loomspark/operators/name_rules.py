@@ -6,12 +6,14 @@ row on arrays of tokens; nothing is shuffled but the final combination.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import matches, one_of, quote_class, quote_pattern, scan
+from loomspark.functions.text import matches, one_of, quote_class, quote_pattern
 from loomspark.operators.entities import near_spans
 
 TYPES = {"NR": "PER", "PERSON": "PER", "NS": "LOC", "LOCATION": "LOC", "GPE": "LOC", "NT": "ORG", "ORGANIZATION": "ORG"}
@@ -70,36 +72,45 @@ def foreign_names(tokens: Column, tags: Column, rules: NameRules) -> Column:
     them and titles add a part; a joint is kept if an NR follows it, a blank if one that is no surname does, and a link word is passed over then.
     Whatever else comes ends the name, which counts if it has two parts or a part holds a joint itself.
     """
-    kind = "struct<text:string,start:int,end:int>"
-    blank = F.lit("")
-    following = F.transform(tokens, lambda _, i: F.struct(F.coalesce(F.try_element_at(tokens, i + 2), blank).alias("t"), F.coalesce(F.try_element_at(tags, i + 2), blank).alias("g")))
-    items = F.transform(F.arrays_zip(tokens.alias("t"), following.alias("n")), lambda x, i: F.struct(x["t"].alias("t"), F.coalesce(F.try_element_at(tags, i + 1), blank).alias("g"), x["n"].alias("n"), i.alias("i")))
-    last = F.struct(blank.alias("t"), blank.alias("g"), F.struct(blank.alias("t"), blank.alias("g")).alias("n"), F.size(tokens).alias("i"))  # ends what is open
-    is_name = lambda g: one_of(g, ("NR", "nr"))
-    nobody = F.struct(F.lit(None).cast("int").alias("start"), F.lit(0).alias("parts"), F.lit("").alias("text"), F.lit(False).alias("joint"))
-    own_joint = lambda t: t.rlike("[·.-]")
-
-    def state(start: Column, parts: Column, text: Column, joint: Column) -> Column:
-        return F.struct(start.alias("start"), parts.alias("parts"), text.alias("text"), joint.alias("joint"))
-
-    def step(acc: Column, x: Column) -> tuple[Column, Column]:
-        known = one_of(x["t"], rules.surnames)
-        name = is_name(x["g"])
-        opens = state(x["i"], F.lit(1), x["t"], own_joint(x["t"]))
-        next_name, next_known = is_name(x["n"]["g"]), one_of(x["n"]["t"], rules.surnames)
-        is_joint, title = one_of(x["t"], rules.name_joints), one_of(x["t"], rules.foreign_titles)
-        part = (name & ~known) | (~name & ~is_joint & (x["t"] != " ") & title)
-        joined = ~name & F.when(is_joint, next_name).when(x["t"] == " ", next_name & ~next_known).otherwise(False)
-        passed = ~name & ~is_joint & ~title & one_of(x["t"], rules.name_links) & next_name & ~next_known
-        inside = acc["start"].isNotNull()
-        goes_on = inside & (part | joined | passed)
-        more = state(acc["start"], acc["parts"] + part.cast("int"), F.when(passed, acc["text"]).otherwise(F.concat(acc["text"], x["t"])), acc["joint"] | (part & own_joint(x["t"])))
-        ended = inside & ~goes_on & ((acc["parts"] > 1) | acc["joint"])
-        found = F.when(ended, F.array(F.struct(acc["text"].alias("text"), acc["start"].alias("start"), x["i"].alias("end")))).otherwise(F.array().cast(f"array<{kind}>"))
-        return F.when(goes_on, more).when(name & ~known, opens).otherwise(nobody), found
-
-    whole = F.concat(items, F.array(last))
-    return F.when(tokens.isNull(), F.array().cast(f"array<{kind}>")).otherwise(scan(whole, nobody, step, kind))
+    surnames, titles, joints, links = (frozenset(w) for w in (rules.surnames, rules.foreign_titles, rules.name_joints, rules.name_links))
+
+    def one(ts: Iterable[str | None] | None, gs: Iterable[str | None] | None) -> list[dict]:
+        if ts is None:
+            return []
+        ts = [t or "" for t in ts] + ["", ""]  # ends what is open
+        gs = [] if gs is None else list(gs)
+        names = [g in ("NR", "nr") for g in gs[: len(ts) - 2]] + [False] * (len(ts) - min(len(gs), len(ts) - 2))
+        found, start, parts, text, joint = [], None, 0, "", False
+        for i in range(len(ts) - 1):
+            t, name, following = ts[i], names[i], names[i + 1]
+            part, joined, passed = name and t not in surnames, False, False
+            if not name:
+                if t in joints:
+                    joined = following
+                elif t == " ":
+                    joined = following and ts[i + 1] not in surnames
+                    passed = t not in titles and t in links and joined
+                elif t in titles:
+                    part = True
+                elif t in links:
+                    passed = following and ts[i + 1] not in surnames
+            if start is not None and (part or joined or passed):
+                parts += part
+                text += "" if passed else t
+                joint = joint or part and any(c in t for c in ".·-")
+                continue
+            if start is not None and (parts > 1 or joint):
+                found.append({"text": text, "start": start, "end": i})
+            start = None
+            if name and part:
+                start, parts, text, joint = i, 1, t, any(c in t for c in ".·-")
+        return found
+
+    @F.pandas_udf("array<struct<text:string,start:int,end:int>>")
+    def of_rows(tokens: pd.Series, tags: pd.Series) -> pd.Series:
+        return pd.Series([one(ts, gs) for ts, gs in zip(tokens, tags, strict=True)], dtype=object)
+
+    return of_rows(tokens, tags)
 
 
 def surname_mentions(docs: DataFrame, id_cols: list[str], rules: NameRules, text_col: str = "text") -> DataFrame:
