@@ -58,17 +58,30 @@ def split_chapters(docs: DataFrame, pack: Pack, id_col: str = "doc_id", text_col
     stop = F.length("_t")
 
     def chapter(h: Column, i: Column) -> Column:
-        own = F.filter("_v", lambda v: v["start"] <= h["start"])
+        line_end = F.position(F.lit("\n"), F.col("_t"), h["start"] + 1)
         following = F.filter("_v", lambda v: v["start"] > h["start"])
-        end = F.least(F.coalesce(F.try_element_at("_h", i + 2)["start"], stop), F.coalesce(F.try_element_at(following, F.lit(1))["start"], stop))
-        body = F.when(F.position(F.lit("\n"), F.col("_t"), h["start"] + 1) - 1 < h["start"] + F.length(h["text"]) + 5, F.substring(F.col("_t"), h["end"] + 2, end - h["end"] - 1)).otherwise(F.substring(F.col("_t"), h["start"] + 1, end - h["start"]))
-        body = F.when(F.position(F.lit("\n"), F.col("_t"), h["start"] + 1) == 0, F.lit("")).otherwise(body)
-        return F.struct(F.size(own).alias("volume"), F.coalesce(F.try_element_at(own, F.lit(-1))["text"], F.lit(pack.prologue)).alias("volume_title"), strip(h["text"]).alias("title"), h["start"].alias("start"), end.alias("end"), strip(body).alias("content"))
+        ends = F.least(F.coalesce(F.try_element_at("_h", i + 2)["start"], stop), F.coalesce(F.try_element_at(following, F.lit(1))["start"], stop))
+        own = F.filter("_v", lambda v: v["start"] <= h["start"])
+
+        def bodied(x: Column) -> Column:
+            body = F.when(x["nl"] == 0, F.lit("")).when(x["nl"] - 1 < h["start"] + F.length(h["text"]) + 5, F.substring(F.col("_t"), h["end"] + 2, x["end"] - h["end"] - 1)).otherwise(F.substring(F.col("_t"), h["start"] + 1, x["end"] - h["start"]))
+            return F.struct(F.size(x["own"]).alias("volume"), F.coalesce(F.try_element_at(x["own"], F.lit(-1))["text"], F.lit(pack.prologue)).alias("volume_title"), strip(h["text"]).alias("title"), h["start"].alias("start"), x["end"].alias("end"), strip(body).alias("content"))
+
+        return let(F.struct(line_end.alias("nl"), ends.alias("end"), own.alias("own")), bodied)
+
+    def in_volumes(found: Column) -> Column:
+        """Chapters in order: an index counts the chapters since the volume's first, as a volume's chapters stand together."""
+        volumes = F.transform(found, lambda c: c["volume"])
+
+        def placed(x: Column) -> Column:
+            one = lambda c, i: F.struct(F.when(F.size("_v") > 0, c["volume"] - x["shift"]).otherwise(0).alias("volume_index"), F.when(F.size("_v") > 0, c["volume_title"]).otherwise(pack.whole).alias("volume_title"), (i + 1 - F.array_position(x["volumes"], c["volume"])).cast("int").alias("chapter_index"), c["title"].alias("title"), c["start"].alias("start"), c["end"].alias("end"), c["content"].alias("content"))
+            return F.transform(found, one)
+
+        shift = lambda vs: F.when(F.array_contains(vs, 0), F.lit(0)).otherwise(F.lit(1))
+        return let(let(volumes, lambda vs: F.struct(vs.alias("volumes"), shift(vs).alias("shift"))), placed)
 
     found = F.filter(F.transform("_h", chapter), lambda c: F.length(c["content"]) >= least)
-    numbered = F.transform(found, lambda c, i: F.struct(c.alias("c"), F.size(F.filter(F.slice(found, 1, i), lambda o: o["volume"] == c["volume"])).alias("n")))
-    shift = F.when(F.exists(found, lambda c: c["volume"] == 0), F.lit(0)).otherwise(F.lit(1))
-    with_volumes = F.transform(numbered, lambda x: F.struct(F.when(F.size("_v") > 0, x["c"]["volume"] - shift).otherwise(0).alias("volume_index"), F.when(F.size("_v") > 0, x["c"]["volume_title"]).otherwise(pack.whole).alias("volume_title"), x["n"].alias("chapter_index"), x["c"]["title"].alias("title"), x["c"]["start"].alias("start"), x["c"]["end"].alias("end"), x["c"]["content"].alias("content")))
+    with_volumes = let(found, in_volumes)
     starts = F.when(stop <= chunk, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(stop - overlap - 1, F.lit(0)), F.lit(chunk - overlap)))
     name = lambda i: F.when(stop <= chunk, F.lit(pack.whole)).otherwise(F.concat(F.lit(pack.chunk_title[0]), (i + 1).cast("string"), F.lit(pack.chunk_title[1])))
     chunks = F.transform(starts, lambda s, i: F.struct(F.lit(0).alias("volume_index"), F.lit(pack.whole).alias("volume_title"), i.alias("chapter_index"), name(i).alias("title"), s.alias("start"), F.least(s + chunk, stop).alias("end"), F.substring(F.col("_t"), s + 1, F.lit(chunk)).alias("content")))

@@ -8,7 +8,7 @@ from loomspark.functions.dictionary import name_hits
 from loomspark.operators import entities, name_rules, tagged
 from loomspark.packs import LATIN
 from loomspark.plans.queries import _EACH, _NAMES, _mentions, _offsets, long, query, table
-from loomspark.sources.tables import bounded
+from loomspark.sources.tables import bounded, spread
 
 _LETTERS = "A-Za-zÀ-Ýà-ÿ"
 _TOKENS = f"[{_LETTERS}]+|[^{_LETTERS}]"
@@ -42,7 +42,7 @@ r AS (SELECT conv_id, turn, -1 AS i, 0 AS parts, '' AS said, 0 AS first, 0::BIGI
 SELECT r.conv_id, r.turn, done AS name, until::BIGINT AS first_token, r.i::BIGINT AS end_token, f.at AS start, at1 AS stop FROM r JOIN x f ON f.conv_id = r.conv_id AND f.turn = r.turn AND f.i = until WHERE done IS NOT NULL""")
 def foreign_names(spark, d):
     """N4 on tokens of turns; words that begin with a, e or o stand for the tagger's names."""
-    rows = bounded(table(spark, d, "conversations")).select("conv_id", "turn", F.regexp_extract_all("text", F.lit(_TOKENS), F.lit(0)).alias("tokens"))
+    rows = bounded(spread(table(spark, d, "conversations"))).select("conv_id", "turn", F.regexp_extract_all("text", F.lit(_TOKENS), F.lit(0)).alias("tokens"))
     rows = rows.withColumn("tags", F.transform("tokens", lambda t: F.when(t.rlike("^[aeoAEO]"), F.lit("NR")).otherwise(F.lit("X"))))
     found = rows.select("conv_id", "turn", "tokens", F.explode(name_rules.foreign_names(F.col("tokens"), F.col("tags"), _RULES)).alias("e"))
     at = lambda i: F.length(F.array_join(F.slice("tokens", F.lit(1), i), "")).cast("long")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.operators import quotes, segment
 from loomspark.packs import ZH
 from loomspark.plans.queries import long, query, table
+from loomspark.sources.tables import spread
 
 _QUOTED = ("他说：「你好。再见！」然后走了。{n}来了；没人。", "「{n}。」", "“甲。乙”丙！「丁。戊", "{n}\n\n「a。b」。c？ ", " 《书。名》里写着『不。』！；{t}", "")
 _VOLUMES = (
@@ -33,7 +34,7 @@ def _sql(templates: tuple[str, ...]) -> str:
 
 
 def _texts(spark, d, templates):
-    return table(spark, d, "part").select("p_partkey", _made(templates).alias("text"))
+    return spread(table(spark, d, "part")).select("p_partkey", _made(templates).alias("text"))
 
 
 _ITEM = r"「[^」\n]*」|『[^』\n]*』|“[^”\n]*”|\"[^\"\n]*\"|〈[^〉\n]*〉|《[^》\n]*》|[^「『“\"〈《\n。！？；]+|\n|[。！？；]|."

@@ -35,3 +35,12 @@ def test_texts_go_to_python_in_small_batches(spark):
     heads = spark.createDataFrame([(1, "Q")], "doc_id long, name string")
     assert {(r.name, r.n) for r in entities.compound_names(docs, heads, LATIN, ["doc_id"]).collect()} == {("Qa", 2)}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
+
+
+def test_one_small_file_is_dealt_over_the_cores(spark, tmp_path):
+    from loomspark.plans.queries import QUERIES
+    from tests.conftest import SF
+
+    cores = spark.sparkContext.defaultParallelism
+    assert QUERIES["volume_chapters"](spark, SF).rdd.getNumPartitions() >= cores
+    assert QUERIES["foreign_names"](spark, SF).rdd.getNumPartitions() >= cores
