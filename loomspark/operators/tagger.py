@@ -1,6 +1,7 @@
 """The rule tagger of single sentences: keywords, sentence patterns, laughter, negation within seven places, degree.
 
-Everything is a column of the sentence.  A list of words is one literal that is split once, so a plan doesn't grow with its words.
+Everything is a column of the sentence, and a plan doesn't grow with its words: tag() goes by Arrow batches, and for labels() a list of
+words is one literal that is split once.
 """
 
 from __future__ import annotations
