@@ -44,3 +44,41 @@ def test_one_small_file_is_dealt_over_the_cores(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     assert QUERIES["volume_chapters"](spark, SF).rdd.getNumPartitions() >= cores
     assert QUERIES["foreign_names"](spark, SF).rdd.getNumPartitions() >= cores
+
+
+def written(spark, run):
+    """The most rows that a stage of run() writes to a shuffle, and what run() gives."""
+    sc = spark.sparkContext
+    store, bus = sc._jsc.sc().statusStore(), sc._jsc.sc().listenerBus()
+    stages = lambda: (bus.waitUntilEmpty(), {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(store_list().apply, range(store_list().size()))})[1]
+    store_list = lambda: store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    before = stages()
+    got = run()
+    return max(n for k, n in stages().items() if k not in before), got
+
+
+def test_names_of_many_documents_are_not_paired(spark, tmp_path):
+    from loomspark.plans.queries import QUERIES
+
+    many = ["Q" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(300)]
+    lines = [(i, " ".join(many)) for i in range(60)]
+    lines += [(100, f"Lone x Lone x Lone {many[0]} {many[1]}\n{many[2]} Lone"), (101, "Sole x Sole\nSole x"), (None, "Nil Nil Nil Qaaa Qbaa Qcaa")]
+    spark.createDataFrame(lines, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    most, rows = written(spark, lambda: QUERIES["confidence_ladder"](spark, str(tmp_path)).collect())
+    assert most <= 61 * 300  # not 300 * 299 / 2 pairs a task
+    got = {r.name: (r.n, r.confidence) for r in rows}
+    assert len(got) == 303 and got["Lone"] == (4, 0.6) and got["Sole"] == (3, 0.2) and got["Nil"] == (3, 0.2) and {got[n][1] for n in many} == {0.8}
+
+
+def test_pairs_of_asked_names_are_those_of_all_pairs(spark):
+    # document 1 has two rows; its first lines are one group
+    rows = [(1, 0, "A"), (1, 0, "B"), (1, 0, "A"), (1, 1, "A"), (1, 0, "C"), (2, 0, "B"), (2, 0, "C"), (2, 1, "A"), (2, 1, "C"), (3, 0, "C"), (None, 0, "B"), (None, 0, "D")]
+    seen = spark.createDataFrame(rows, "d long, n int, name string").repartition(3)
+    whole = {tuple(r) for r in entities.cooccurrence(seen, ["d", "n"]).collect()}
+    assert whole == {(x, y, k) for a, b, k in (("A", "B", 1), ("A", "C", 2), ("B", "C", 2)) for x, y in ((a, b), (b, a))}
+    assert {tuple(r) for r in entities.cooccurrence(seen, ["d", "n"], tasks=7).collect()} == whole
+    of = spark.createDataFrame([(1, "B"), (3, "C"), (4, "A")], "d long, name string")
+    for tasks in (None, 7):
+        assert {tuple(r) for r in entities.cooccurrence(seen, ["d", "n"], of=of, tasks=tasks).collect()} == {("B", "A", 1), ("B", "C", 1)}
+    counts = spark.createDataFrame([("A", 5), ("B", 4), ("C", 9)], "name string, n long")
+    assert {tuple(r) for r in entities.cooccurrence_stats(entities.cooccurrence(seen, ["d", "n"]), counts).collect()} == {("A", 2, 2), ("B", 2, 3), ("C", 2, 2)}
