@@ -39,6 +39,8 @@ SORT_AT_ONCE = 8 << 20
 #: Scan tasks at which blocks begin to grow, and how far.
 GROW_FROM, BLOCK_GROWTH = 512, 8
 MOST_SHARDS = 20_000
+#: Bytes of a block in op8 and op9, which hold many numbers for each word: a worker of theirs and the JVM's copies of its rows take the less memory.
+SMALL_BLOCK = 1 << 20
 BLOB = "shard long, block long, bucket int, kind int, n long, keys binary, owners binary"
 #: The kind of a blob that only says that its block takes part; see has_any().
 ALIVE = -1
@@ -107,14 +109,14 @@ class Blocks:
         return int(np.clip(np.ceil(min(wanted, sent)), LEAST_BITS, MOST_BITS))
 
 
-def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> Blocks:
-    """Packs documents into blocks; a document that is longer than a block is one of its own."""
+def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Blocks:
+    """Packs documents into blocks of block_bytes (up to BLOCK_GROWTH times as much in a large corpus); a document that is longer than a block is one of its own."""
     spark = docs.sparkSession
     plain = bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     tasks = plain.rdd.getNumPartitions()
     shards = max(1, min(tasks, MOST_SHARDS), int(spark.conf.get("spark.sql.shuffle.partitions")))  # fewer, and a join would shuffle the texts
     labels = shard_labels(spark, shards)
-    most = BLOCK_BYTES * max(1, min(BLOCK_GROWTH, tasks // GROW_FROM))
+    most = block_bytes * max(1, min(BLOCK_GROWTH, tasks // GROW_FROM))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.components import components
-from loomspark.llm.exchange import BLOB, Keys, answer, bucketed, discard, each_block, kept, text_blocks, with_replies
+from loomspark.llm.exchange import BLOB, SMALL_BLOCK, Keys, answer, bucketed, discard, each_block, kept, text_blocks, with_replies
 from loomspark.llm.text import Words, mix, span_hashes, tidy
 
 COORDS = 128
@@ -129,7 +129,7 @@ NODES = "node binary, n long, s long, shingles binary, shared binary, posts arra
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (least id of the documents linked directly or through others) and kept for every row."""
     need = matches_for(percent)
-    blocks = text_blocks(docs, id_col, text_col)
+    blocks = text_blocks(docs, id_col, text_col, SMALL_BLOCK)
     bits = blocks.bits_for(blocks.total / 4)
     cols = ["shard", "block", "ids", "lens", "data"]
     info = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary())])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 4 << 20
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

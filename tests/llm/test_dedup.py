@@ -209,3 +209,31 @@ def test_tabulated_hashes_tell_words_apart():
     assert len(Words(np.zeros(0, np.uint8), np.zeros(0, np.int64)).tabulated(0)) == 0
     ab, ba = (Words(np.frombuffer(t, np.uint8), np.array([5])).tabulated(0).tolist() for t in (b"ab cd", b"ba cd"))
     assert ab[0] != ba[0] and ab[1] == ba[1]
+
+
+def _blocks_of(spark, monkeypatch, op, run):
+    """How many blocks the operator makes of 4 MB in one partition, the largest's bytes, and the bytes that one batch brings to Python."""
+    from loomspark.llm import exchange
+
+    class Seen(Exception):
+        pass
+
+    def stop(*args):
+        raise Seen(exchange.text_blocks(*args))
+
+    monkeypatch.setattr(op, "text_blocks", stop)
+    docs = spark.range(0, 400, 1, 1).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 2000) as text")
+    try:
+        run(docs)
+    except Seen as seen:
+        blocks = seen.args[0]
+        count, largest = blocks.table.selectExpr("count(*)", "max(size)").first()
+        discard(blocks.table)
+        return count, largest, int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+
+
+def test_blocks_of_near_duplicates_are_small(spark, monkeypatch):
+    from loomspark.llm import minhash_dedup as op
+
+    count, largest, batch = _blocks_of(spark, monkeypatch, op, op.near_duplicates)
+    assert count >= 4 and largest <= 1 << 20 and batch <= 4 << 20
