@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomspark.llm.exchange import BLOB, Keys, alive, answer, discard, each_block, has_any, kept, merged, text_blocks, with_replies
+from loomspark.llm.exchange import BLOB, SMALL_BLOCK, Keys, alive, answer, discard, each_block, has_any, kept, merged, text_blocks, with_replies
 from loomspark.llm.text import Words, covered, mix, runs, span_hashes
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string"
@@ -92,7 +92,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space), the removed spans (word numbers, end exclusive) and, if texts is set, the kept text.
     """
     sizes = lengths(window, first)
-    blocks = text_blocks(docs, id_col, text_col)
+    blocks = text_blocks(docs, id_col, text_col, SMALL_BLOCK)
     bits = blocks.bits_for(blocks.total)
     cols = ["shard", "block", "ids", "lens", "data"]
     replies: DataFrame | None = None

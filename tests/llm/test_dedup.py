@@ -237,3 +237,10 @@ def test_blocks_of_near_duplicates_are_small(spark, monkeypatch):
 
     count, largest, batch = _blocks_of(spark, monkeypatch, op, op.near_duplicates)
     assert count >= 4 and largest <= 1 << 20 and batch <= 4 << 20
+
+
+def test_blocks_of_substring_dedup_are_small(spark, monkeypatch):
+    from loomspark.llm import substring_dedup as op
+
+    count, largest, batch = _blocks_of(spark, monkeypatch, op, op.substring_dedup)
+    assert count >= 4 and largest <= 1 << 20 and batch <= 4 << 20
