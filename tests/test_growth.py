@@ -82,3 +82,16 @@ def test_pairs_of_asked_names_are_those_of_all_pairs(spark):
         assert {tuple(r) for r in entities.cooccurrence(seen, ["d", "n"], of=of, tasks=tasks).collect()} == {("B", "A", 1), ("B", "C", 1)}
     counts = spark.createDataFrame([("A", 5), ("B", 4), ("C", 9)], "name string, n long")
     assert {tuple(r) for r in entities.cooccurrence_stats(entities.cooccurrence(seen, ["d", "n"]), counts).collect()} == {("A", 2, 2), ("B", 2, 3), ("C", 2, 2)}
+
+
+def test_partners_of_many_names_in_a_line_are_not_paired(spark):
+    """Texts and names are dealt by their ids and nothing else moves: a line's pairs were 4.5 million rows of two shuffles here."""
+    words = [f"N{i:04}" for i in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(words) + "\n" + " ".join(words[:2] * 6)), (1, "N0000"), (2, None), (None, "N0000 N0001")], "doc_id long, text string")
+    names = spark.createDataFrame([(i, n, 0.6) for i in (1, 2, None) for n in words], "doc_id long, name string, confidence double")
+    out = entities.validate(docs, names, LATIN, ["doc_id"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    got = {(r.doc_id, r.name, r.n): (r.co_diversity, r.high_conf_co) for r in out.collect()}
+    assert len(got) == 9000 and all(i is not None for i, _, _ in got)  # N0000 and others have a row for each text
+    assert got[1, "N0000", 7] == (2999, 2) and got[1, "N0000", 1] == (2999, 2) and got[1, "N0001", 7] == (2999, 2) and got[1, "N2999", 1] == (2999, 2)
+    assert got[2, "N0000", 0] == (None, None)
